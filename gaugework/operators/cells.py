@@ -106,19 +106,34 @@ def catalogue_cells(
 def _table_cells(frame: DataFrame, entries: list[ColumnEntry]) -> DataFrame | None:
     fields = frame.schema.fields
     # Positional names keep odd column names (dots, spaces, equal but for case) out of the way.
-    frame = frame.toDF(*[f"c{i}" for i in range(len(fields))])
+    frame = _settled(frame.toDF(*[f"c{i}" for i in range(len(fields))]))
+    fields = frame.schema.fields
     slots = []
     for entry in entries:
         if entry.lane != ROW:
             slots.append(_slot(entry.column_key, *_typed(f"c{entry.position}", fields[entry.position].dataType)))
         elif fields:
-            body = row_body([(f"c{i}", field.dataType) for i, field in enumerate(fields)])
-            slots.append(_slot(entry.column_key, NO_WHOLE, NO_REAL, body))
+            columns = [(field.name, field.dataType) for field in fields]
+            # The text is used more than once below, so it is a column of its own.
+            frame = frame.selectExpr("*", f"{row_text(columns)} as row_text")
+            slots.append(_slot(entry.column_key, NO_WHOLE, NO_REAL, row_body("row_text", columns)))
     if not slots:
         return None
     return frame.selectExpr(f"explode(array({', '.join(slots)})) as cell").select("cell.*")
 
 
+def _settled(frame: DataFrame) -> DataFrame:
+    """Timestamps without zone as instants, where a UTC session makes that a plain cast."""
+    if frame.sparkSession.conf.get("spark.sql.session.timeZone") not in ("UTC", "Etc/UTC", "GMT", "Z"):
+        return frame
+    return frame.selectExpr(
+        *[
+            f"cast({f.name} as timestamp) as {f.name}" if isinstance(f.dataType, T.TimestampNTZType) else f.name
+            for f in frame.schema.fields
+        ]
+    )
+
+
 NO_WHOLE, NO_REAL, NO_BODY = "cast(null as bigint)", "cast(null as double)", "cast(null as string)"
 
 
@@ -171,13 +186,17 @@ def canonical_text(value: str, data_type: T.DataType) -> str:
     return f"cast({value} as string)"
 
 
-def row_body(columns: list[tuple[str, T.DataType]]) -> str:
-    """SQL for the identity of the complete row, then ``|`` and the comma-joined positions of its nulls.
+def row_text(columns: list[tuple[str, T.DataType]]) -> str:
+    """SQL for a text that is equal exactly when the rows are; nulls equal nulls.
 
-    Fields are joined with their byte length in front of free text, so different rows never give the
-    same text; short rows stay as they are and longer ones become a digest. Nulls equal nulls.
+    Free text is preceded by its byte length, so different rows never run into the same text.
     """
-    text = f"concat_ws(';', {', '.join(_row_field(*column) for column in columns)})"
+    return f"concat_ws(';', {', '.join(_row_field(*column) for column in columns)})"
+
+
+def row_body(text: str, columns: list[tuple[str, T.DataType]]) -> str:
+    """SQL for the identity of the complete row, then ``|`` and the comma-joined positions of its
+    nulls. Short rows stay as they are and longer ones become a digest."""
     key = f"case when octet_length({text}) <= {RAW_BYTES} then {text} else concat('#', {_digest(text)}) end"
     nulls = ", ".join(f"case when {name} is null then '{i}' end" for i, (name, _) in enumerate(columns))
     return f"concat({key}, '|', concat_ws(',', {nulls}))"

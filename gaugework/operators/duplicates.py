@@ -48,21 +48,19 @@ def flag_repeated_rows(frame: DataFrame, order_key: str, columns: list[str] | No
     group over ``SALTS`` parts, so a group holding a third of the table is no single task.
     """
     names = columns or [name for name in frame.columns if name != order_key]
-    keyed = frame.withColumn("_row", _identity(frame, names))
-    return _flag(keyed, order_key, F.lit(True)).drop("_row")
+    return _flag(frame, names, order_key, F.lit(True))
 
 
 def flag_repeated_values(frame: DataFrame, order_key: str, column: str) -> DataFrame:
     """The same for the non-null values of one column; null values are never excess."""
-    keyed = frame.withColumn("_row", _identity(frame, [column]))
-    return _flag(keyed, order_key, F.col(column).isNotNull()).drop("_row")
+    return _flag(frame, [column], order_key, F.col(f"`{column}`").isNotNull())
 
 
-def _identity(frame: DataFrame, names: list[str]) -> Column:
-    return F.expr(C.row_body([(f"`{name}`", frame.schema[name].dataType) for name in names]))
-
-
-def _flag(keyed: DataFrame, order_key: str, eligible: Column) -> DataFrame:
+def _flag(frame: DataFrame, names: list[str], order_key: str, eligible: Column) -> DataFrame:
+    columns = [(f"`{name}`", frame.schema[name].dataType) for name in names]
+    keyed = frame.withColumn("_text", F.expr(C.row_text(columns))).withColumn(
+        "_row", F.expr(C.row_body("_text", columns))
+    )
     firsts = (
         keyed.where(eligible)
         .groupBy("_row")
@@ -72,6 +70,5 @@ def _flag(keyed: DataFrame, order_key: str, eligible: Column) -> DataFrame:
     )
     salted = keyed.withColumn("_salt", F.pmod(F.xxhash64(order_key), F.lit(SALTS)).cast("int"))
     excess = eligible & F.col("_first").isNotNull() & (F.col(order_key) > F.col("_first"))
-    return (
-        salted.join(firsts, ["_row", "_salt"], "left").withColumn("is_excess", excess).drop("_first", "_salt")
-    )
+    flagged = salted.join(firsts, ["_row", "_salt"], "left").withColumn("is_excess", excess)
+    return flagged.select(*frame.columns, "is_excess")
