@@ -1,30 +1,23 @@
-"""Column-name tokens and vocabulary matching."""
+"""SQL for column-name tokens and vocabulary matching."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
-from gaugework.functions.scalars import any_of
-
-
-def name_tokens(name: Column) -> Column:
+def name_tokens(name: str) -> str:
     """Lower-case words of a column name: camel case, underscores, dashes and spaces separate."""
-    spaced = F.regexp_replace(name, r"(?<=[a-z0-9])(?=[A-Z])", " ")
-    words = F.split(F.lower(spaced), r"(?U)[_\-\s]+")
-    return F.filter(words, lambda word: word != "")
+    spaced = f"regexp_replace({name}, r'(?<=[a-z0-9])(?=[A-Z])', ' ')"
+    return f"filter(split(lower({spaced}), r'(?U)[_\\-\\s]+'), word -> word <> '')"
 
 
-def ends_with_phrase(tokens: Column, phrases: tuple[str, ...]) -> Column:
-    """Whether the tokens are, or end with, one of the space-separated phrases."""
-    text = F.concat(F.lit(" "), F.array_join(tokens, " "))
-    return any_of([text.endswith(" " + phrase) for phrase in phrases])
+def ends_with_phrase(words: str, phrases: tuple[str, ...]) -> str:
+    """Whether the space-joined tokens are, or end with, one of the phrases."""
+    return "(" + " or ".join(f"endswith(concat(' ', {words}), ' {phrase}')" for phrase in phrases) + ")"
 
 
-def is_phrase(tokens: Column, phrases: tuple[str, ...]) -> Column:
-    """Whether the tokens are exactly one of the space-separated phrases."""
-    return F.array_join(tokens, " ").isin(*phrases)
+def is_phrase(words: str, phrases: tuple[str, ...]) -> str:
+    """Whether the space-joined tokens are exactly one of the phrases."""
+    return f"{words} in ({', '.join(repr(phrase) for phrase in phrases)})"
 
 
-def has_word(tokens: Column, words: tuple[str, ...]) -> Column:
-    return F.arrays_overlap(tokens, F.array(*[F.lit(word) for word in words]))
+def has_word(tokens: str, words: tuple[str, ...]) -> str:
+    return f"arrays_overlap({tokens}, array({', '.join(repr(word) for word in words)}))"

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.names import ends_with_phrase, has_word, is_phrase, name_tokens
 from gaugework.operators import judgements as J
+from gaugework.session import sql_over
 
 # Categories in report order, with their rules.
 RULES = {
@@ -46,66 +47,55 @@ HIGH_TOTAL, MEDIUM_TOTAL = 5, 3
 
 
 def with_categories(profile: DataFrame) -> DataFrame:
-    """Adds ``tokens`` and one Boolean per category; quasi-identifiers look at the whole table."""
-    tokens, kind = F.col("tokens"), F.col("inferred_type")
-    numeric = kind.isin("INTEGER", "FLOAT")
-    free = ~is_phrase(tokens, OTHER_CONTEXT)
-
-    def named(phrases: tuple[str, ...]) -> Column:
-        return ends_with_phrase(tokens, phrases) & free
-
-    identifier_name = (F.size(tokens) > 0) & (
-        is_phrase(tokens, IDENTIFIER_WORDS) | ends_with_phrase(tokens, ("id",))
-    )
-    result = (
-        profile.withColumn("tokens", name_tokens(F.col("name")))
-        .withColumn("IDENTIFIER", F.col("is_candidate_identifier") & F.col("has_name_signal") & identifier_name)
-        .withColumn("TEMPORAL_FIELD", kind.isin("DATE", "DATETIME"))
-        .withColumn("CONTACT_INFORMATION", named(CONTACT) & ~has_word(tokens, NOT_CONTACT))
-        .withColumn("GEOGRAPHIC_INFORMATION", named(PLACE) | is_phrase(tokens, WHOLE_NAME_PLACE))
-        .withColumn("DEMOGRAPHIC_INFORMATION", named(DEMOGRAPHIC))
-        .withColumn("FINANCIAL_INFORMATION", numeric & named(MONEY))
-        .withColumn("BUSINESS_METRIC", numeric & named(METRIC))
-        .withColumn("FREE_TEXT", (kind == "STRING") & named(FREE_TEXT))
-    )
-    categorical = (
-        kind.isin("STRING", "BOOLEAN")
-        & (F.col("row_count") >= CATEGORICAL_ROWS)
-        & (F.col("non_null_count") >= CATEGORICAL_VALUES)
-        & (F.col("distinct_count") >= CATEGORICAL_DISTINCT)
-        & F.coalesce(F.col("cardinality_ratio") <= CATEGORICAL_RATIO, F.lit(False))
-        & ~(F.col("IDENTIFIER") | F.col("FREE_TEXT") | F.col("BUSINESS_METRIC"))
-    )
-    combinable = F.col("DEMOGRAPHIC_INFORMATION") | F.col("GEOGRAPHIC_INFORMATION")
-    together = F.count_if(combinable).over(Window.partitionBy("table_name"))
-    return (
-        result.withColumn("CATEGORICAL_DIMENSION", categorical)
-        .withColumn(
-            "QUASI_IDENTIFIER",
-            combinable & (together >= 2) & ~F.col("IDENTIFIER") & ~F.col("CONTACT_INFORMATION"),
-        )
-        .withColumn(
-            "POTENTIAL_PERSONAL_DATA",
-            F.col("IDENTIFIER") | F.col("CONTACT_INFORMATION") | F.col("DEMOGRAPHIC_INFORMATION"),
-        )
+    """Adds ``tokens``, ``words`` and one Boolean per category; quasi-identifiers look at the whole
+    table."""
+    numeric = "inferred_type in ('INTEGER', 'FLOAT')"
+
+    def named(phrases: tuple[str, ...]) -> str:
+        return f"({ends_with_phrase('words', phrases)} and not {is_phrase('words', OTHER_CONTEXT)})"
+
+    identifier_name = f"({is_phrase('words', IDENTIFIER_WORDS)} or {ends_with_phrase('words', ('id',))})"
+    return sql_over(
+        f"""
+        with tokenized as (select *, {name_tokens('name')} as tokens from $profile),
+        worded as (select *, array_join(tokens, ' ') as words from tokenized),
+        by_name as (
+            select *, is_candidate_identifier and has_name_signal and {identifier_name} as IDENTIFIER,
+                inferred_type in ('DATE', 'DATETIME') as TEMPORAL_FIELD,
+                {named(CONTACT)} and not {has_word('tokens', NOT_CONTACT)} as CONTACT_INFORMATION,
+                {named(PLACE)} or {is_phrase('words', WHOLE_NAME_PLACE)} as GEOGRAPHIC_INFORMATION,
+                {named(DEMOGRAPHIC)} as DEMOGRAPHIC_INFORMATION,
+                {numeric} and {named(MONEY)} as FINANCIAL_INFORMATION,
+                {numeric} and {named(METRIC)} as BUSINESS_METRIC,
+                inferred_type = 'STRING' and {named(FREE_TEXT)} as FREE_TEXT
+            from worded)
+        select *,
+            inferred_type in ('STRING', 'BOOLEAN') and row_count >= {CATEGORICAL_ROWS}
+                and non_null_count >= {CATEGORICAL_VALUES} and distinct_count >= {CATEGORICAL_DISTINCT}
+                and coalesce(cardinality_ratio <= {CATEGORICAL_RATIO}D, false)
+                and not (IDENTIFIER or FREE_TEXT or BUSINESS_METRIC) as CATEGORICAL_DIMENSION,
+            (DEMOGRAPHIC_INFORMATION or GEOGRAPHIC_INFORMATION) and not IDENTIFIER and not CONTACT_INFORMATION
+                and count_if(DEMOGRAPHIC_INFORMATION or GEOGRAPHIC_INFORMATION) over (partition by table_name) >= 2
+                as QUASI_IDENTIFIER,
+            IDENTIFIER or CONTACT_INFORMATION or DEMOGRAPHIC_INFORMATION as POTENTIAL_PERSONAL_DATA
+        from by_name""",
+        profile=profile,
     )
 
 
 def classifications(profile: DataFrame) -> DataFrame:
     """One row per column and category, with its signals and confidence."""
-    categorised = with_categories(profile)
-    rows = [F.when(F.col(name), _classification(name)) for name in CATEGORIES]
-    exploded = categorised.select(
+    rows = ", ".join(f"case when {name} then {_classification(name)} end" for name in CATEGORIES)
+    exploded = with_categories(profile).selectExpr(
         "table_name", "position", "column_id", "name", "tokens", "inferred_type", "is_candidate_identifier",
-        F.explode(F.array_compact(F.array(*rows))).alias("class"),
+        f"explode(array_compact(array({rows}))) as class",
     ).select("*", "class.*").drop("class")
-    total = F.aggregate("signals", F.lit(0), lambda total, item: total + item["strength"])
-    strong = F.exists("signals", lambda item: item["strength"] == STRONG)
-    confidence = (
-        F.when((total >= HIGH_TOTAL) & strong, "HIGH").when(total >= MEDIUM_TOTAL, "MEDIUM").otherwise("LOW")
-    )
-    return exploded.withColumn("confidence", confidence).withColumn(
-        "classification_id", F.concat(F.lit("C-GOV-"), F.col("column_id"), F.lit("-"), F.col("category"))
+    total = "aggregate(signals, 0, (total, item) -> total + item.strength)"
+    return exploded.selectExpr(
+        "*",
+        f"""case when {total} >= {HIGH_TOTAL} and exists(signals, item -> item.strength = {STRONG}) then 'HIGH'
+            when {total} >= {MEDIUM_TOTAL} then 'MEDIUM' else 'LOW' end as confidence""",
+        "concat('C-GOV-', column_id, '-', category) as classification_id",
     )
 
 
@@ -119,29 +109,25 @@ def signals(classified: DataFrame) -> DataFrame:
 
 def governance_judgements(classified: DataFrame) -> DataFrame:
     """One informational finding per classification, with one piece of evidence per signal."""
-    category = F.lower("category")
-    evidence = F.transform(
-        "signals",
-        lambda item: J.evidence(
-            item["evidence_id"], "governance_signal", F.col("column_id"), F.col("rule_id"),
-            "governance_signal_strength", item["strength"], item["strength"],
-            details=[
-                J.detail("position", F.col("position")),
-                J.detail("normalized_name_tokens", F.array_join("tokens", ",")),
-                J.detail("primitive_type", F.col("inferred_type")),
-                J.detail("candidate_identifier", F.col("is_candidate_identifier")),
-            ],
-        ),
+    item = J.evidence(
+        "item.evidence_id", "governance_signal", "column_id", "rule_id", "governance_signal_strength",
+        "item.strength", "item.strength",
+        details=[
+            J.detail("position", "position"),
+            J.detail("normalized_name_tokens", "array_join(tokens, ',')"),
+            J.detail("primitive_type", "inferred_type"),
+            J.detail("candidate_identifier", "is_candidate_identifier"),
+        ],
     )
     finding = J.finding(
-        finding_id=F.concat(F.lit("F-GOV-"), F.col("column_id"), F.lit("-"), F.col("category")),
-        assertion_level="INFERRED", severity="INFO", confidence=F.col("confidence"), category=category,
-        subject=F.col("column_id"), title=F.concat(F.lit("Looks like "), F.replace(category, F.lit("_"), F.lit(" "))),
-        description=F.concat(F.lit("Name, type and counts of "), F.col("name"), F.lit(" fit fixed rules; no legal claim is made.")),
-        method=F.col("rule_id"),
+        finding_id="concat('F-GOV-', column_id, '-', category)", assertion_level="'INFERRED'", severity="'INFO'",
+        confidence="confidence", category="lower(category)", subject="column_id",
+        title="concat('Looks like ', replace(lower(category), '_', ' '))",
+        description="concat('Name, type and counts of ', name, ' fit fixed rules; no legal claim is made.')",
+        method="rule_id",
     )
-    order = F.col("position").cast("bigint") * 100 + F.col("category_rank")
-    return J.explode_judgements(classified, "GOVERNANCE", [J.judgement(order, finding, evidence)])
+    judgement = J.judgement("position * 100L + category_rank", finding, f"transform(signals, item -> {item})")
+    return J.explode_judgements(classified, "GOVERNANCE", [judgement])
 
 
 def governance_summary(classified: DataFrame) -> DataFrame:
@@ -169,39 +155,33 @@ def governance_summary(classified: DataFrame) -> DataFrame:
     )
 
 
-def _classification(category: str) -> Column:
-    return F.struct(
-        F.lit(CATEGORIES.index(category)).alias("category_rank"),
-        F.lit(category).alias("category"),
-        F.lit(RULES[category]).alias("rule_id"),
-        F.array_compact(F.array(*_signals(category))).alias("signals"),
+def _classification(category: str) -> str:
+    return (
+        f"named_struct('category_rank', {CATEGORIES.index(category)}, 'category', '{category}',"
+        f" 'rule_id', '{RULES[category]}', 'signals', array_compact(array({', '.join(_signals(category))})))"
     )
 
 
-def _signals(category: str) -> list[Column]:
+def _signals(category: str) -> list[str]:
     """The signals a category carries, in report order."""
-    approved = _signal(category, "COLUMN_NAME", F.lit("approved_name"), NAME_STRENGTH)
-    typed = _signal(category, "PRIMITIVE_TYPE", F.col("inferred_type"), OTHER_STRENGTH)
+    approved = _signal(category, "COLUMN_NAME", "'approved_name'", NAME_STRENGTH)
+    typed = _signal(category, "PRIMITIVE_TYPE", "inferred_type", OTHER_STRENGTH)
     if category in ("POTENTIAL_PERSONAL_DATA", "QUASI_IDENTIFIER"):
-        return [_signal(category, "COLUMN_NAME", F.lit("contributing_category"), OTHER_STRENGTH)]
+        return [_signal(category, "COLUMN_NAME", "'contributing_category'", OTHER_STRENGTH)]
     if category == "IDENTIFIER":
-        unique = F.lit("structural_candidate_identifier")
-        return [approved, _signal(category, "UNIQUENESS", unique, OTHER_STRENGTH)]
+        return [approved, _signal(category, "UNIQUENESS", "'structural_candidate_identifier'", OTHER_STRENGTH)]
     if category == "TEMPORAL_FIELD":
-        return [F.when(is_phrase(F.col("tokens"), TIME_NAMES), approved), typed]
+        return [f"case when {is_phrase('words', TIME_NAMES)} then {approved} end", typed]
     if category == "CATEGORICAL_DIMENSION":
-        return [typed, _signal(category, "VALUE_DISTRIBUTION", F.lit("bounded_cardinality"), OTHER_STRENGTH)]
+        return [typed, _signal(category, "VALUE_DISTRIBUTION", "'bounded_cardinality'", OTHER_STRENGTH)]
     if category in ("CONTACT_INFORMATION", "GEOGRAPHIC_INFORMATION"):
         return [approved]
     return [approved, typed]
 
 
-def _signal(category: str, source: str, kind: Column, strength: int) -> Column:
-    tail = F.concat(F.lit("-GOV-COL-"), F.col("position").cast("string"), F.lit(f"-{category}-{source}"))
-    return F.struct(
-        F.concat(F.lit("S"), tail).alias("signal_id"),
-        F.lit(source).alias("signal_source"),
-        kind.alias("signal_type"),
-        F.lit(strength).alias("strength"),
-        F.concat(F.lit("E"), tail).alias("evidence_id"),
+def _signal(category: str, source: str, kind: str, strength: int) -> str:
+    tail = f"'-GOV-COL-', position, '-{category}-{source}'"
+    return (
+        f"named_struct('signal_id', concat('S', {tail}), 'signal_source', '{source}', 'signal_type', {kind},"
+        f" 'strength', {strength}, 'evidence_id', concat('E', {tail}))"
     )

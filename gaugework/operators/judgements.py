@@ -1,89 +1,74 @@
-"""Findings and the evidence behind them, as structs built next to the measured values."""
+"""Findings and the evidence behind them, as SQL structs built next to the measured values."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 VERSION = "0.1"
+_DETAILS = "array<struct<key:string,value:string>>"
+_FINDING = (
+    "finding_id", "assertion_level", "severity", "confidence", "category", "subject", "title", "description", "method",
+)
 
 
-def detail(key: str, value: Column) -> Column:
-    return F.struct(F.lit(key).alias("key"), value.cast("string").alias("value"))
+def text(value: str) -> str:
+    """A SQL text literal."""
+    return "'" + value.replace("'", "\\'") + "'"
 
 
-def finding(**fields: Column | str) -> Column:
-    """Struct of ``finding_id, assertion_level, severity, confidence, category, subject, title,
-    description, method``."""
-    names = (
-        "finding_id", "assertion_level", "severity", "confidence", "category", "subject", "title", "description",
-        "method",
-    )
-    return F.struct(*[_column(fields[name]).cast("string").alias(name) for name in names])
+def detail(key: str, value: str) -> str:
+    return f"named_struct('key', '{key}', 'value', cast({value} as string))"
+
+
+def finding(**fields: str) -> str:
+    """Struct of a finding; every field is SQL, see ``text`` for literals."""
+    return "named_struct(" + ", ".join(f"'{name}', cast({fields[name]} as string)" for name in _FINDING) + ")"
 
 
 def evidence(
-    evidence_id: Column,
+    evidence_id: str,
     type: str,
-    subject: Column | str,
-    rule_id: Column | str,
+    subject: str,
+    rule_id: str,
     metric: str,
-    observed: Column,
-    observed_number: Column | None = None,
-    denominator: Column | None = None,
-    affected_rows: Column | None = None,
-    details: list[Column] | None = None,
-) -> Column:
-    missing = F.lit(None)
-    return F.struct(
-        evidence_id.alias("evidence_id"),
-        F.lit(type).alias("type"),
-        _column(subject).alias("subject"),
-        _column(rule_id).alias("rule_id"),
-        F.lit(VERSION).alias("rule_version"),
-        F.lit(metric).alias("metric"),
-        observed.cast("string").alias("observed_value"),
-        (missing if observed_number is None else observed_number).cast("double").alias("observed_number"),
-        (missing if denominator is None else denominator).cast("bigint").alias("denominator"),
-        (missing if affected_rows is None else affected_rows).cast("bigint").alias("affected_rows"),
-        F.lit("none").alias("sample_policy"),
-        (F.array(*details) if details else F.array()).cast("array<struct<key:string,value:string>>").alias("details"),
+    observed: str,
+    observed_number: str = "null",
+    denominator: str = "null",
+    affected_rows: str = "null",
+    details: list[str] | None = None,
+) -> str:
+    listed = f"array({', '.join(details)})" if details else f"cast(array() as {_DETAILS})"
+    return (
+        f"named_struct('evidence_id', {evidence_id}, 'type', '{type}', 'subject', {subject}, 'rule_id', {rule_id},"
+        f" 'rule_version', '{VERSION}', 'metric', '{metric}', 'observed_value', cast({observed} as string),"
+        f" 'observed_number', cast({observed_number} as double), 'denominator', cast({denominator} as bigint),"
+        f" 'affected_rows', cast({affected_rows} as bigint), 'sample_policy', 'none', 'details', {listed})"
     )
 
 
-def judgement(order: Column, finding_struct: Column, evidence_structs: Column) -> Column:
-    """One finding with its evidence; ``order`` is the place of the finding within its source."""
-    return F.struct(
-        order.cast("bigint").alias("finding_order"),
-        finding_struct.alias("finding"),
-        evidence_structs.alias("evidence"),
+def judgement(order: str, finding_struct: str, evidence_array: str, where: str = "true") -> str:
+    """One finding with its evidence, null unless ``where`` holds; ``order`` is its place within the
+    source."""
+    return (
+        f"case when {where} then named_struct('finding_order', cast({order} as bigint),"
+        f" 'finding', {finding_struct}, 'evidence', {evidence_array}) end"
     )
 
 
-def explode_judgements(frame: DataFrame, source: str, judgements: list[Column]) -> DataFrame:
+def explode_judgements(frame: DataFrame, source: str, judgements: list[str]) -> DataFrame:
     """``table_name, source, finding_order, finding, evidence`` from nullable judgement structs."""
-    return frame.select(
-        "table_name",
-        F.lit(source).alias("source"),
-        F.explode(F.array_compact(F.array(*judgements))).alias("judgement"),
+    return frame.selectExpr(
+        "table_name", f"'{source}' as source", f"explode(array_compact(array({', '.join(judgements)}))) as judgement"
     ).select("table_name", "source", "judgement.*")
 
 
 def findings(judgements: DataFrame) -> DataFrame:
-    return judgements.select(
-        "table_name",
-        "source",
-        "finding_order",
-        "finding.*",
-        F.transform("evidence", lambda item: item["evidence_id"]).alias("evidence_ids"),
+    return judgements.selectExpr(
+        "table_name", "source", "finding_order", "finding.*", "transform(evidence, e -> e.evidence_id) as evidence_ids"
     )
 
 
 def evidence_rows(judgements: DataFrame) -> DataFrame:
-    return judgements.select(
-        "table_name", "source", "finding_order", F.posexplode("evidence").alias("evidence_order", "item")
+    return judgements.selectExpr(
+        "table_name", "source", "finding_order", "posexplode(evidence) as (evidence_order, item)"
     ).select("table_name", "source", "finding_order", "evidence_order", "item.*")
-
-
-def _column(value: Column | str) -> Column:
-    return F.lit(value) if isinstance(value, str) else value

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
 from gaugework.operators import judgements as J
 from gaugework.operators.identifiers import BY_NAME, BY_STRUCTURE
@@ -18,96 +17,72 @@ def profiling_judgements(profile: DataFrame, duplicates: DataFrame) -> DataFrame
         profile,
         "PROFILING",
         [
-            F.when(
-                F.col("is_all_null"),
-                _column_metric(
-                    "all_null", "WARNING", "Every value is null", F.col("null_count"), F.col("row_count")
-                ),
+            _column_metric("is_all_null", "all_null", "WARNING", "Every value is null", "null_count", "row_count"),
+            _column_metric(
+                "is_constant", "constant_column", "INFO", "All filled cells hold the same value", "distinct_count",
+                "non_null_count",
             ),
-            F.when(
-                F.col("is_constant"),
-                _column_metric(
-                    "constant_column", "INFO", "All filled cells hold the same value",
-                    F.col("distinct_count"), F.col("non_null_count"),
-                ),
-            ),
-            F.when(F.col("is_candidate_identifier"), _candidate()),
+            _candidate(),
         ],
     )
     return per_table.unionByName(per_column)
 
 
-def _repeated_rows() -> Column:
-    return F.when(
-        F.col("duplicate_excess_row_count") > 0,
-        J.judgement(
-            F.lit(0),
-            J.finding(
-                finding_id="F-DATASET-DUPLICATE-ROWS", assertion_level="DETECTED", severity="WARNING",
-                confidence="HIGH", category="duplicate_record", subject="dataset", title="Some rows occur repeatedly",
-                description="Rows that agree in every column were counted exactly.", method=ROW_RULE,
-            ),
-            F.array(
-                J.evidence(
-                    F.lit("E-DATASET-DUPLICATE-ROWS"), "metric", "dataset", ROW_RULE, "duplicate_excess_row_count",
-                    F.col("duplicate_excess_row_count"), F.col("duplicate_excess_row_count"),
-                    affected_rows=F.col("duplicate_row_count"),
-                )
-            ),
-        ),
+def _repeated_rows() -> str:
+    observed = "duplicate_excess_row_count"
+    item = J.evidence(
+        "'E-DATASET-DUPLICATE-ROWS'", "metric", "'dataset'", J.text(ROW_RULE), observed, observed, observed,
+        affected_rows="duplicate_row_count",
+    )
+    finding = J.finding(
+        finding_id="'F-DATASET-DUPLICATE-ROWS'", assertion_level="'DETECTED'", severity="'WARNING'",
+        confidence="'HIGH'", category="'duplicate_record'", subject="'dataset'",
+        title=J.text("Some rows occur repeatedly"),
+        description=J.text("Rows that agree in every column were counted exactly."), method=J.text(ROW_RULE),
     )
+    return J.judgement("0", finding, f"array({item})", f"{observed} > 0")
 
 
-def _id(kind: str, suffix: str) -> Column:
-    return F.concat(F.lit(f"{kind}-COL-"), F.col("position").cast("string"), F.lit(f"-{suffix}"))
+def _id(kind: str, suffix: str) -> str:
+    return f"concat('{kind}-COL-', position, '-{suffix}')"
 
 
-def _column_metric(category: str, severity: str, title: str, observed: Column, denominator: Column) -> Column:
-    suffix, rule = category.upper(), f"{category}_v0_1"
-    return J.judgement(
-        (F.col("position") + 1) * 10,
-        J.finding(
-            finding_id=_id("F", suffix), assertion_level="DETECTED", severity=severity, confidence="HIGH",
-            category=category, subject=F.col("column_id"), title=title,
-            description="Measured over the whole column.", method=rule,
-        ),
-        F.array(
-            J.evidence(
-                _id("E", suffix), "metric", F.col("column_id"), rule, category, observed, observed, denominator, observed
-            )
-        ),
+def _column_metric(where: str, category: str, severity: str, title: str, observed: str, denominator: str) -> str:
+    suffix, rule = category.upper(), J.text(f"{category}_v0_1")
+    finding = J.finding(
+        finding_id=_id("F", suffix), assertion_level="'DETECTED'", severity=J.text(severity), confidence="'HIGH'",
+        category=J.text(category), subject="column_id", title=J.text(title),
+        description=J.text("Measured over the whole column."), method=rule,
     )
+    item = J.evidence(
+        _id("E", suffix), "metric", "column_id", rule, category, observed, observed, denominator, observed
+    )
+    return J.judgement("(position + 1) * 10", finding, f"array({item})", where)
 
 
-def _candidate() -> Column:
-    reason = F.col("candidate_identifier_reason")
-
-    def threshold(name: str) -> Column:
-        value = F.when(F.col("has_name_signal"), F.lit(str(BY_NAME[name]))).otherwise(F.lit(str(BY_STRUCTURE[name])))
-        return J.detail(name, value)
-
+def _candidate() -> str:
+    thresholds = [
+        J.detail(name, f"case when has_name_signal then '{BY_NAME[name]}' else '{BY_STRUCTURE[name]}' end")
+        for name in BY_NAME
+    ]
     details = [
-        J.detail("row_count", F.col("row_count")),
-        J.detail("completeness", F.col("completeness_ratio")),
-        J.detail("uniqueness", F.col("uniqueness_ratio")),
-        J.detail("name_signal", F.col("has_name_signal")),
-        J.detail("matched_rule", reason),
-        J.detail("rule_version", F.lit(J.VERSION)),
-        *[threshold(name) for name in BY_NAME],
+        J.detail("row_count", "row_count"),
+        J.detail("completeness", "completeness_ratio"),
+        J.detail("uniqueness", "uniqueness_ratio"),
+        J.detail("name_signal", "has_name_signal"),
+        J.detail("matched_rule", "candidate_identifier_reason"),
+        J.detail("rule_version", J.text(J.VERSION)),
+        *thresholds,
     ]
-    return J.judgement(
-        (F.col("position") + 1) * 10 + 1,
-        J.finding(
-            finding_id=_id("F", "CANDIDATE-IDENTIFIER"), assertion_level="INFERRED", severity="INFO",
-            confidence="HIGH", category="candidate_identifier", subject=F.col("column_id"),
-            title="Column behaves like an identifier",
-            description="Inferred from counts only; no key constraint was checked or confirmed.",
-            method=CANDIDATE_RULE,
-        ),
-        F.array(
-            J.evidence(
-                _id("E", "CANDIDATE-IDENTIFIER"), "metric", F.col("column_id"), CANDIDATE_RULE,
-                "candidate_identifier_rule_match", reason, details=details,
-            )
-        ),
+    finding = J.finding(
+        finding_id=_id("F", "CANDIDATE-IDENTIFIER"), assertion_level="'INFERRED'", severity="'INFO'",
+        confidence="'HIGH'", category="'candidate_identifier'", subject="column_id",
+        title=J.text("Column behaves like an identifier"),
+        description=J.text("Inferred from counts only; no key constraint was checked or confirmed."),
+        method=J.text(CANDIDATE_RULE),
+    )
+    item = J.evidence(
+        _id("E", "CANDIDATE-IDENTIFIER"), "metric", "column_id", J.text(CANDIDATE_RULE),
+        "candidate_identifier_rule_match", "candidate_identifier_reason", details=details,
     )
+    return J.judgement("(position + 1) * 10 + 1", finding, f"array({item})", "is_candidate_identifier")

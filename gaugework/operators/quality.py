@@ -77,29 +77,20 @@ def quality_score(by_table: DataFrame) -> DataFrame:
 
 def quality_judgements(profile: DataFrame) -> DataFrame:
     """Repeated and missing identifiers column by column, then malformed values."""
-    candidate, filled = F.col("is_candidate_identifier"), F.col("row_count") > 0
-    position = F.col("position").cast("bigint")
     return J.explode_judgements(
         profile,
         "QUALITY",
         [
-            F.when(
-                filled & candidate & (F.col("duplicate_excess_rows") > 0),
-                _identifier_judgement(
-                    position * 2, "DUPLICATE-IDENTIFIER", "duplicate_structural_identifier", DUPLICATE_RULE,
-                    "duplicate_excess_rows", F.col("non_null_count"), "Identifier values repeat",
-                    "rows repeat an identifier value seen before in",
-                ),
+            _identifier_judgement(
+                "position * 2L", "DUPLICATE-IDENTIFIER", "duplicate_structural_identifier", DUPLICATE_RULE,
+                "duplicate_excess_rows", "non_null_count", "Identifier values repeat",
+                "rows repeat an identifier value seen before in",
             ),
-            F.when(
-                filled & candidate & (F.col("null_count") > 0),
-                _identifier_judgement(
-                    position * 2 + 1, "MISSING-IDENTIFIER", "structural_identifier_missingness", MISSING_RULE,
-                    "null_count", F.col("row_count"), "Identifier values are missing",
-                    "rows have no identifier value in",
-                ),
+            _identifier_judgement(
+                "position * 2L + 1", "MISSING-IDENTIFIER", "structural_identifier_missingness", MISSING_RULE,
+                "null_count", "row_count", "Identifier values are missing", "rows have no identifier value in",
             ),
-            F.when(F.col("invalid_count") > 0, _malformed(position)),
+            _malformed(),
         ],
     )
 
@@ -197,54 +188,44 @@ def _consistency(empty: Column) -> Column:
     return _dimension("consistency", empty, reason, short, percent(1.0 - ratio(bad, whole)), whole - bad, whole)
 
 
-def _id(kind: str, suffix: str) -> Column:
-    return F.concat(F.lit(f"{kind}-QUALITY-COL-"), F.col("position").cast("string"), F.lit(f"-{suffix}"))
+def _id(kind: str, suffix: str) -> str:
+    return f"concat('{kind}-QUALITY-COL-', position, '-{suffix}')"
 
 
 def _identifier_judgement(
-    order: Column, suffix: str, category: str, rule: str, metric: str, denominator: Column, title: str, phrase: str
-) -> Column:
-    observed = F.col(metric)
+    order: str, suffix: str, category: str, rule: str, metric: str, denominator: str, title: str, phrase: str
+) -> str:
     details = [
-        J.detail("column_id", F.col("column_id")),
-        J.detail("column_position", F.col("position")),
-        J.detail("row_count", F.col("row_count")),
-        J.detail("non_null_count", F.col("non_null_count")),
-        J.detail("structural_candidate_identifier", F.lit(True)),
-        J.detail("model_version", F.lit(J.VERSION)),
-        J.detail(metric, observed),
+        J.detail("column_id", "column_id"),
+        J.detail("column_position", "position"),
+        J.detail("row_count", "row_count"),
+        J.detail("non_null_count", "non_null_count"),
+        J.detail("structural_candidate_identifier", "true"),
+        J.detail("model_version", J.text(J.VERSION)),
+        J.detail(metric, metric),
     ]
-    return J.judgement(
-        order,
-        J.finding(
-            finding_id=_id("F", suffix), assertion_level="DETECTED", severity="WARNING", confidence="HIGH",
-            category=category, subject=F.col("column_id"), title=title,
-            description=F.concat(observed.cast("string"), F.lit(f" {phrase} "), F.col("name"), F.lit(".")), method=rule,
-        ),
-        F.array(
-            J.evidence(
-                _id("E", suffix), "metric", F.col("column_id"), rule, metric, observed, observed, denominator, observed,
-                details,
-            )
-        ),
+    finding = J.finding(
+        finding_id=_id("F", suffix), assertion_level="'DETECTED'", severity="'WARNING'", confidence="'HIGH'",
+        category=J.text(category), subject="column_id", title=J.text(title),
+        description=f"concat({metric}, ' {phrase} ', name, '.')", method=J.text(rule),
     )
+    item = J.evidence(
+        _id("E", suffix), "metric", "column_id", J.text(rule), metric, metric, metric, denominator, metric, details
+    )
+    return J.judgement(order, finding, f"array({item})", f"is_candidate_identifier and {metric} > 0")
 
 
-def _malformed(position: Column) -> Column:
-    bad, kind = F.col("invalid_count"), F.col("parser_type")
-    return J.judgement(
-        F.lit(1 << 40) + position,
-        J.finding(
-            finding_id=_id("F", "MALFORMED-VALUE"), assertion_level="DETECTED", severity="WARNING", confidence="HIGH",
-            category="malformed_value", subject=F.col("column_id"), title="Some values do not parse",
-            description=F.concat(bad.cast("string"), F.lit(" filled cells are not of type "), kind, F.lit(".")),
-            method=MALFORMED_RULE,
-        ),
-        F.array(
-            J.evidence(
-                _id("E", "MALFORMED-VALUE"), "metric", F.col("column_id"), MALFORMED_RULE, "invalid_non_null_count",
-                bad, bad, F.col("non_null_count"), bad,
-                [J.detail("expected_primitive_type", kind), J.detail("parser_rule", F.lit(MALFORMED_RULE))],
-            )
-        ),
+def _malformed() -> str:
+    bad, rule = "invalid_count", J.text(MALFORMED_RULE)
+    finding = J.finding(
+        finding_id=_id("F", "MALFORMED-VALUE"), assertion_level="'DETECTED'", severity="'WARNING'", confidence="'HIGH'",
+        category="'malformed_value'", subject="column_id", title=J.text("Some values do not parse"),
+        description=f"concat({bad}, ' filled cells are not of type ', parser_type, '.')", method=rule,
+    )
+    details = [J.detail("expected_primitive_type", "parser_type"), J.detail("parser_rule", rule)]
+    item = J.evidence(
+        _id("E", "MALFORMED-VALUE"), "metric", "column_id", rule, "invalid_non_null_count", bad, bad, "non_null_count",
+        bad, details,
     )
+    # After all identifier findings of the table.
+    return J.judgement(f"{1 << 40}L + position", finding, f"array({item})", f"{bad} > 0")

@@ -101,7 +101,7 @@ def load_csv(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataF
     if audit.blank and not audit.open:
         raise Malformed(f"{path} holds blank lines")
     frame = read_csv(spark, path, heads[0].delimiter, list(heads[0].header), bool(audit.open))
-    if frame.where(F.col(CORRUPT).isNotNull()).select(CORRUPT).head():
+    if frame.where(F.col(CORRUPT).isNotNull()).head():
         raise Malformed(f"{path} holds rows of another width than the header")
     return _texts(frame)
 

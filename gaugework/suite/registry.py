@@ -378,7 +378,7 @@ def _messy_governance() -> str:
 _add(
     "name_tokens_catalog",
     lambda s, d: _catalogue(s, d).profile.select(
-        "table_name", "position", F.array_join(name_tokens(F.col("name")), " ").alias("tokens")
+        "table_name", "position", F.array_join(F.expr(name_tokens("name")), " ").alias("tokens")
     ),
     O.with_ctes(_catalogue_governance(), "select table_name, position, words as tokens from worded"),
 )
@@ -766,7 +766,7 @@ def _csv_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three folders of whole tables: clean, with ragged rows, and with a doubled column name."""
     orders = X.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
     ragged = orders.select(
-        F.when(F.col("o_orderkey") % 97 == 0, F.concat("o_orderkey", F.lit(",surplus"))).otherwise(F.col("o_orderkey")).alias("o_orderkey,o_orderstatus"),
+        F.when(F.col("o_orderkey") % 97 == 0, F.concat("o_orderkey", F.lit(",surplus"))).otherwise(F.col("o_orderkey").cast("string")).alias("o_orderkey,o_orderstatus"),
         "o_orderstatus",
     ).select(F.concat_ws(",", "*").alias("o_orderkey,o_orderstatus"))
     doubled = orders.select(F.concat_ws(",", "o_orderkey", "o_orderkey").alias("value"))
