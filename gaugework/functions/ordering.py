@@ -13,14 +13,14 @@ def order_key_ctes(source: str, prefix: str, number: str = "number") -> list[str
     wherever the double differs. The last one is called ``prefix``; not-a-number has no key.
 
     The key is sign x (biased exponent, mantissa), computed with exact powers of two. ``log2`` may be
-    off by one next to a power of two, which the two comparisons put right. Zero and infinity have no
+    off by one next to a power of two, which the two comparisons put right; above all exponents it is cut. Zero and infinity have no
     logarithm to round, so they are set apart before it is taken. The steps are separate so that each
     is computed once.
     """
     size = f"abs({number})"
     inner = f"case when {size} > 0D and {size} < {_INFINITE} then {size} end"
     return [
-        f"{prefix}_g as (select *, {inner} as size, cast(floor(log2({inner})) as int) as guess from {source})",
+        f"{prefix}_g as (select *, {inner} as size, least(cast(floor(log2({inner})) as int), 1023) as guess from {source})",
         f"{prefix}_s as (select *, size / pow(2D, guess) as scaled from {prefix}_g)",
         f"""{prefix}_m as (select *, case
                 when size < {_NORMAL} then cast(size / {_TINY} as bigint)

@@ -7,7 +7,8 @@ import itertools
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,18 +25,27 @@ HEAD_SCHEMA = "file string, delimiter string, header array<string>, verdict stri
 def csv_files(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
     """The files below a path with their size and, for empty or oversized ones, a verdict. File
     contents are not read."""
-    listed = spark.read.format("binaryFile").load(path).select(F.col("path").alias("file"), F.col("length").alias("bytes"))
+    sizes = spark.read.format("binaryFile").load(path).select(_uri("path").alias("file"), F.col("length").alias("bytes"))
+    # Scans leave out files without content, so the names come from the file listing itself.
+    names = pa.table({"name": pa.array(spark.read.text(path).inputFiles(), pa.string())})
+    listed = spark.createDataFrame(names).select(_uri("name").alias("file")).distinct()
+    listed = listed.join(sizes, "file", "left").fillna(0, ["bytes"])
     verdict = F.when(F.col("bytes") == 0, EmptyDataset.code).when(
         beyond(F.col("bytes"), limits.max_file_bytes), FileTooLarge.code
     )
     return listed.withColumn("verdict", verdict)
 
 
+def _uri(column: str) -> Column:
+    """File names as one spelling: listings and scans disagree about slashes after the scheme."""
+    return F.regexp_replace(column, r"^(\w+):/+", "$1:/")
+
+
 def csv_lines(spark: SparkSession, path: str) -> DataFrame:
     """Lines with the file and the start of the block they were read from; large files are split."""
     text = spark.read.text(path)
     return text.select(
-        F.col("_metadata.file_path").alias("file"),
+        _uri("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
         F.col("value").alias("line"),
     )

@@ -150,7 +150,7 @@ CANDIDATES = """select table_name, position, name, reason, reason like 'name%' a
     round(non_null_count / row_count, 6) as completeness, round(distinct_count / non_null_count, 6) as uniqueness
     from profile where reason is not null"""
 
-PROFILING_FINDINGS = """
+PROFILING_FINDINGS = f"""
     select 'F-COL-' || position || '-ALL_NULL' as finding_id, 'WARNING' as severity, 'DETECTED' as assertion_level,
         'all_null' as category, null_count as observed, row_count as denominator
         from profile where row_count > 0 and non_null_count = 0
@@ -159,7 +159,7 @@ PROFILING_FINDINGS = """
     union all select 'F-COL-' || position || '-CANDIDATE-IDENTIFIER', 'INFO', 'INFERRED', 'candidate_identifier', null, null
         from profile where reason is not null
     union all select 'F-DATASET-DUPLICATE-ROWS', 'WARNING', 'DETECTED', 'duplicate_record', sum(n - 1)::bigint, null
-        from (select count(*) as n from m group by all) having sum(n - 1) > 0"""
+        from (select count(*) as n from m group by {', '.join(X.CUSTOMER_COLUMNS)}) having sum(n - 1) > 0"""
 
 QUALITY_FINDINGS_CTE = """quality_findings as (
     select position * 2 as finding_order, 'F-QUALITY-COL-' || position || '-DUPLICATE-IDENTIFIER' as finding_id,

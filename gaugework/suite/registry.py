@@ -314,7 +314,7 @@ _DIMENSION_COLUMNS = ("name", "weight", "score", "applicability", "reason", "num
 
 
 def _physical_quality(table: str) -> str:
-    excess = f"select coalesce(sum(n - 1), 0) from (select count(*) as n from {table} group by all) g"
+    excess = f"select coalesce(sum(n - 1), 0) from (select count(*) as n from {table} group by {', '.join(_names(table))}) g"
     ctes = O.physical_profile({table: SCHEMAS[table]})
     # Physical identifiers hold no nulls, so every repeated row is covered.
     return f"{ctes}, {O.quality_ctes('select 0', excess, O.PHYSICAL_FAMILIES)}"
@@ -455,15 +455,14 @@ _add(
 def _orphan_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     analysis = messy(spark, sf_dir)
     lost = orphans(analysis.recommendations, analysis.findings, analysis.evidence)
-    return analysis.recommendations.agg(F.count(F.lit(1)).alias("recommendations")).join(
-        lost.agg(F.count(F.lit(1)).alias("orphans")), F.lit(True)
-    )
+    whole = analysis.recommendations.select(F.lit("recommended").alias("kind"))
+    return whole.unionAll(lost.select(F.concat(F.lit("lost "), "kind"))).groupBy("kind").agg(F.count(F.lit(1)).alias("count"))
 
 
 _add(
     "traceability_orphans",
     _orphan_counts,
-    O.with_ctes(O.messy_rules(), "select count(*) as recommendations, 0::bigint as orphans from recommended"),
+    O.with_ctes(O.messy_rules(), "select 'recommended' as kind, count(*) as count from recommended"),
 )
 
 # --- views -----------------------------------------------------------------------------------
