@@ -57,7 +57,7 @@ def test_limits_pass_at_the_limit(spark, tmp_path):
 
 def test_audit_gives_a_verdict_per_file(spark, tmp_path):
     write(tmp_path, "a,b\n1,2\n", "good.csv")
-    write(tmp_path, "a|b\n1|2|3\n", "ragged.csv")
+    write(tmp_path, "a,b\n1,2\n1,2,3\n", "ragged.csv")
     write(tmp_path, "", "void.csv")
     rows = csv_files.csv_audit(spark, str(tmp_path)).collect()
     verdicts = {r.file.rsplit("/", 1)[1]: (r.verdict, r.row_count) for r in rows}
