@@ -19,6 +19,7 @@ from gaugework.sources.limits import Limits, beyond
 DELIMITERS = (",", ";", "\t", "|")
 SAMPLE_RECORDS = 20
 CORRUPT = "_corrupt_record"
+NEEDS_WHOLE_READ = "needs_whole_read"
 HEAD_SCHEMA = "file string, delimiter string, header array<string>, verdict string"
 
 
@@ -119,8 +120,9 @@ def load_csv(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataF
 def csv_audit(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
     """One verdict row per file instead of an exception; ``accepted`` when nothing is wrong.
 
-    Width is checked with each file's own header, in a split read of the lines of files that quote
-    no line breaks; files that do are read whole by ``load_csv``.
+    Width is checked with each file's own header, line by line in a split read. Files that quote line
+    breaks cannot be judged that way: they get ``needs_whole_read`` and no counts, and ``load_csv``
+    reads and checks them whole.
     """
     lines = csv_lines(spark, path)
     heads = csv_heads(lines, limits)
@@ -132,11 +134,14 @@ def csv_audit(spark: SparkSession, path: str, limits: Limits = Limits()) -> Data
         .join(csv_line_audit(lines), "file", "left")
         .join(widths, "file", "left")
     )
+    spans_lines = F.coalesce(F.col("open_quote_lines") > 0, F.lit(False))
+    joined = joined.withColumns({name: F.when(~spans_lines, F.col(name)) for name in ("row_count", "ragged_rows")})
     rows, width = F.col("row_count"), F.size("header")
     verdict = (
         F.when(F.col("file_verdict").isNotNull(), F.col("file_verdict"))
         .when(F.col("verdict").isNotNull(), F.col("verdict"))
-        .when((F.col("ragged_rows") > 0) | ((F.col("blank_lines") > 0) & (F.col("open_quote_lines") == 0)), Malformed.code)
+        .when(spans_lines, NEEDS_WHOLE_READ)
+        .when((F.col("ragged_rows") > 0) | (F.col("blank_lines") > 0), Malformed.code)
         .when(beyond(rows, limits.max_rows) | beyond(rows * width, limits.max_cells), LimitExceeded.code)
         .otherwise("accepted")
     )

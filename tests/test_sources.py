@@ -59,10 +59,12 @@ def test_audit_gives_a_verdict_per_file(spark, tmp_path):
     write(tmp_path, "a,b\n1,2\n", "good.csv")
     write(tmp_path, "a,b\n1,2\n1,2,3\n", "ragged.csv")
     write(tmp_path, "", "void.csv")
+    write(tmp_path, 'a,b\n1,"x\ny"\n', "spanning.csv")
     rows = csv_files.csv_audit(spark, str(tmp_path)).collect()
     verdicts = {r.file.rsplit("/", 1)[1]: (r.verdict, r.row_count) for r in rows}
     assert verdicts["good.csv"] == ("accepted", 1) and verdicts["void.csv"][0] == "empty_dataset"
     assert verdicts["ragged.csv"][0] == "malformed_dataset"
+    assert verdicts["spanning.csv"] == ("needs_whole_read", None)
 
 
 def test_routing():
