@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+_own_dirs: dict[str, str] = {}
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -32,9 +33,11 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError(f"set {CHECKPOINT_KEY} to a folder that all executors can reach")
-    own = tempfile.mkdtemp(prefix="gaugework-")
-    spark.conf.set(CHECKPOINT_KEY, own)
-    return own
+    # Kept here because the setting cannot be changed on a running session.
+    application = spark.sparkContext.applicationId
+    if application not in _own_dirs:
+        _own_dirs[application] = tempfile.mkdtemp(prefix="gaugework-")
+    return _own_dirs[application]
 
 
 def materialize(frame: DataFrame, name: str) -> DataFrame:
