@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from gaugework.llm.near_embeddings import embedding_components
 from gaugework.llm.near_simhash import simhash_components
+from gaugework.llm.neighbours import nearest
 from gaugework.llm.sharding import shard_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,6 +19,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_components(_table(spark, sf_dir, "embeddings"))
+
+
+def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+    return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
@@ -26,6 +38,8 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REGISTRY: dict[str, tuple[Query, str | None]] = {
+    "op1_embeddings": (op1_embeddings, None),
+    "op6_neighbours": (op6_neighbours, None),
     "op7_simhash": (op7_simhash, None),
     "op10_sharding": (op10_sharding, None),
 }
