@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugework.llm.bpe import encode_documents
+from gaugework.llm.fuzzy_lines import dedup_lines
 from gaugework.llm.near_embeddings import embedding_components
 from gaugework.llm.near_simhash import simhash_components
 from gaugework.llm.neighbours import nearest
+from gaugework.llm.sanitise import sanitise, span_digest
 from gaugework.llm.sharding import shard_documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -23,6 +27,14 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op4_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_digest(sanitise(_table(spark, sf_dir, "documents")))
+
+
+def op5_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_lines(_table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_dropped", "text")
+
+
 def op6_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
@@ -32,6 +44,11 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_components(_table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    encoded = encode_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids_sha256", "decoded_sha256")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard_documents(_table(spark, sf_dir, "documents"))
     return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -39,8 +56,11 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_embeddings": (op1_embeddings, None),
+    "op4_sanitise": (op4_sanitise, None),
+    "op5_lines": (op5_lines, None),
     "op6_neighbours": (op6_neighbours, None),
     "op7_simhash": (op7_simhash, None),
+    "op8_bpe": (op8_bpe, None),
     "op10_sharding": (op10_sharding, None),
 }
 

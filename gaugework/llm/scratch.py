@@ -5,9 +5,13 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gaugework.session import shared_dir
 
+#: Rows of two numbers at most that a broadcast may hold, some 50 MB.
+BROADCAST_ROWS = 1_000_000
+
 
 class Scratch:
     """The tables of one operator call. A table is on the shared storage, so it outlives lost executors."""
@@ -21,7 +25,7 @@ class Scratch:
         """Writes the frame and returns it as read back."""
         self._count += 1
         path = f"{self.root}/{self._count}"
-        frame.write.parquet(path)
+        frame.write.option("compression", "zstd").parquet(path)
         stored = self.spark.read.schema(frame.schema).parquet(path)
         stored._scratch_path = path
         return stored
@@ -33,3 +37,8 @@ class Scratch:
         for frame in frames:
             path = jvm.org.apache.hadoop.fs.Path(frame._scratch_path)
             path.getFileSystem(conf).delete(path, True)
+
+
+def small(ids: DataFrame) -> DataFrame:
+    """The frame of a few fixed-width columns, marked for a broadcast if its count proves it small. Joins give the same rows either way."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
