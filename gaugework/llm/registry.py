@@ -8,13 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from gaugework.llm.bpe import encode_documents
 from gaugework.llm.fuzzy_lines import dedup_lines
 from gaugework.llm.near_embeddings import embedding_components
 from gaugework.llm.near_simhash import simhash_components
 from gaugework.llm.neighbours import nearest
+from gaugework.llm.ordinal_quality import quality_scores
+from gaugework.llm.packing import pack_documents
 from gaugework.llm.sanitise import sanitise, span_digest
 from gaugework.llm.sharding import shard_documents
+from gaugework.llm.warc import derivatives, responses
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,6 +31,15 @@ def op1_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_components(_table(spark, sf_dir, "embeddings"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return scored.select("doc_id", "quality_score", "expected_grade", "top_probability", "selected")
+
+
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"))
+
+
 def op4_sanitise(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_digest(sanitise(_table(spark, sf_dir, "documents")))
 
@@ -49,6 +62,10 @@ def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids_sha256", "decoded_sha256")
 
 
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derivatives(responses(_table(spark, sf_dir, "pages")))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     sharded = shard_documents(_table(spark, sf_dir, "documents"))
     return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
@@ -56,12 +73,16 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_embeddings": (op1_embeddings, None),
+    "op2_quality": (op2_quality, None),
+    "op3_packing": (op3_packing, None),
     "op4_sanitise": (op4_sanitise, None),
     "op5_lines": (op5_lines, None),
     "op6_neighbours": (op6_neighbours, None),
     "op7_simhash": (op7_simhash, None),
     "op8_bpe": (op8_bpe, None),
+    "op9_warc": (op9_warc, None),
     "op10_sharding": (op10_sharding, None),
+    "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
 
