@@ -7,10 +7,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gaugework.llm.scratch import Scratch
+from gaugework.llm.scratch import Scratch, small
 
 #: Cross-class pairs per bucket entry up to which the last round lists them all.
 PAIRS_PER_ENTRY = 4
@@ -60,40 +60,41 @@ def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     ``entries`` (key, id bigint) may repeat; ``verify`` turns pairs (a, b) into those that hold. Returns (id, component) of
     linked ids.
 
-    A bucket is not expanded into its pairs. In a round one member of each bucket is compared with all others and then
-    leaves it; members that are of one component by then need no comparison among themselves. Rounds go on until the
-    pairs between different components are in proportion to the entries, and those are then compared outright. So no
-    link between two components is lost, and a bucket of copies costs as much as it has members.
+    A bucket is not expanded into its pairs. In a round, one member each of its smallest classes is compared with all members
+    of other classes and then leaves the bucket; members of one class need no comparison among themselves. The number of such
+    members grows fourfold with each round, so the rounds follow the logarithm of the bucket. They end when the pairs between different
+    classes are in proportion to the entries, and those are compared outright. So no link between two classes is
+    lost, and a bucket of copies costs as much as it has members.
     """
     rest = scratch.put(entries.where("key is not null and id is not null").distinct())
     entry_count = rest.count()
     edges: list[DataFrame] = []
-    classes = None
+    classes, compared_at_once = None, 1
     while True:
         labelled = rest if classes is None else rest.join(classes, "id", "left")
         own = F.col("id") if classes is None else F.coalesce("component", "id")
-        labelled = labelled.select("key", "id", own.alias("component"))
-        # One row per bucket and component first, so that a hot bucket of copies meets as few rows.
+        labelled = scratch.put(labelled.select("key", "id", own.alias("component")))
+        # One row per bucket and class first, so that a hot bucket of copies meets as few rows.
         per_class = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
         per_key = per_class.groupBy("key").agg(
-            F.count(F.lit(1)).alias("classes"),
-            ((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.pow("n", F.lit(2)))) / 2).alias("pairs"),
-            # The member compared next is of the smallest class: the others then agree soonest.
-            F.min_by("first", F.struct("n", "first")).alias("rep"),
+            F.count(F.lit(1)).alias("classes"), ((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.pow("n", F.lit(2)))) / 2).alias("pairs")
         )
         open_keys = scratch.put(per_key.where("classes > 1"))
         totals = open_keys.agg(F.count(F.lit(1)).alias("keys"), F.sum("pairs").alias("pairs")).first()
         if not totals["keys"]:
-            scratch.drop(open_keys)
+            scratch.drop(open_keys, labelled)
             break
-        todo = scratch.put(labelled.join(open_keys, "key").select("key", "id", "component", "rep"))
+        todo = labelled.join(small(open_keys.select("key")), "key", "left_semi")
         last = totals["pairs"] <= PAIRS_PER_ENTRY * entry_count
         if last:
-            left = todo.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
-            right = todo.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-            pairs = left.join(right, "key").where("ca < cb").select("a", "b").distinct()
+            reps = todo.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
         else:
-            pairs = todo.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b")).distinct()
+            # The others of a small class soonest agree, so it is compared first.
+            order = Window.partitionBy("key").orderBy("n", "first")
+            ranked = per_class.join(small(open_keys.select("key")), "key", "left_semi").withColumn("rank", F.row_number().over(order))
+            reps = scratch.put(ranked.where(F.col("rank") <= compared_at_once).select("key", F.col("first").alias("a"), F.col("component").alias("ca")))
+        others = todo.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
+        pairs = reps.join(others, "key").where("ca < cb" if last else "ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         edges.append(scratch.put(verify(pairs).select("a", "b")))
         every = edges[0]
         for more in edges[1:]:
@@ -101,7 +102,8 @@ def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], s
         classes = scratch.put(connected_components(every, scratch))
         if last:
             break
-        smaller = scratch.put(todo.where("id <> rep").select("key", "id"))
-        scratch.drop(rest, open_keys, todo)
-        rest = smaller
+        left = todo.join(reps.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")
+        smaller = scratch.put(left.select("key", "id"))
+        scratch.drop(rest, open_keys, labelled, reps)
+        rest, compared_at_once = smaller, compared_at_once * 4
     return classes if classes is not None else rest.select("id", F.col("id").alias("component")).limit(0)

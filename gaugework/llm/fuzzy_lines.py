@@ -38,13 +38,22 @@ def _positions(line: Column) -> Column:
 
 def shingle_set(line: Column) -> Column:
     """The set of a line's shingles, as hashes; a shorter line is one shingle."""
-    wide = F.encode(line, "UTF-32")
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), _positions(line) - 1), lambda at: _shingle_hash(wide, at)))
+    at = F.sequence(F.lit(0), _positions(line) - 1)
+    return F.array_distinct(_once(F.encode(line, "UTF-32"), lambda wide: F.transform(at, lambda n: _shingle_hash(wide, n))))
+
+
+def _once(value: Column, use) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def jaccard(left: Column, right: Column) -> Column:
-    shared = F.size(F.array_intersect(left, right))
-    return shared / (F.size(left) + F.size(right) - shared)
+    """The Jaccard similarity of two lines' shingle sets."""
+    def of_sets(sets: Column) -> Column:
+        total = F.size(sets["a"]) + F.size(sets["b"])
+        return _once(F.size(F.array_union(sets["a"], sets["b"])), lambda union: (total - union) / union)
+
+    return _once(F.struct(shingle_set(left).alias("a"), shingle_set(right).alias("b")), of_sets)
 
 
 def _level(count: Column) -> Column:
@@ -94,7 +103,7 @@ def line_components(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("id").alias(side), F.col("line").alias(f"line_{side}")) for side in "ab")
         both = pairs.join(left, "a").join(right, "b")
-        return both.where(jaccard(shingle_set(F.col("line_a")), shingle_set(F.col("line_b"))) >= SIMILARITY)
+        return both.where(jaccard(F.col("line_a"), F.col("line_b")) >= SIMILARITY)
 
     return link_buckets(met, verify, scratch)
 
