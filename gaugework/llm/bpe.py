@@ -1,18 +1,19 @@
 """Byte-pair encoding over a table of distinct words, and decoding over an id-to-piece table.
 
 A text is split into the words that merges never cross. Every distinct word of the corpus is encoded once; its ids come back to
-the positions it stood at. The most frequent words, a bounded number that makes up most positions, come back by broadcast
-and are never shuffled; the others by a join on the word, and then on the document.
+the positions it stood at. Words that are frequent in a sample of the documents, a bounded number that makes up most positions,
+come back by broadcast and are never shuffled; all others by a join on the word, and then on the document. Which words the sample
+holds decides only on which way they take.
 """
 
 from __future__ import annotations
 
 import hashlib
 import json
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,10 +21,8 @@ from pyspark.sql import types as T
 
 from gaugework.llm.scratch import Scratch
 
-#: Words that are broadcast at most, and the longest of them in bytes.
-HEAD_WORDS, HEAD_BYTES = 400_000, 64
-#: Distinct words that a task holds before it passes their counts on.
-HELD_WORDS = 200_000
+#: Words that are broadcast at most, their bytes at most, and the documents, by expectation, from which they are chosen.
+HEAD_WORDS, HEAD_BYTES, HEAD_DOCUMENTS = 300_000, 16 << 20, 20_000
 #: The pre-tokenizer's pattern for byte-level vocabularies, a fixed value; (?U) gives the classes their Unicode meaning.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _HOLE = 0
@@ -55,6 +54,11 @@ class Vocabulary:
         table = {number: bytes(byte_of[c] for c in piece) for piece, number in spec["model"]["vocab"].items()}
         return table | {number: content.encode() for content, number in self.special.items()}
 
+    def piece_list(self) -> list[bytes]:
+        """The pieces by id; ids that the vocabulary leaves out are empty."""
+        table = self.pieces()
+        return [table.get(number, b"") for number in range(max(table) + 1)]
+
 
 def _quoted(text: str) -> str:
     return "\\Q" + text + "\\E"
@@ -73,22 +77,6 @@ def words_of(text: Column, special: list[str]) -> Column:
     return F.when(text.rlike(either), several).otherwise(split(text))
 
 
-def _split_rows(vocabulary: Vocabulary, batches):
-    """(batch, word lists); texts with characters that the JVM does not know are split by the tokenizer itself."""
-    splitter = None
-    for batch in batches:
-        words = batch.column("words").to_pylist()
-        for row, text in enumerate(batch.column("unknown").to_pylist()):
-            if text is None:
-                continue
-            splitter = splitter or vocabulary.open().pre_tokenizer
-            parts = [text]
-            for special in sorted(vocabulary.special, key=len, reverse=True):
-                parts = [q for p in parts for q in ([p] if p in vocabulary.special else _around(p, special))]
-            words[row] = [w for p in parts for w in ([p] if p in vocabulary.special else [p[a:b] for _, (a, b) in splitter.pre_tokenize_str(p)])]
-        yield batch, words
-
-
 def _around(text: str, mark: str) -> list[str]:
     parts = []
     for part in text.split(mark):
@@ -96,22 +84,32 @@ def _around(text: str, mark: str) -> list[str]:
     return [p for p in parts[:-1] if p]
 
 
-def _count_words(vocabulary):
-    def run(batches):
-        held = Counter()
-        for _, rows in _split_rows(vocabulary, batches):
-            for words in rows:
-                held.update(words)
-            if len(held) > HELD_WORDS:
-                yield _counts(held)
-                held = Counter()
-        yield _counts(held)
+def _word_lists(vocabulary: Vocabulary, batches):
+    """(batch, word lists) as Arrow data; texts with characters that the JVM does not know are split by the tokenizer itself."""
+    splitter = None
+    for batch in batches:
+        words = batch.column("words")
+        if batch.column("unknown").null_count < batch.num_rows:
+            rows = words.to_pylist()
+            splitter = splitter or vocabulary.open().pre_tokenizer
+            for row, text in enumerate(batch.column("unknown").to_pylist()):
+                if text is not None:
+                    parts = [text]
+                    for special in sorted(vocabulary.special, key=len, reverse=True):
+                        parts = [q for p in parts for q in ([p] if p in vocabulary.special else _around(p, special))]
+                    rows[row] = [w for p in parts for w in ([p] if p in vocabulary.special else [p[a:b] for _, (a, b) in splitter.pre_tokenize_str(p)])]
+            words = pa.array(rows, pa.list_(pa.string()))
+        yield batch, words
 
-    return run
 
+def _sample_words(vocabulary):
+    """Words of the sampled documents and how often they occur, counted by batch."""
+    def run(batches):
+        for _, words in _word_lists(vocabulary, batches):
+            counts = pc.value_counts(words.flatten())
+            yield pa.RecordBatch.from_arrays([counts.field(0), counts.field(1)], ["word", "n"])
 
-def _counts(held: Counter) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(list(held), pa.string()), pa.array(list(held.values()), pa.int64())], ["word", "n"])
+    return run
 
 
 def _encode_words(vocabulary):
@@ -120,14 +118,14 @@ def _encode_words(vocabulary):
         for batch in batches:
             found = tokenizer.encode_batch(batch.column("word").to_pylist(), add_special_tokens=False)
             ids = pa.array([np.array(e.ids, "<u4").tobytes() for e in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), ids], ["word", "n", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), ids], ["word", "ids"])
 
     return run
 
 
-def _packed(numbers: list[int], level: zstandard.ZstdCompressor) -> bytes:
+def _packed(numbers: np.ndarray, level: zstandard.ZstdCompressor) -> bytes:
     """Numbers below 2**24 as three planes of bytes, compressed."""
-    planes = np.array(numbers, "<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
+    planes = numbers.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :3].T
     return level.compress(np.ascontiguousarray(planes).tobytes())
 
 
@@ -135,17 +133,23 @@ def _unpacked(packed: bytes, level: zstandard.ZstdDecompressor) -> np.ndarray:
     planes = np.frombuffer(level.decompress(packed), np.uint8).reshape(3, -1)
     numbers = np.zeros((planes.shape[1], 4), np.uint8)
     numbers[:, :3] = planes.T
-    return numbers.view("<u4").ravel()
+    return numbers.view("<u4").ravel().astype(np.int64)
+
+
+def _numbered(words: pa.ListArray, head: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The number of each word in the head from 1, holes for the others; and the ends of the rows."""
+    found = pc.index_in(words.flatten(), value_set=head)
+    return pc.fill_null(found, -1).to_numpy(zero_copy_only=False).astype(np.int64) + 1, words.offsets.to_numpy() - words.offsets[0].as_py()
 
 
 def _skeletons(vocabulary, head):
     """Per row its head words by number, with holes for the others."""
     def run(batches):
-        number = {word: at for at, word in enumerate(head.value[0], 1)}
         level = zstandard.ZstdCompressor(level=3)
-        for batch, rows in _split_rows(vocabulary, batches):
-            packed = [_packed([number.get(word, _HOLE) for word in words], level) for words in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), pa.array(packed, pa.binary())], ["doc_id", "digest", "packed"])
+        for batch, words in _word_lists(vocabulary, batches):
+            numbers, ends = _numbered(words, head.value[0])
+            packed = pa.array([_packed(numbers[a:b], level) for a, b in zip(ends, ends[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), packed], ["doc_id", "digest", "packed"])
 
     return run
 
@@ -153,54 +157,83 @@ def _skeletons(vocabulary, head):
 def _tail(vocabulary, head):
     """The words that are not in the head, with their positions."""
     def run(batches):
-        known = set(head.value[0])
-        for batch, rows in _split_rows(vocabulary, batches):
-            at_row, at, found = [], [], []
-            for row, words in enumerate(rows):
-                for position, word in enumerate(words):
-                    if word not in known:
-                        at_row.append(row)
-                        at.append(position)
-                        found.append(word)
-            take = pa.array(at_row, pa.int64())
-            columns = [batch.column("doc_id").take(take), batch.column("digest").take(take), pa.array(at, pa.int32()), pa.array(found, pa.string())]
+        for batch, words in _word_lists(vocabulary, batches):
+            numbers, ends = _numbered(words, head.value[0])
+            holes = np.nonzero(numbers == _HOLE)[0]
+            row = np.searchsorted(ends, holes, "right") - 1
+            take = pa.array(row)
+            at = pa.array((holes - ends[row]).astype(np.int32))
+            columns = [batch.column("doc_id").take(take), batch.column("digest").take(take), at, words.flatten().take(pa.array(holes))]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "at", "word"])
 
     return run
 
 
+class _Ragged:
+    """Rows of different lengths in one array, gathered without a loop."""
+
+    def __init__(self, rows: list[bytes], kind: str):
+        self.flat = np.frombuffer(b"".join(rows), kind)
+        self.lengths = np.array([len(row) for row in rows], np.int64) // np.dtype(kind).itemsize
+        self.starts = np.cumsum(self.lengths) - self.lengths
+
+    def take(self, rows: np.ndarray) -> np.ndarray:
+        lengths = self.lengths[rows]
+        ends = np.cumsum(lengths)
+        at = np.repeat(self.starts[rows] - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+        return self.flat[at]
+
+
 def _assemble(head, pieces):
     def run(batches):
-        table = [np.frombuffer(ids, "<u4").tolist() for ids in head.value[1]]
-        level, piece_of = zstandard.ZstdDecompressor(), pieces.value
+        ids_of, piece_of = _Ragged([b"", *head.value[1].to_pylist()], "<u4"), _Ragged(pieces.value, "u1")
+        level = zstandard.ZstdDecompressor()
         for batch in batches:
-            out_ids, decoded = [], []
-            for packed, holes in zip(batch.column("packed").to_pylist(), batch.column("holes").to_pylist()):
-                filled = {hole["at"]: np.frombuffer(hole["ids"], "<u4").tolist() for hole in holes or ()}
-                ids = []
-                for at, number in enumerate(_unpacked(packed, level).tolist()):
-                    ids += table[number - 1] if number else filled[at]
-                out_ids.append(np.array(ids, "<u4"))
-                decoded.append(b"".join([piece_of[i] for i in ids]).decode("utf-8", "replace"))
-            flat = np.concatenate(out_ids) if out_ids else np.empty(0, "<u4")
-            offsets = np.concatenate([[0], np.cumsum([len(i) for i in out_ids])]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat.astype(np.int32)))
-            sums = [pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in out_ids]), pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded])]
+            ids, decoded = [], []
+            for packed, holes in zip(batch.column("packed"), batch.column("holes")):
+                numbers = _unpacked(packed.as_py(), level)
+                found = holes.as_py()
+                if found:
+                    # The words between the holes come in runs.
+                    found.sort(key=lambda hole: hole["at"])
+                    parts, since = [], 0
+                    for hole in found:
+                        if hole["at"] < since:
+                            continue  # once more for a repeated row
+                        parts += [ids_of.take(numbers[since : hole["at"]]), np.frombuffer(hole["ids"], "<u4")]
+                        since = hole["at"] + 1
+                    row = np.concatenate([*parts, ids_of.take(numbers[since:])])
+                else:
+                    row = ids_of.take(numbers)
+                ids.append(row)
+                decoded.append(piece_of.take(row).tobytes().decode("utf-8", "replace"))
+            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
+            flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            sums = [pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()), pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string())]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(decoded, pa.string()), *sums], ["doc_id", "ids", "decoded", "ids_sha256", "decoded_sha256"])
 
     return run
 
 
-def _most_frequent(encoded: DataFrame, wanted: int) -> DataFrame:
-    """At most ``wanted`` words such that no other word is more frequent; counts are looked at in steps of a sixteenth of a doubling."""
-    step = F.floor(F.log2("n") * 16)
-    room, cut = wanted, None
-    short = encoded.where(F.octet_length("word") <= HEAD_BYTES)
-    for row in sorted(short.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):
-        if row["count"] > room:
+def _head(rows: DataFrame, vocabulary: Vocabulary, head_words: int, scratch: Scratch) -> DataFrame:
+    """(word, ids) of the words that are most frequent in a sample of the documents, bounded in number and bytes.
+
+    Counts are looked at in steps of a sixteenth of a doubling, so that nothing has to be sorted.
+    """
+    share = F.lit(min(1.0, HEAD_DOCUMENTS / max(1, rows.count())))
+    chosen = rows.where(F.pmod(F.xxhash64("digest"), F.lit(1 << 40)) < share * (1 << 40))
+    counted = chosen.select("words", "unknown").mapInArrow(_sample_words(vocabulary), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = scratch.put(counted.withColumn("step", F.floor(F.log2("n") * 16)))
+    words, size, cut = head_words, HEAD_BYTES, None
+    steps = counted.groupBy("step").agg(F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("word")).alias("bytes")).collect()
+    for row in sorted(steps, key=lambda r: -r["step"]):
+        words, size = words - row["words"], size - row["bytes"]
+        if words < 0 or size < 0:
             break
-        room, cut = room - row["count"], row["step"]
-    return short.where(F.lit(False) if cut is None else step >= cut)
+        cut = row["step"]
+    frequent = counted.where(F.lit(False) if cut is None else F.col("step") >= cut)
+    return frequent.select("word").mapInArrow(_encode_words(vocabulary), "word string, ids binary")
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -217,18 +250,17 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, head_words: int = HE
     unknown = text.rlike(r"\p{Cn}")
     words = F.when(~unknown, words_of(text, list(vocabulary.special)))
     rows = docs.select("doc_id", F.xxhash64(text).alias("digest"), words.alias("words"), F.when(unknown, text).alias("unknown"))
-    counted = rows.select("words", "unknown").mapInArrow(_count_words(vocabulary), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
-    encoded = scratch.put(counted.mapInArrow(_encode_words(vocabulary), "word string, n bigint, ids binary"))
-    chosen = _most_frequent(encoded, min(head_words, (1 << 24) - 2)).select("word", "ids").toArrow().sort_by("word")
-    head = spark.sparkContext.broadcast((chosen.column("word").to_pylist(), chosen.column("ids").to_pylist()))
-    pieces = spark.sparkContext.broadcast(vocabulary.pieces())
+    chosen = _head(rows, vocabulary, min(head_words, (1 << 24) - 2), scratch).toArrow().combine_chunks()
+    columns = [chosen.column(name).combine_chunks() if chosen.num_rows else pa.array([], kind) for name, kind in (("word", pa.string()), ("ids", pa.binary()))]
+    head = spark.sparkContext.broadcast(tuple(columns))
+    pieces = spark.sparkContext.broadcast(vocabulary.piece_list())
 
     doc_type = docs.schema["doc_id"].dataType
     key = [T.StructField("doc_id", doc_type), T.StructField("digest", T.LongType())]
     skeletons = rows.mapInArrow(_skeletons(vocabulary, head), T.StructType([*key, T.StructField("packed", T.BinaryType())]))
     tail = rows.mapInArrow(_tail(vocabulary, head), T.StructType([*key, T.StructField("at", T.IntegerType()), T.StructField("word", T.StringType())]))
-    # A word may be frequent without being in the head, if it is long; the join may be split where it is.
-    holes = tail.join(encoded.select("word", "ids"), "word").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("at", "ids")).alias("holes"))
+    encoded = scratch.put(tail.select("word").distinct().mapInArrow(_encode_words(vocabulary), "word string, ids binary"))
+    holes = tail.join(encoded, "word").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("at", "ids")).alias("holes"))
     holes = holes.select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest"), "holes")
     joined = skeletons.join(holes, skeletons["doc_id"].eqNullSafe(holes["__doc"]) & (F.col("digest") == F.col("__digest")), "left")
     schema = T.StructType([key[0], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
