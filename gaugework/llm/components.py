@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from gaugework.llm.scratch import Scratch, small
 
 #: Cross-class pairs per bucket entry up to which the last round lists them all.
-PAIRS_PER_ENTRY = 4
+PAIRS_PER_ENTRY = 0.25
 
 
 def _checksum(edges: DataFrame) -> tuple[int, int]:
@@ -69,6 +69,7 @@ def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     rest = scratch.put(entries.where("key is not null and id is not null").distinct())
     entry_count = rest.count()
     edges: list[DataFrame] = []
+    compared: list[DataFrame] = []
     classes, compared_at_once = None, 1
     while True:
         labelled = rest if classes is None else rest.join(classes, "id", "left")
@@ -95,7 +96,10 @@ def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], s
             reps = scratch.put(ranked.where(F.col("rank") <= compared_at_once).select("key", F.col("first").alias("a"), F.col("component").alias("ca")))
         others = todo.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
         pairs = reps.join(others, "key").where("ca < cb" if last else "ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        edges.append(scratch.put(verify(pairs).select("a", "b")))
+        for earlier in compared:
+            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
+        compared.append(scratch.put(pairs))
+        edges.append(scratch.put(verify(compared[-1]).select("a", "b")))
         every = edges[0]
         for more in edges[1:]:
             every = every.unionByName(more)
