@@ -1,14 +1,14 @@
-"""CSV sources: delimiter detection, header and row audit, and the text-only scan."""
+"""CSV sources: delimiter detection, header and row audit, and the text-only scan.
+
+Files are judged by their lines, in a split read and with built-in functions only. A line is part of a quoted field if
+an odd number of quotes stands before it in its file.
+"""
 
 from __future__ import annotations
 
-import csv
-import itertools
-from collections.abc import Callable, Iterator
+from functools import reduce
 
-import pandas as pd
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -18,19 +18,18 @@ from gaugework.sources.limits import Limits, beyond
 # The delimiters tried, in order, and the records looked at.
 DELIMITERS = (",", ";", "\t", "|")
 SAMPLE_RECORDS = 20
+#: Lines of a file among which the sampled records are looked for.
+HEAD_LINES = 400
+#: Columns that the reader is prepared for.
+READER_COLUMNS = 1_000_000
 CORRUPT = "_corrupt_record"
-NEEDS_WHOLE_READ = "needs_whole_read"
-HEAD_SCHEMA = "file string, delimiter string, header array<string>, verdict string"
+_QUOTED = r'"(?:[^"]++|"")*+"'
 
 
 def csv_files(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
     """The files below a path with their size and, for empty or oversized ones, a verdict. File
     contents are not read."""
-    sizes = spark.read.format("binaryFile").load(path).select(_uri("path").alias("file"), F.col("length").alias("bytes"))
-    # Scans leave out files without content, so the names come from the file listing itself.
-    names = pa.table({"name": pa.array(spark.read.text(path).inputFiles(), pa.string())})
-    listed = spark.createDataFrame(names).select(_uri("name").alias("file")).distinct()
-    listed = listed.join(sizes, "file", "left").fillna(0, ["bytes"])
+    listed = spark.read.format("binaryFile").load(path).select(_uri("path").alias("file"), F.col("length").alias("bytes"))
     verdict = F.when(F.col("bytes") == 0, EmptyDataset.code).when(
         beyond(F.col("bytes"), limits.max_file_bytes), FileTooLarge.code
     )
@@ -43,39 +42,139 @@ def _uri(column: str) -> Column:
 
 
 def csv_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines with the file and the start of the block they were read from; large files are split."""
+    """Lines with the file, the start of the block they were read from, and a number that grows in the block; large files are
+    split."""
     text = spark.read.text(path)
     return text.select(
         _uri("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("block_start"),
+        F.monotonically_increasing_id().alias("at"),
         F.col("value").alias("line"),
     )
 
 
+def _quotes(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit('"'), F.lit("")))
+
+
+def _bare(line: Column) -> Column:
+    """What stands outside quotes; a quoted field that the line leaves open reaches to its end."""
+    return F.regexp_replace(F.regexp_replace(line, _QUOTED, ""), '"[\\s\\S]*$', "")
+
+
+def _separators(line: Column, delimiter: Column) -> Column:
+    bare = _bare(line)
+    return F.length(bare) - F.length(F.replace(bare, delimiter, F.lit("")))
+
+
+def _has_junk(line: Column, delimiter: Column) -> Column:
+    """Whether something other than a delimiter follows a closing quote. The last field may stay open."""
+    field = F.concat(F.lit(rf'(?:{_QUOTED}\r?|(?!")[^'), delimiter, F.lit(r']*+|"(?:[^"]++|"")*+$)'))
+    return ~F.regexp_like(line, F.concat(F.lit("^"), field, F.lit("(?:["), delimiter, F.lit("]"), field, F.lit(")*+$")))
+
+
+def _from_start(line: Column, is_open: Column) -> Column:
+    """The line as if it began with its field: a quote stands for what is before it."""
+    return F.when(is_open, F.concat(F.lit('"'), line)).otherwise(line)
+
+
 def csv_heads(lines: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Delimiter, header and header verdict of every file.
 
-    Only the block at the start of a file is looked at, in the task that reads it, and no further than
-    the sampled records; lines of one file are consecutive there.
+    The first records of the block at the start of a file are looked at, however long they are. The delimiter is the one that gives
+    all of them one width, and the greatest if several do; two such are no decision, and none means a comma.
     """
-    read_head = _head_reader(limits.max_columns)
+    first = lines.where("block_start = 0").withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("at"))).where(F.col("n") <= HEAD_LINES)
+    line = F.when(F.col("n") == 1, F.regexp_replace("line", "^\ufeff", "")).otherwise(F.col("line"))
+    order = Window.partitionBy("file").orderBy("n")
+    so_far = F.coalesce(F.sum(_quotes(F.col("line"))).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    numbered = first.select("file", "n", line.alias("line")).withColumn("is_open", so_far % 2 == 1)
+    numbered = numbered.withColumn("record", F.sum(F.when(F.col("is_open"), 0).otherwise(1)).over(order))
+    sampled = numbered.where(F.col("record") <= SAMPLE_RECORDS)
+    begun = _from_start(F.col("line"), F.col("is_open"))
+    measured = []
+    for number, delimiter in enumerate(DELIMITERS):
+        measured += [F.sum(_separators(begun, F.lit(delimiter))).alias(f"width{number}"), F.max(_has_junk(begun, F.lit(delimiter))).alias(f"junk{number}")]
+    texts = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", "line"))), lambda part: part["line"]), "\n")
+    records = sampled.groupBy("file", "record").agg(*measured, texts.alias("text"), (F.sum(_quotes(F.col("line"))) % 2 == 1).alias("unended"))
+    told = (F.col("text") != "") & ~((F.col("record") > 1) & F.col("unended"))
+    widths = [F.array(F.min(F.when(told, F.col(f"width{n}"))), F.max(F.when(told, F.col(f"width{n}"))), F.max(F.when(told, F.col(f"junk{n}").cast("int")))) for n in range(len(DELIMITERS))]
+    head = records.groupBy("file").agg(F.array(*widths).alias("widths"), F.max(F.when(F.col("record") == 1, F.col("text"))).alias("text"), F.max(F.when(F.col("record") == 1, F.col("unended"))).alias("unended"), F.max(F.trim("text") != "").alias("any"))
+    tried = F.array(*[F.struct(F.lit(d).alias("delimiter"), F.when((F.get("widths", F.lit(n))[0] == F.get("widths", F.lit(n))[1]) & (F.get("widths", F.lit(n))[2] == 0), F.get("widths", F.lit(n))[0]).alias("width")) for n, d in enumerate(DELIMITERS)])
+    head = head.withColumn("best", F.filter(tried, lambda t: t["width"] > 0))
+    most = F.array_max(F.transform("best", lambda t: t["width"]))
+    head = head.withColumn("most", most).withColumn("best", F.filter("best", lambda t: t["width"] == F.col("most")))
+    head = head.withColumn("delimiter", F.when(F.size("best") == 0, ",").when(F.size("best") == 1, F.get("best", F.lit(0))["delimiter"]))
+    head = head.withColumn("header", F.when(F.col("delimiter").isNotNull(), _fields(F.col("text"), F.col("delimiter"))).otherwise(F.array().cast("array<string>")))
+    bad = F.col("unended") | _has_junk(F.col("text"), F.col("delimiter")) | F.exists("header", lambda name: F.trim(name) == "") | (F.size(F.array_distinct("header")) < F.size("header"))
+    verdict = (
+        F.when(~F.col("any"), EmptyDataset.code)
+        .when(F.col("delimiter").isNull(), Malformed.code)
+        .when(F.col("text") == "", EmptyDataset.code)
+        .when(beyond(F.size("header"), limits.max_columns), LimitExceeded.code)
+        .when(bad, Malformed.code)
+    )
+    return head.select("file", "delimiter", "header", verdict.alias("verdict"))
+
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = (row for batch in batches for row in zip(batch["file"], batch["line"]))
-        for file, group in itertools.groupby(rows, key=lambda row: row[0]):
-            delimiter, header, verdict = read_head(line for _, line in group)
-            yield pd.DataFrame({"file": [file], "delimiter": [delimiter], "header": [header], "verdict": [verdict]})
+def _fields(record: Column, delimiter: Column) -> Column:
+    """The fields of one record without their quotes."""
+    pattern = F.concat(F.lit("["), delimiter, F.lit(f"]({_QUOTED}|[^"), delimiter, F.lit("]*+)"))
+    raw = F.regexp_extract_all(F.concat(delimiter, record), pattern, F.lit(1))
+    inner = lambda field: F.replace(F.substring(field, F.lit(2), F.length(field) - 2), F.lit('""'), F.lit('"'))
+    return F.transform(raw, lambda field: F.when(field.startswith('"'), inner(field)).otherwise(field))
 
-    return lines.where("block_start = 0").select("file", "line").mapInPandas(scan, HEAD_SCHEMA)
 
+def csv_line_audit(lines: DataFrame, heads: DataFrame) -> DataFrame:
+    """Rows, ragged rows, blank lines, junk after quotes and broken UTF-8 per file.
 
-def csv_line_audit(lines: DataFrame) -> DataFrame:
-    """Blank lines, and lines that leave a quoted field open, per file; counted map-side."""
-    quotes = F.length("line") - F.length(F.replace("line", F.lit('"'), F.lit("")))
-    return lines.groupBy("file").agg(
+    A file in which every line closes its quotes has a record per line, which is counted where it is read. In the others a line's
+    place in its record follows from the quotes before it: summed by block, then within the block.
+    """
+    known = heads.where("verdict is null").select("file", "delimiter", F.size("header").alias("width"))
+    valid = F.is_valid_utf8("line")
+    odd = (_quotes(F.col("line")) % 2).cast("int")
+    facts = lines.select("file", "block_start", "at", "line", odd.alias("odd"), (~valid).cast("int").alias("broken"))
+    per_block = facts.groupBy("file", "block_start").agg(F.sum("odd").alias("odd"), F.sum("broken").alias("broken"))
+    before = Window.partitionBy("file").orderBy("block_start").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = per_block.select("file", "block_start", F.coalesce(F.sum("odd").over(before), F.lit(0)).alias("odd_before"), F.sum("odd").over(Window.partitionBy("file")).alias("odd_lines"))
+    per_file = per_block.groupBy("file").agg(F.sum("odd").alias("odd_lines"), F.sum("broken").alias("broken_lines"))
+    placed = facts.join(known, "file").join(blocks, ["file", "block_start"])
+
+    flat = placed.where("odd_lines = 0")
+    simple = flat.groupBy("file").agg(
+        (F.count_if(F.col("line") != "") - 1).alias("row_count"),
+        F.count_if((F.col("line") != "") & (_separators(F.col("line"), F.col("delimiter")) + 1 != F.col("width"))).alias("ragged_rows"),
         F.count_if(F.col("line") == "").alias("blank_lines"),
-        F.count_if(quotes % 2 == 1).alias("open_quote_lines"),
+        F.count_if(_has_junk(F.col("line"), F.col("delimiter"))).alias("junk_lines"),
+    )
+    # Only numbers are moved: where a line begins decides what it adds to its record.
+    both = [
+        value
+        for name, is_open in (("closed", F.lit(False)), ("open", F.lit(True)))
+        for value in (_separators(_from_start(F.col("line"), is_open), F.col("delimiter")).alias(f"separators_{name}"), _has_junk(_from_start(F.col("line"), is_open), F.col("delimiter")).alias(f"junk_{name}"))
+    ]
+    moved = placed.where("odd_lines > 0").select("file", "block_start", "at", "odd", "odd_before", "odd_lines", "width", (F.col("line") == "").alias("blank"), *both)
+    here = Window.partitionBy("file", "block_start").orderBy("at")
+    state = (F.col("odd_before") + F.coalesce(F.sum("odd").over(here.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))) % 2 == 1
+    moved = moved.withColumn("is_open", state).withColumn("start", F.when(F.col("is_open") | F.col("blank"), 0).otherwise(1))
+    starts = moved.groupBy("file", "block_start").agg(F.sum("start").alias("starts"))
+    starts = starts.select("file", "block_start", F.coalesce(F.sum("starts").over(before), F.lit(0)).alias("starts_before"))
+    moved = moved.withColumn("in_block", F.sum("start").over(here)).join(starts, ["file", "block_start"])
+    pick = lambda name: F.when(F.col("is_open"), F.col(f"{name}_open")).otherwise(F.col(f"{name}_closed"))
+    blank = F.col("blank") & ~F.col("is_open")
+    records = moved.groupBy("file", (F.col("starts_before") + F.col("in_block")).alias("record")).agg(
+        F.sum(F.when(~blank, pick("separators"))).alias("separators"), F.first("width").alias("width"), F.count_if(blank).alias("blank"), F.count_if(pick("junk")).alias("junk"),
+        F.first("odd_lines").alias("odd_lines"),
+    )
+    spanning = records.groupBy("file").agg(
+        (F.count_if(F.col("separators").isNotNull()) - 1).alias("row_count"),
+        F.count_if(F.col("separators") + 1 != F.col("width")).alias("ragged_rows"),
+        F.sum("blank").alias("blank_lines"),
+        # A file that ends inside quotes is broken too.
+        (F.sum("junk") + F.first("odd_lines") % 2).alias("junk_lines"),
     )
+    return per_file.join(simple.unionByName(spanning), "file", "left")
 
 
 def read_csv(spark: SparkSession, path: str, delimiter: str, header: list[str], multiline: bool) -> DataFrame:
@@ -86,125 +185,69 @@ def read_csv(spark: SparkSession, path: str, delimiter: str, header: list[str],
     schema = T.StructType([T.StructField(name, T.StringType()) for name in [*header, CORRUPT]])
     reader = spark.read.schema(schema).option("header", True).option("sep", delimiter).option("quote", '"')
     reader = reader.option("escape", '"').option("multiLine", multiline).option("mode", "PERMISSIVE")
+    reader = reader.option("maxColumns", max(READER_COLUMNS, len(header) + 1)).option("maxCharsPerColumn", -1)
     return reader.option("columnNameOfCorruptRecord", CORRUPT).csv(path)
 
 
 def load_csv(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
     """A table from the CSV files below a path, which must agree in delimiter and header.
 
-    Anything malformed raises, before rows are returned; an empty cell is an empty text, never null.
+    Anything malformed or beyond a limit raises, before rows are returned; an empty cell is an empty text, never null.
     """
-    file_verdict = csv_files(spark, path, limits).where("verdict is not null").select("verdict", "file").head()
-    if file_verdict:
-        raise_for(file_verdict.verdict, f"{file_verdict.file} was not accepted")
-    lines = csv_lines(spark, path)
-    # Two rows are enough to tell one common head from several.
-    heads = csv_heads(lines, limits).groupBy("delimiter", "header", "verdict").agg(F.min("file").alias("file")).limit(2)
-    heads = heads.collect()
-    if not heads:
+    judged = _judged(spark, path, limits)
+    # One row per file is folded to what decides; the names of two heads tell one table from several.
+    facts = judged.agg(
+        F.min_by("file", F.struct(F.col("verdict") == "accepted", "file")).alias("file"),
+        F.min_by("verdict", F.struct(F.col("verdict") == "accepted", "file")).alias("verdict"),
+        F.min(F.struct("delimiter", "header")).alias("first"), F.max(F.struct("delimiter", "header")).alias("last"),
+        F.sum("row_count").alias("rows"), F.sum("odd_lines").alias("odd"), F.count(F.lit(1)).alias("files"),
+    ).head()
+    if not facts.files:
         raise EmptyDataset(f"{path} holds no records")
-    for head in heads:
-        if head.verdict:
-            raise_for(head.verdict, f"{head.file} has no usable header")
-    if len(heads) > 1:
+    if facts.verdict != "accepted":
+        raise_for(facts.verdict, f"{facts.file} was not accepted")
+    if facts.first != facts.last:
         raise Malformed(f"{path} mixes tables with different headers")
-    audit = csv_line_audit(lines).agg(F.sum("blank_lines").alias("blank"), F.sum("open_quote_lines").alias("open")).head()
-    if audit.blank and not audit.open:
-        raise Malformed(f"{path} holds blank lines")
-    frame = read_csv(spark, path, heads[0].delimiter, list(heads[0].header), bool(audit.open))
-    if frame.where(F.col(CORRUPT).isNotNull()).head():
-        raise Malformed(f"{path} holds rows of another width than the header")
-    return _texts(frame)
+    width = len(facts.first.header)
+    for value, limit in ((facts.rows, limits.max_rows), (facts.rows * width, limits.max_cells)):
+        if limit is not None and value > limit:
+            raise LimitExceeded(f"{path} holds more than {limit} rows or cells")
+    return _texts(read_csv(spark, path, facts.first.delimiter, list(facts.first.header), bool(facts.odd)))
 
 
-def csv_audit(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
-    """One verdict row per file instead of an exception; ``accepted`` when nothing is wrong.
-
-    Width is checked with each file's own header, line by line in a split read. Files that quote line
-    breaks cannot be judged that way: they get ``needs_whole_read`` and no counts, and ``load_csv``
-    reads and checks them whole.
-    """
+def _judged(spark: SparkSession, path: str, limits: Limits) -> DataFrame:
     lines = csv_lines(spark, path)
     heads = csv_heads(lines, limits)
-    widths = _record_widths(lines, heads)
     joined = (
         csv_files(spark, path, limits)
         .withColumnRenamed("verdict", "file_verdict")
         .join(heads, "file", "left")
-        .join(csv_line_audit(lines), "file", "left")
-        .join(widths, "file", "left")
+        .join(csv_line_audit(lines, heads), "file", "left")
     )
-    spans_lines = F.coalesce(F.col("open_quote_lines") > 0, F.lit(False))
-    joined = joined.withColumns({name: F.when(~spans_lines, F.col(name)) for name in ("row_count", "ragged_rows")})
     rows, width = F.col("row_count"), F.size("header")
     verdict = (
         F.when(F.col("file_verdict").isNotNull(), F.col("file_verdict"))
+        .when(F.col("broken_lines") > 0, Malformed.code)
         .when(F.col("verdict").isNotNull(), F.col("verdict"))
-        .when(spans_lines, NEEDS_WHOLE_READ)
-        .when((F.col("ragged_rows") > 0) | (F.col("blank_lines") > 0), Malformed.code)
+        .when(reduce(lambda a, b: a | b, [F.col(c) > 0 for c in ("ragged_rows", "blank_lines", "junk_lines")]), Malformed.code)
         .when(beyond(rows, limits.max_rows) | beyond(rows * width, limits.max_cells), LimitExceeded.code)
         .otherwise("accepted")
     )
-    warnings = F.array_compact(F.array(F.when(rows == 0, "header_only_dataset")))
-    return joined.select(
-        "file", "bytes", "delimiter", "header", width.alias("column_count"), "row_count", "ragged_rows", "blank_lines",
-        verdict.alias("verdict"), warnings.alias("warnings"),
-    )
+    return joined.withColumn("verdict", verdict)
 
 
-def _record_widths(lines: DataFrame, heads: DataFrame) -> DataFrame:
-    """Rows and rows of another width than the header, per file, by parsing each line on its own."""
-    usable = heads.where("verdict is null").select("file", "delimiter", F.size("header").alias("width"))
-    parsed = lines.join(usable, "file").where("line <> ''")
-    # Quoted parts cannot separate fields; what is left of the line has one delimiter between fields.
-    bare = F.regexp_replace("line", r'"(?:[^"]|"")*"', "")
-    fields = F.length(bare) - F.length(F.replace(bare, F.col("delimiter"), F.lit(""))) + 1
-    return parsed.groupBy("file").agg(
-        (F.count(F.lit(1)) - 1).alias("row_count"), F.count_if(fields != F.col("width")).alias("ragged_rows")
-    )
+def csv_audit(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
+    """One verdict row per file instead of an exception; ``accepted`` when nothing is wrong. Width is checked with each file's own
+    header."""
+    judged = _judged(spark, path, limits)
+    rows, width = F.col("row_count"), F.size("header")
+    warnings = F.array_compact(F.array(F.when(rows == 0, "header_only_dataset")))
+    return judged.select(
+        "file", "bytes", "delimiter", "header", width.alias("column_count"), "row_count", "ragged_rows", "blank_lines", "verdict",
+        warnings.alias("warnings"),
+    )
 
 
 def _texts(frame: DataFrame) -> DataFrame:
     names = [name for name in frame.columns if name != CORRUPT]
     return frame.select(*[F.coalesce(F.col(f"`{name}`"), F.lit("")).alias(name) for name in names])
-
-
-def _head_reader(max_columns: int | None) -> Callable[[Iterator[str]], tuple[str | None, list[str], str | None]]:
-    """A function from the lines of one file to its delimiter, header and verdict.
-
-    It is closed over plain values only, so executors need not have this package installed.
-    """
-    delimiters, sampled = DELIMITERS, SAMPLE_RECORDS
-    empty, malformed, too_wide = EmptyDataset.code, Malformed.code, LimitExceeded.code
-
-    def records(lines: Iterator[str], delimiter: str) -> Iterator[list[str]]:
-        return csv.reader((line + "\n" for line in lines), delimiter=delimiter, strict=True)
-
-    def constant_width(lines: Iterator[str], delimiter: str) -> int | None:
-        try:
-            widths = {len(record) for record in itertools.islice(records(lines, delimiter), sampled) if record}
-        except csv.Error:
-            return None
-        return widths.pop() if len(widths) == 1 else None
-
-    def read_head(lines: Iterator[str]) -> tuple[str | None, list[str], str | None]:
-        first = next(lines).removeprefix("\ufeff")
-        copies = itertools.tee(itertools.chain([first], lines), len(delimiters) + 1)
-        widths = [constant_width(copy, delimiter) for copy, delimiter in zip(copies, delimiters)]
-        best = max((width for width in widths if width and width > 1), default=None)
-        chosen = [delimiter for width, delimiter in zip(widths, delimiters) if width == best] if best else [","]
-        if len(chosen) > 1:
-            return None, [], malformed
-        try:
-            header = next(records(copies[-1], chosen[0]))
-        except csv.Error:
-            return chosen[0], [], malformed
-        if not header:
-            return chosen[0], [], empty
-        if max_columns is not None and len(header) > max_columns:
-            return chosen[0], header, too_wide
-        if any(not name.strip() for name in header) or len(set(header)) < len(header):
-            return chosen[0], header, malformed
-        return chosen[0], header, None
-
-    return read_head

@@ -28,13 +28,11 @@ def beyond(value: Column, limit: int | None) -> Column:
 
 
 def limit_verdicts(tables: dict[str, DataFrame], limits: Limits) -> DataFrame:
-    """Rows, columns, cells and the verdict of every table. Counting stops one row past the limit."""
+    """Rows, columns, cells and the verdict of every table."""
     parts = []
     for name, frame in tables.items():
         width = len(frame.columns)
         counted = frame.select(F.lit(1).alias("one"))
-        if limits.max_rows is not None:
-            counted = counted.limit(limits.max_rows + 1)
         rows, cells = F.col("row_count"), F.col("row_count") * width
         broken = beyond(F.lit(width), limits.max_columns) | beyond(rows, limits.max_rows) | beyond(cells, limits.max_cells)
         parts.append(
@@ -50,3 +48,14 @@ def limit_verdicts(tables: dict[str, DataFrame], limits: Limits) -> DataFrame:
     for part in parts[1:]:
         result = result.unionAll(part)
     return result
+
+
+def check_table(frame: DataFrame, limits: Limits) -> None:
+    """Raises if a table is beyond a limit; nothing is counted unless rows or cells are limited."""
+    width = len(frame.columns)
+    broken = limits.max_columns is not None and width > limits.max_columns
+    if not broken and (limits.max_rows is not None or limits.max_cells is not None):
+        rows = frame.count()
+        broken = any(limit is not None and value > limit for value, limit in ((rows, limits.max_rows), (rows * width, limits.max_cells)))
+    if broken:
+        raise LimitExceeded("the table is beyond the limits")

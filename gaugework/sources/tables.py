@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gaugework.sources.csv_files import load_csv
 from gaugework.sources.errors import UnsupportedFormat
-from gaugework.sources.limits import Limits
+from gaugework.sources.limits import Limits, check_table
 
 COLUMNAR = ("parquet", "orc", "json")
 
@@ -29,7 +29,9 @@ def load_table(spark: SparkSession, path: str, format: str | None = None, limits
     if chosen == "csv":
         return load_csv(spark, path, limits)
     if chosen in COLUMNAR:
-        return getattr(spark.read, chosen)(path)
+        frame = getattr(spark.read, chosen)(path)
+        check_table(frame, limits)
+        return frame
     raise UnsupportedFormat(f"{chosen} is not supported")
 
 

@@ -64,7 +64,47 @@ def test_audit_gives_a_verdict_per_file(spark, tmp_path):
     verdicts = {r.file.rsplit("/", 1)[1]: (r.verdict, r.row_count) for r in rows}
     assert verdicts["good.csv"] == ("accepted", 1) and verdicts["void.csv"][0] == "empty_dataset"
     assert verdicts["ragged.csv"][0] == "malformed_dataset"
-    assert verdicts["spanning.csv"] == ("needs_whole_read", None)
+    assert verdicts["spanning.csv"] == ("accepted", 1)
+
+
+@pytest.mark.parametrize(
+    "text, verdict, delimiter, rows",
+    [
+        ("id;text\n1;" + "x" * 200_000 + "\n2;y\n", "accepted", ";", 2),
+        ('id;text\n1;"' + "x;\n" * 70_000 + '"\n', "accepted", ";", 1),
+        ('a,b\n1,"a"b\n', "malformed_dataset", ",", 1),
+        ('a,b\n1,"x\ny"\n\n3,4\n', "malformed_dataset", ",", 2),
+        ('a,b\n1,"x\n\ny"\n3,4\n', "accepted", ",", 2),
+        ('a,b\n1,"x\ny",3\n3,4\n', "malformed_dataset", ",", 2),
+        ('a,b\n1,"x\ny\n', "malformed_dataset", ",", None),
+        ("  \n \n", "empty_dataset", ",", None),
+        ('"a,1";b\n"x";"say ""hi"""\n', "accepted", ";", 1),
+    ],
+)
+def test_audit_of_hard_files(spark, tmp_path, text, verdict, delimiter, rows):
+    write(tmp_path, text)
+    row = csv_files.csv_audit(spark, str(tmp_path)).head()
+    assert (row.verdict, row.delimiter) == (verdict, delimiter)
+    if rows is not None:
+        assert row.row_count == rows
+
+
+def test_broken_utf8_is_malformed(spark, tmp_path):
+    (tmp_path / "bad.csv").write_bytes(b"a,b\n1,\xff\xfe\n")
+    assert csv_files.csv_audit(spark, str(tmp_path)).head().verdict == "malformed_dataset"
+
+
+def test_row_and_cell_limits_of_loads(spark, tmp_path):
+    path = write(tmp_path, "a,b\n1,2\n3,4\n5,6\n")
+    assert load_table(spark, path, limits=Limits(max_rows=3, max_cells=6)).count() == 3
+    for limits in (Limits(max_rows=2), Limits(max_cells=5)):
+        with pytest.raises(IngestError):
+            load_table(spark, path, limits=limits)
+    spark.range(5).write.parquet(str(tmp_path / "t.parquet"))
+    with pytest.raises(IngestError):
+        load_table(spark, str(tmp_path / "t.parquet"), limits=Limits(max_rows=4))
+    counted = limit_verdicts({"t": spark.range(1000).toDF("a")}, Limits(max_rows=10)).head()
+    assert (counted.row_count, counted.cell_count, counted.verdict) == (1000, 1000, "dataset_limit_exceeded")
 
 
 def test_routing():
