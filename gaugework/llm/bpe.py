@@ -22,7 +22,9 @@ from pyspark.sql import types as T
 from gaugework.llm.scratch import Scratch
 
 #: Words that are broadcast at most, their bytes at most, and the documents, by expectation, from which they are chosen.
-HEAD_WORDS, HEAD_BYTES, HEAD_DOCUMENTS = 300_000, 16 << 20, 20_000
+HEAD_WORDS, HEAD_BYTES, HEAD_DOCUMENTS = 1_000_000, 16 << 20, 50_000
+#: Documents of a batch at most, as whole texts pass through it as lists of words.
+BATCH_ROWS = 2_000
 #: The pre-tokenizer's pattern for byte-level vocabularies, a fixed value; (?U) gives the classes their Unicode meaning.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _HOLE = 0
@@ -170,12 +172,16 @@ def _tail(vocabulary, head):
 
 
 class _Ragged:
-    """Rows of different lengths in one array, gathered without a loop."""
+    """Rows of different lengths in one array, gathered without a loop. Row 0 is empty if ``hole``."""
 
-    def __init__(self, rows: list[bytes], kind: str):
-        self.flat = np.frombuffer(b"".join(rows), kind)
-        self.lengths = np.array([len(row) for row in rows], np.int64) // np.dtype(kind).itemsize
-        self.starts = np.cumsum(self.lengths) - self.lengths
+    def __init__(self, rows: pa.Array, kind: str, hole: bool = False):
+        size = np.dtype(kind).itemsize
+        ends = np.frombuffer(rows.buffers()[1], np.int32)[: len(rows) + 1].astype(np.int64) // size if len(rows) else np.zeros(1, np.int64)
+        self.flat = np.frombuffer(rows.buffers()[2] or b"", np.uint8)
+        self.flat = self.flat[: len(self.flat) // size * size].view(kind)
+        first = [0] if hole else []
+        self.starts = np.concatenate([first, ends[:-1]]).astype(np.int64)
+        self.lengths = np.concatenate([first, np.diff(ends)]).astype(np.int64)
 
     def take(self, rows: np.ndarray) -> np.ndarray:
         lengths = self.lengths[rows]
@@ -186,7 +192,7 @@ class _Ragged:
 
 def _assemble(head, pieces):
     def run(batches):
-        ids_of, piece_of = _Ragged([b"", *head.value[1].to_pylist()], "<u4"), _Ragged(pieces.value, "u1")
+        ids_of, piece_of = _Ragged(head.value[1], "<u4", hole=True), _Ragged(pieces.value, "u1")
         level = zstandard.ZstdDecompressor()
         for batch in batches:
             ids, decoded = [], []
@@ -240,12 +246,14 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, head_words: int = HE
     """(doc_id, ids array<int>, decoded, ids_sha256, decoded_sha256), one row for each of ``docs`` (doc_id, text).
 
     ``ids`` are what the tokenizers library gives for the whole text without added special tokens; ``decoded`` is made from
-    the ids. Null texts count as empty: no ids and an empty text. A special token's string in a text is that token. Rows of the same
+    the ids. The session's Arrow batches are kept to ``BATCH_ROWS`` rows from then on. Null texts count as empty: no ids and an empty text. A special token's string in a text is that token. Rows of the same
     doc_id and text give equal rows. Other columns are ignored; an empty table gives no rows.
     """
     spark: SparkSession = docs.sparkSession
     scratch = Scratch(spark, "bpe")
     vocabulary = Vocabulary(vocabulary_path)
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) not in range(1, BATCH_ROWS + 1):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     unknown = text.rlike(r"\p{Cn}")
     words = F.when(~unknown, words_of(text, list(vocabulary.special)))
@@ -253,7 +261,7 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, head_words: int = HE
     chosen = _head(rows, vocabulary, min(head_words, (1 << 24) - 2), scratch).toArrow().combine_chunks()
     columns = [chosen.column(name).combine_chunks() if chosen.num_rows else pa.array([], kind) for name, kind in (("word", pa.string()), ("ids", pa.binary()))]
     head = spark.sparkContext.broadcast(tuple(columns))
-    pieces = spark.sparkContext.broadcast(vocabulary.piece_list())
+    pieces = spark.sparkContext.broadcast(pa.array(vocabulary.piece_list(), pa.binary()))
 
     doc_type = docs.schema["doc_id"].dataType
     key = [T.StructField("doc_id", doc_type), T.StructField("digest", T.LongType())]
