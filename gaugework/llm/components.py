@@ -68,15 +68,20 @@ def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], s
     """
     rest = scratch.put(entries.where("key is not null and id is not null").distinct())
     entry_count = rest.count()
+    # A member that shares large buckets is central to them, and soonest found like the others.
+    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    weights = scratch.put(rest.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("weight")))
     edges: list[DataFrame] = []
     compared: list[DataFrame] = []
     classes, compared_at_once = None, 1
     while True:
         labelled = rest if classes is None else rest.join(classes, "id", "left")
         own = F.col("id") if classes is None else F.coalesce("component", "id")
-        labelled = scratch.put(labelled.select("key", "id", own.alias("component")))
+        labelled = scratch.put(labelled.select("key", "id", own.alias("component")).join(weights, "id"))
         # One row per bucket and class first, so that a hot bucket of copies meets as few rows.
-        per_class = labelled.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+        per_class = labelled.groupBy("key", "component").agg(
+            F.count(F.lit(1)).alias("n"), F.max("weight").alias("weight"), F.max_by("id", F.struct("weight", -F.col("id"))).alias("first")
+        )
         per_key = per_class.groupBy("key").agg(
             F.count(F.lit(1)).alias("classes"), ((F.pow(F.sum("n"), F.lit(2)) - F.sum(F.pow("n", F.lit(2)))) / 2).alias("pairs")
         )
@@ -91,7 +96,7 @@ def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], s
             reps = todo.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
         else:
             # The others of a small class soonest agree, so it is compared first.
-            order = Window.partitionBy("key").orderBy("n", "first")
+            order = Window.partitionBy("key").orderBy("n", F.desc("weight"), "first")
             ranked = per_class.join(small(open_keys.select("key")), "key", "left_semi").withColumn("rank", F.row_number().over(order))
             reps = scratch.put(ranked.where(F.col("rank") <= compared_at_once).select("key", F.col("first").alias("a"), F.col("component").alias("ca")))
         others = todo.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))

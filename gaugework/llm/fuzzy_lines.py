@@ -17,7 +17,7 @@ SHINGLE_CHARS, SIMILARITY = 7, 0.8
 BANDS, BAND_ROWS = 10, 4
 #: A line's signature is taken from a sample of its shingles chosen by hash, at a rate that leaves between one and two times this
 #: many; a shingle is chosen alike in every line, so the similarity of samples is that of the lines.
-SAMPLE = 64
+SAMPLE = 32
 SEED = 5
 
 _SIDE = 4  # bytes of a character in UTF-32
@@ -36,10 +36,10 @@ def _positions(line: Column) -> Column:
     return F.greatest(F.length(line) - (SHINGLE_CHARS - 1), F.lit(1))
 
 
-def shingle_set(line: Column) -> Column:
-    """The set of a line's shingles, as hashes; a shorter line is one shingle."""
+def shingles(line: Column) -> Column:
+    """The line's shingles as hashes, repeats included; a shorter line is one shingle."""
     at = F.sequence(F.lit(0), _positions(line) - 1)
-    return F.array_distinct(_once(F.encode(line, "UTF-32"), lambda wide: F.transform(at, lambda n: _shingle_hash(wide, n))))
+    return _once(F.encode(line, "UTF-32"), lambda wide: F.transform(at, lambda n: _shingle_hash(wide, n)))
 
 
 def _once(value: Column, use) -> Column:
@@ -47,13 +47,14 @@ def _once(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def jaccard(left: Column, right: Column) -> Column:
-    """The Jaccard similarity of two lines' shingle sets."""
-    def of_sets(sets: Column) -> Column:
-        total = F.size(sets["a"]) + F.size(sets["b"])
-        return _once(F.size(F.array_union(sets["a"], sets["b"])), lambda union: (total - union) / union)
+def distinct_shingles(line: Column) -> Column:
+    return F.size(F.array_distinct(shingles(line)))
 
-    return _once(F.struct(shingle_set(left).alias("a"), shingle_set(right).alias("b")), of_sets)
+
+def jaccard(left: Column, right: Column, left_size: Column, right_size: Column) -> Column:
+    """The Jaccard similarity of two lines' shingle sets, whose sizes are known."""
+    shared = F.size(F.array_intersect(shingles(left), shingles(right)))
+    return _once(shared, lambda both: both / (left_size + right_size - both))
 
 
 def _level(count: Column) -> Column:
@@ -98,12 +99,14 @@ def line_components(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     met = scratch.put(entries.join(small(repeated), "key", "left_semi"))
     scratch.drop(signed)
     ids = scratch.put(met.select("id").distinct())
-    texts = scratch.put(distinct.select("id", "line").join(small(ids), "id", "left_semi"))
+    texts = scratch.put(distinct.select("id", "line").join(small(ids), "id", "left_semi").withColumn("size", distinct_shingles(F.col("line"))))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (texts.select(F.col("id").alias(side), F.col("line").alias(f"line_{side}")) for side in "ab")
+        left, right = (texts.select(F.col("id").alias(side), F.col("line").alias(f"line_{side}"), F.col("size").alias(f"size_{side}")) for side in "ab")
         both = pairs.join(left, "a").join(right, "b")
-        return both.where(jaccard(F.col("line_a"), F.col("line_b")) >= SIMILARITY)
+        # Sets whose sizes are too far apart cannot be similar enough.
+        near = F.least("size_a", "size_b") >= SIMILARITY * F.greatest("size_a", "size_b")
+        return both.where(near & (jaccard(F.col("line_a"), F.col("line_b"), F.col("size_a"), F.col("size_b")) >= SIMILARITY))
 
     return link_buckets(met, verify, scratch)
 
