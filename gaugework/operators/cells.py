@@ -111,15 +111,16 @@ def _table_cells(frame: DataFrame, entries: list[ColumnEntry]) -> DataFrame | No
     slots = []
     for entry in entries:
         if entry.lane != ROW:
-            slots.append(_slot(entry.column_key, *_typed(f"c{entry.position}", fields[entry.position].dataType)))
+            slots.append(_slot(entry.column_key, *_raw(f"c{entry.position}", fields[entry.position].dataType)))
         elif fields:
             columns = [(field.name, field.dataType) for field in fields]
-            # The text is used more than once below, so it is a column of its own.
-            frame = frame.selectExpr("*", f"{row_text(columns)} as row_text")
-            slots.append(_slot(entry.column_key, NO_WHOLE, NO_REAL, row_body("row_text", columns)))
+            slots.append(_slot(entry.column_key, NO_WHOLE, NO_REAL, row_text(columns), null_positions(columns)))
     if not slots:
         return None
-    return frame.selectExpr(f"explode(array({', '.join(slots)})) as cell").select("cell.*")
+    # Typing and hashing are written once, for the exploded cell, so the plan does not grow with the width.
+    return frame.selectExpr(f"explode(array({', '.join(slots)})) as cell").selectExpr(
+        "cell.column_key", f"{_whole('cell')} as whole", "cell.real", f"{_body('cell')} as body"
+    )
 
 
 def _settled(frame: DataFrame) -> DataFrame:
@@ -137,12 +138,12 @@ def _settled(frame: DataFrame) -> DataFrame:
 NO_WHOLE, NO_REAL, NO_BODY = "cast(null as bigint)", "cast(null as double)", "cast(null as string)"
 
 
-def _slot(column_key: int, whole: str, real: str, body: str) -> str:
-    return f"named_struct('column_key', {column_key}, 'whole', {whole}, 'real', {real}, 'body', {body})"
+def _slot(column_key: int, whole: str, real: str, body: str, nulls: str = NO_BODY) -> str:
+    return f"named_struct('column_key', {column_key}, 'whole', {whole}, 'real', {real}, 'body', {body}, 'nulls', {nulls})"
 
 
-def _typed(value: str, data_type: T.DataType) -> tuple[str, str, str]:
-    """SQL for the three slots of one cell."""
+def _raw(value: str, data_type: T.DataType) -> tuple[str, str, str]:
+    """SQL for the three slots of one cell, texts as they are."""
     lane = lane_of(data_type)
     if lane in (BOOLEAN, INTEGER):
         return f"cast({value} as bigint)", NO_REAL, NO_BODY
@@ -155,14 +156,26 @@ def _typed(value: str, data_type: T.DataType) -> tuple[str, str, str]:
     if lane in (DECIMAL_WHOLE, DECIMAL):
         return NO_WHOLE, f"cast({value} as double)", f"cast({value} as string)"
     if lane == OPAQUE:
-        text = canonical_text(value, data_type)
-        return NO_WHOLE, NO_REAL, f"case when {value} is not null then {_digest(text)} end"
-    text = f"cast({value} as string)"
-    is_long = f"octet_length({text}) > {RAW_BYTES} and not {may_be_token(text)}"
+        return NO_WHOLE, NO_REAL, f"case when {value} is not null then {canonical_text(value, data_type)} end"
+    return NO_WHOLE, NO_REAL, f"cast({value} as string)"
+
+
+def _is_long(cell: str) -> str:
+    return f"octet_length({cell}.body) > {RAW_BYTES} and not {may_be_token(f'{cell}.body')}"
+
+
+def _whole(cell: str) -> str:
+    is_long = f"{cell}.column_key % {LANES} = {TEXT} and {_is_long(cell)}"
+    return f"case when {is_long} then cast(char_length({cell}.body) as bigint) else {cell}.whole end"
+
+
+def _body(cell: str) -> str:
+    """SQL for what identifies a cell's text or a complete row; never null for rows."""
+    lane = f"{cell}.column_key % {LANES}"
+    row_key = f"case when octet_length({cell}.body) <= {RAW_BYTES} then {cell}.body else concat('#', {_digest(f'{cell}.body')}) end"
     return (
-        f"case when {is_long} then cast(char_length({text}) as bigint) end",
-        NO_REAL,
-        f"case when {is_long} then {_digest(text)} else {text} end",
+        f"case when {lane} = {ROW} then concat_ws('|', {row_key}, {cell}.nulls) "
+        f"when {lane} = {OPAQUE} or {lane} = {TEXT} and {_is_long(cell)} then {_digest(f'{cell}.body')} else {cell}.body end"
     )
 
 
@@ -198,10 +211,15 @@ def row_body(text: str, columns: list[tuple[str, T.DataType]]) -> str:
     """SQL for the identity of the complete row, then ``|`` and the comma-joined positions of its
     nulls. Short rows stay as they are and longer ones become a digest."""
     key = f"case when octet_length({text}) <= {RAW_BYTES} then {text} else concat('#', {_digest(text)}) end"
-    nulls = ", ".join(f"case when {name} is null then '{i}' end" for i, (name, _) in enumerate(columns))
     # Never null, which the optimizer must be able to see: it would otherwise carry the whole expression
     # through every join as a condition.
-    return f"concat_ws('|', {key}, concat_ws(',', {nulls}))"
+    return f"concat_ws('|', {key}, {null_positions(columns)})"
+
+
+def null_positions(columns: list[tuple[str, T.DataType]]) -> str:
+    """SQL for the comma-joined positions of a row's nulls."""
+    nulls = ", ".join(f"case when {name} is null then '{i}' end" for i, (name, _) in enumerate(columns))
+    return f"concat_ws(',', {nulls})"
 
 
 def _row_field(value: str, data_type: T.DataType) -> str:

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 from gaugework.operators import cells as C
 
-SALTS = 32
-
 
 def duplicate_patterns(histogram: DataFrame, tables: DataFrame) -> DataFrame:
     """Groups of equal rows, summed per table and set of null columns.
@@ -44,8 +42,8 @@ def flag_repeated_rows(frame: DataFrame, order_key: str, columns: list[str] | No
     """Adds ``is_excess``: whether an earlier row, by the unique ``order_key``, equals this one.
 
     Earlier means a smaller key, so a row is excess exactly when it is not its group's minimum. That
-    needs no sorted group: minima come from a map-side aggregation, and the join back spreads each
-    group over ``SALTS`` parts, so a group holding a third of the table is no single task.
+    needs no sorted group: minima come from a map-side aggregation, and the join back to them has one row on
+    one side, so adaptive execution can split a group that holds a third of the table.
     """
     names = columns or [name for name in frame.columns if name != order_key]
     return _flag(frame, names, order_key, F.lit(True))
@@ -66,9 +64,8 @@ def _flag(frame: DataFrame, names: list[str], order_key: str, eligible: Column)
         .groupBy("_row")
         .agg(F.min(order_key).alias("_first"), F.count(F.lit(1)).alias("_n"))
         .where("_n > 1")
-        .select("_row", "_first", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+        .select("_row", "_first")
     )
-    salted = keyed.withColumn("_salt", F.pmod(F.xxhash64(order_key), F.lit(SALTS)).cast("int"))
     excess = eligible & F.col("_first").isNotNull() & (F.col(order_key) > F.col("_first"))
-    flagged = salted.join(firsts, ["_row", "_salt"], "left").withColumn("is_excess", excess)
+    flagged = keyed.join(firsts, "_row", "left").withColumn("is_excess", excess)
     return flagged.select(*frame.columns, "is_excess")

@@ -28,11 +28,12 @@ def quality_by_table(profile: DataFrame, patterns: DataFrame) -> DataFrame:
     # identifier does; so the uncovered ones are those whose identifiers are all null.
     nulls = F.split("null_positions", ",")
     all_null = (F.size("identifiers") > 0) & (F.size(F.array_except("identifiers", nulls)) == 0)
-    joined = measures.join(patterns, "table_name", "left").groupBy(*measures.columns)
-    folded = joined.agg(
-        F.coalesce(F.sum("excess_rows"), F.lit(0)).alias("row_excess"),
-        F.coalesce(F.sum(F.when(all_null, F.col("excess_rows"))), F.lit(0)).alias("uncovered"),
+    # One row per table is broadcast onto the patterns, whose sums are then reduced before the shuffle.
+    known = F.broadcast(measures.select("table_name", "identifiers"))
+    sums = patterns.join(known, "table_name").groupBy("table_name").agg(
+        F.sum("excess_rows").alias("row_excess"), F.sum(F.when(all_null, F.col("excess_rows"))).alias("uncovered")
     )
+    folded = measures.join(sums, "table_name", "left").fillna(0, ["row_excess", "uncovered"])
     empty = F.col("row_count") == 0
     dimensions = F.array(_completeness(empty), _uniqueness(empty), _validity(empty), _consistency(empty))
     cells = F.col("cells")

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -29,7 +30,11 @@ _QUOTED = r'"(?:[^"]++|"")*+"'
 def csv_files(spark: SparkSession, path: str, limits: Limits = Limits()) -> DataFrame:
     """The files below a path with their size and, for empty or oversized ones, a verdict. File
     contents are not read."""
-    listed = spark.read.format("binaryFile").load(path).select(_uri("path").alias("file"), F.col("length").alias("bytes"))
+    sizes = spark.read.format("binaryFile").load(path).select(_uri("path").alias("file"), F.col("length").alias("bytes"))
+    # Scans leave out files without content, so the names come from the listing that Spark's driver holds for any scan.
+    names = pa.table({"name": pa.array(spark.read.text(path).inputFiles(), pa.string())})
+    listed = spark.createDataFrame(names).select(_uri("name").alias("file")).distinct()
+    listed = listed.join(sizes, "file", "left").fillna(0, ["bytes"])
     verdict = F.when(F.col("bytes") == 0, EmptyDataset.code).when(
         beyond(F.col("bytes"), limits.max_file_bytes), FileTooLarge.code
     )

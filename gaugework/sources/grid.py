@@ -93,11 +93,21 @@ def grid_summary(cells: DataFrame, sheet: str | None = None) -> DataFrame:
     )
 
 
-def grid_table(cells: DataFrame, header: list[str], sheet: str | None = None) -> DataFrame:
-    """The rows of all workbooks with the given header: short rows padded with null, rows without
-    any value dropped. Returns ``file, row`` and the header's columns."""
+def grid_table(cells: DataFrame, header: list[str] | None = None, sheet: str | None = None) -> DataFrame:
+    """The rows of all workbooks: short rows padded with null, rows without any value dropped. Returns ``file, row`` and the columns.
+
+    Every workbook's own first row says which of its columns is which, so their order may differ. Without a ``header`` the columns
+    are all names found, in the order of their first place; with one they are those named, null where a workbook lacks them. Values
+    beyond a header have no name; :func:`grid_summary` makes such a workbook malformed.
+    """
     masked = masked_cells(cells, choose_sheets(cells, sheet))
-    first = masked.groupBy("file").agg(F.min("row").alias("first_row"))
-    data = masked.join(first, "file").where("row > first_row")
-    columns = [F.max(F.when(F.col("col") == i, F.col("value"))).alias(name) for i, name in enumerate(header)]
+    named = grid_headers(masked)
+    if header is None:
+        # One row per different column name: bounded by the width of sheets.
+        names = named.groupBy("name").agg(F.min(F.struct("col", "file")).alias("place")).orderBy("place").select("name").collect()
+        header = [row.name for row in names]
+    # One row per header cell; a name that stands twice counts where it is first.
+    places = named.groupBy("file", "name").agg(F.min("col").alias("col"), F.min("row").alias("first_row"))
+    data = masked.join(places, ["file", "col"]).where("row > first_row")
+    columns = [F.max(F.when(F.col("name") == name, F.col("value"))).alias(name) for name in header]
     return data.groupBy("file", "row").agg(*columns).dropna("all", subset=header)

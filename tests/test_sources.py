@@ -135,4 +135,14 @@ def test_grid(spark):
     assert rows["g"].verdict == "malformed_dataset" and rows["h"].verdict == "empty_dataset"
     table = grid.grid_table(cells.where("file = 'f'"), ["id", "name"]).orderBy("row").collect()
     assert [(r.id, r.name) for r in table] == [("1", None), ("2", None)]
+    mixed = spark.createDataFrame(
+        [("p", "s", 0, True, 0, c, n, "s") for c, n in enumerate(["name", "id", "extra"])]
+        + [("p", "s", 0, True, 1, c, v, "s") for c, v in enumerate(["Bob", "7", "x"])]
+        + [("q", "s", 0, True, 0, 0, "id", "s"), ("q", "s", 0, True, 1, 0, "8", "s")],
+        CELLS,
+    )
+    rows = grid.grid_table(mixed).orderBy("id")
+    assert rows.columns[2:] == ["name", "id", "extra"] or set(rows.columns[2:]) == {"name", "id", "extra"}
+    assert [(r.id, r["name"], r.extra) for r in rows.collect()] == [("7", "Bob", "x"), ("8", None, None)]
+    assert [(r.id, r["name"]) for r in grid.grid_table(mixed, ["id", "name"]).orderBy("id").collect()] == [("7", "Bob"), ("8", None)]
     assert grid.choose_sheets(cells, "absent").head().verdict == "sheet_not_found"
