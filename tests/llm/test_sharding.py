@@ -25,7 +25,7 @@ def test_matrix_has_exact_sums_and_the_right_mean():
 def test_documents(spark, documents):
     rows = shard_documents(documents).collect()
     texts = {r["doc_id"]: r["text"] for r in documents.select("doc_id", "text").collect()}
-    assert Counter(r["doc_id"] for r in rows) == Counter(texts)
+    assert Counter(r["doc_id"] for r in rows) == Counter(list(texts))
     assert all(r["size"] == len(r["text"].encode()) + 16 and r["text_crc32"] == zlib.crc32(r["text"].encode()) for r in rows)
     counts = Counter(r["shard"] for r in rows)
     assert set(counts) == set(range(40)) and max(counts.values()) - min(counts.values()) <= 1
