@@ -28,16 +28,16 @@ def default_cost(capacity: int) -> float:
 def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost=default_cost) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bin, offset, capacity) of each item; items must fit the largest capacity.
 
-    Longest items first, each into the open bin that it fills best. When none has room, the bin opened is of the size of least cost per place
-    that is used, among sizes up to a limit. Each permitted size is tried as the limit, every bin of a trial is cut down to the
-    smallest size that holds its contents, and the cheapest trial counts.
+    Longest items first, each into the open bin that it fills best. When none has room, a bin is opened of the size of least cost per
+    place that items of this length would use. Besides, each permitted size is tried as the one that is opened wherever it has room. Every
+    bin of a trial is cut down to the smallest size that holds its contents, and the cheapest trial counts.
     """
     sizes = sorted(set(capacities))
     order = np.argsort(-lengths, kind="stable")
     sorted_lengths = lengths[order].tolist()
     price = {size: cost(size) for size in sizes}
     best = None
-    for limit in sizes:
+    for wanted in (None, *sizes):
         left_over = sum(sorted_lengths)
         rooms: list[tuple[int, int]] = []  # (free places, bin), ascending
         used: list[int] = []
@@ -48,9 +48,11 @@ def pack(lengths: np.ndarray, capacities: tuple[int, ...] = CAPACITIES, cost=def
                 room, number = rooms.pop(found)
             else:
                 fitting = [s for s in sizes if s >= length]
-                allowed = [s for s in fitting if s <= limit] or fitting[:1]
-                # What is left may be too little to fill a large bin.
-                room = min(allowed, key=lambda s: (price[s] / max(1, min(s, left_over)), s))
+                if wanted is not None:
+                    room = wanted if wanted >= length else fitting[0]
+                else:
+                    # What is left may be too little to fill a large bin.
+                    room = min(fitting, key=lambda s: (price[s] / max(1, min(s // length * length, left_over)), s))
                 number = len(used)
                 used.append(0)
             where[at], offset[at] = number, used[number]
