@@ -793,9 +793,9 @@ _add(
 )
 _add(
     "limit_verdicts",
-    lambda s, d: limit_verdicts(_raw(s, d, *SCHEMAS), UPLOAD_LIMITS).select("table_name", "verdict"),
+    lambda s, d: limit_verdicts(_raw(s, d, *SCHEMAS), UPLOAD_LIMITS).select("table_name", "row_count", "cell_count", "verdict"),
     " union all ".join(
-        f"""select '{t}' as table_name, case when count(*) > 100000 or count(*) * {len(c)} > 1000000
+        f"""select '{t}' as table_name, count(*) as row_count, count(*) * {len(c)} as cell_count, case when count(*) > 100000 or count(*) * {len(c)} > 1000000
         then 'dataset_limit_exceeded' else 'accepted' end as verdict from {t}"""
         for t, c in SCHEMAS.items()
     ),
