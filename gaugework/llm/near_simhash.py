@@ -1,7 +1,12 @@
-"""SimHash near-duplicates over an inverted index of fingerprint bytes with count filtering."""
+"""SimHash near-duplicates over an inverted index of fingerprint bytes with count filtering.
+
+The corpus pipeline drops near-duplicates by what fingerprints only estimate, the Jaccard similarity of word shingles: at 0.8
+some ten of 64 bits differ, and no index of fingerprint parts guarantees a match that far. Its candidates come from minima.
+"""
 
 from __future__ import annotations
 
+import random
 from itertools import combinations
 
 import numpy as np
@@ -12,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugework.llm.components import link_buckets
-from gaugework.llm.scratch import Scratch
+from gaugework.llm.scratch import Scratch, small
 
 #: Words of a shingle, and bits by which linked fingerprints may differ.
 SHINGLE_WORDS, MAX_BITS = 3, 2
@@ -20,6 +25,21 @@ SEED = 42
 BYTES = 8
 #: Two fingerprints within MAX_BITS bits agree in at least so many of the eight positions.
 MIN_SHARED = BYTES - MAX_BITS
+#: The pipeline's rule: words of a shingle, and the Jaccard similarity of two texts' shingle sets from which one is dropped.
+TEXT_WORDS, TEXT_SIMILARITY = 5, 0.8
+#: Bands and rows of a band: a pair at the similarity meets in no band with probability (1 - 0.8**4)**24 = 0.000003.
+BANDS, BAND_ROWS = 24, 4
+
+
+def _shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
+    """The hashes of all shingles of so many words; a shorter text is one shingle, one without words has none."""
+    words = (text or b"").lower().split()
+    if 0 < len(words) < width:
+        shingles = [b" ".join(words)]
+    else:
+        shingles = map(b" ".join, zip(*(words[i:] for i in range(width))))
+    digest = xxhash.xxh64_intdigest
+    return np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8")
 
 
 def fingerprint_of(text: bytes | None) -> int:
@@ -27,15 +47,9 @@ def fingerprint_of(text: bytes | None) -> int:
 
     A-Z are lower-cased, words are split at ASCII white space, repeated shingles count each time.
     """
-    words = (text or b"").lower().split()
-    if not words:
+    hashes = _shingle_hashes(text, SHINGLE_WORDS)
+    if not len(hashes):
         return 0
-    if len(words) < SHINGLE_WORDS:
-        shingles = [b" ".join(words)]
-    else:
-        shingles = map(b" ".join, zip(*(words[i:] for i in range(SHINGLE_WORDS))))
-    digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(s, SEED) for s in shingles), dtype="<u8")
     ones = np.unpackbits(hashes.view(np.uint8).reshape(-1, BYTES), axis=1).sum(axis=0, dtype=np.int64)
     return int(np.packbits(ones * 2 > len(hashes)).view("<i8")[0])
 
@@ -82,6 +96,13 @@ def _verify(pairs: DataFrame) -> DataFrame:
     return pairs.where(shared >= MIN_SHARED).where(F.bit_count(differ) <= MAX_BITS)
 
 
+def _smallest_ids(distinct: DataFrame, linked: DataFrame) -> DataFrame:
+    """(id, component_id): the smallest doc_id of each id's component."""
+    joined = distinct.join(linked, "id", "left").select("id", "first", F.coalesce("component", "id").alias("class"))
+    smallest = joined.groupBy("class").agg(F.min("first").alias("component_id"))
+    return joined.join(smallest, "class").select("id", "component_id")
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint string, component_id) of every row of ``docs`` (doc_id, text).
 
@@ -95,9 +116,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     # Copies meet as one fingerprint; min() is reduced before the shuffle.
     distinct = scratch.put(prints.groupBy(F.col("fingerprint").alias("id")).agg(F.min("doc_id").alias("first")))
     linked = link_buckets(_postings(distinct), _verify, scratch)
-    joined = distinct.join(linked, "id", "left").select("id", "first", F.coalesce("component", "id").alias("class"))
-    smallest = joined.groupBy("class").agg(F.min("first").alias("component_id"))
-    labels = joined.join(smallest, "class").select(F.col("id").alias("fingerprint"), "component_id")
+    labels = _smallest_ids(distinct, linked).withColumnRenamed("id", "fingerprint")
     return prints.join(labels, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
@@ -114,3 +133,77 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     # A document is kept by its own id; its text decides the component, so id and fingerprint are both compared.
     kept = scratch.put(found.where("doc_id <=> component_id").select("doc_id").distinct())
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
+
+
+def _signature_batches(batches):
+    rng = random.Random(SEED)
+    factors = [(np.uint64(rng.getrandbits(64) | 1), np.uint64(rng.getrandbits(64))) for _ in range(BANDS * BAND_ROWS)]
+    for batch in batches:
+        ids, keys = [], []
+        for text in batch.column("text").cast(pa.binary()).to_pylist():
+            hashes = np.unique(_shingle_hashes(text, TEXT_WORDS))
+            ids.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63))
+            minima = np.array([(hashes * a + b).min() for a, b in factors if len(hashes)], dtype="<u8").reshape(-1, BAND_ROWS)
+            keys.append([xxhash.xxh64_intdigest(row.tobytes(), band) - (1 << 63) for band, row in enumerate(minima)])
+        columns = [batch.column("doc_id"), batch.column("digest"), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "id", "keys"])
+
+
+def _set_batches(batches):
+    for batch in batches:
+        # One text at a time, so that a batch of long texts is not held twice.
+        for row in range(batch.num_rows):
+            text = batch.column("text").slice(row, 1).cast(pa.binary())[0].as_py()
+            hashes = np.unique(_shingle_hashes(text, TEXT_WORDS)).view("<i8")
+            offsets = pa.array([0, len(hashes)], pa.int32())
+            arrays = [batch.column("id").slice(row, 1), pa.ListArray.from_arrays(offsets, pa.array(hashes))]
+            yield pa.RecordBatch.from_arrays(arrays, ["id", "shingles"])
+
+
+def similar_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
+    """(doc_id, digest, component_id) of every row of ``docs`` (doc_id, text); digest is the hash of the text.
+
+    Texts are linked if the Jaccard similarity of their sets of five-word shingles is at least 0.8: candidates share a band of
+    minima, and each compared pair is decided by its whole sets. Texts with equal sets are one, those without words too. Sets, texts
+    and shingles are told apart by 64-bit hashes. ``component_id`` is as for :func:`simhash_components`.
+    """
+    text = F.col("text").cast("string")
+    rows = docs.select("doc_id", F.xxhash64(text).alias("digest"), text.alias("text"))
+    doc_type = docs.schema["doc_id"].dataType
+    schema = T.StructType([T.StructField("doc_id", doc_type), T.StructField("digest", T.LongType()), T.StructField("id", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    signed = scratch.put(rows.mapInArrow(_signature_batches, schema))
+    distinct = scratch.put(signed.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("digest").alias("digest"), F.first("keys").alias("keys")))
+    entries = distinct.select("id", F.explode("keys").alias("key"))
+    repeated = scratch.put(entries.groupBy("key").count().where("count > 1").select("key"))
+    met = scratch.put(entries.join(small(repeated), "key", "left_semi"))
+    # One text of each set that met another one.
+    wanted = scratch.put(distinct.join(met.select("id").distinct(), "id", "left_semi").select("id", "digest"))
+    texts = rows.select("digest", "text").join(small(wanted), "digest").groupBy("id").agg(F.first("text").alias("text"))
+    sets = texts.mapInArrow(_set_batches, "id long, shingles array<long>").withColumn("size", F.size("shingles"))
+    sets = scratch.put(sets)
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        left, right = (sets.select(F.col("id").alias(s), F.col("shingles").alias(f"shingles_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab")
+        # Sets whose sizes are too far apart cannot be similar enough.
+        sizes = pairs.join(sets.select(F.col("id").alias("a"), F.col("size").alias("n_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("size").alias("n_b")), "b")
+        near = sizes.where(F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= TEXT_SIMILARITY).select("a", "b")
+        both = near.join(left, "a").join(right, "b")
+        shared = both.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("shingles_a", "shingles_b")).alias("shared"))
+        return shared.where(F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")) >= TEXT_SIMILARITY)
+
+    labels = _smallest_ids(distinct.select("id", "first"), link_buckets(met, verify, scratch))
+    return signed.select("doc_id", "digest", "id").join(labels, "id").select("doc_id", "digest", "component_id")
+
+
+def drop_similar(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is the smallest of its component of :func:`similar_components`; all columns stay.
+
+    Rows alike in doc_id and text stay together. Rows of a null doc_id stay only if their component has no doc_id. An empty
+    table gives no rows.
+    """
+    scratch = Scratch(docs.sparkSession, "similar-keep")
+    found = similar_components(docs, scratch)
+    kept = found.where("doc_id <=> component_id").select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest")).distinct()
+    kept = scratch.put(kept)
+    own = F.xxhash64(F.col("text").cast("string"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__doc"]) & (own == kept["__digest"]), "left_semi")
