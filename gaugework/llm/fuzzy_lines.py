@@ -63,16 +63,16 @@ def _level(count: Column) -> Column:
 
 
 def band_keys(lines: DataFrame) -> DataFrame:
-    """(id, key) of every band of ``lines`` (id, line).
+    """(id, keys) of ``lines`` (id, line, size), a key for every band; size is the number of distinct shingles.
 
     Minima under the permutations h -> h xor c. Lines near a change of the sampling rate are signed at both rates, as
     their partners may be at either.
     """
     rng = random.Random(SEED)
     masks = [rng.getrandbits(64) - (1 << 63) for _ in range(BANDS * BAND_ROWS)]
-    count = _positions(F.col("line"))
-    low, high = _level(count * F.lit(SIMILARITY)), _level(count / F.lit(SIMILARITY))
-    wide = lines.select("id", F.encode("line", "UTF-32").alias("wide"), count.alias("count"), low.alias("low"), high.alias("high"))
+    # The sample is of distinct shingles, so its level is too: positions would thin out a line that repeats itself.
+    low, high = _level(F.col("size") * F.lit(SIMILARITY)), _level(F.col("size") / F.lit(SIMILARITY))
+    wide = lines.select("id", F.encode("line", "UTF-32").alias("wide"), _positions(F.col("line")).alias("count"), low.alias("low"), high.alias("high"))
     hashes = wide.select("id", "low", "high", "wide", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at"))
     hashes = hashes.select("id", "low", "high", _shingle_hash(F.col("wide"), F.col("at")).alias("h"))
     in_low = F.col("h").bitwiseAND(F.expr("shiftleft(1L, low) - 1")) == 0
@@ -92,14 +92,14 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def line_components(distinct: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, component) of those of the distinct lines (id, line) that resemble another one."""
+    """(id, component) of those of the distinct lines (id, line, size) that resemble another one."""
     signed = scratch.put(band_keys(distinct))
     entries = signed.select("id", F.explode("keys").alias("key"))
     repeated = scratch.put(entries.groupBy("key").count().where("count > 1").select("key"))
     met = scratch.put(entries.join(small(repeated), "key", "left_semi"))
     scratch.drop(signed)
     ids = scratch.put(met.select("id").distinct())
-    texts = scratch.put(distinct.select("id", "line").join(small(ids), "id", "left_semi").withColumn("size", distinct_shingles(F.col("line"))))
+    texts = scratch.put(distinct.select("id", "line", "size").join(small(ids), "id", "left_semi"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("id").alias(side), F.col("line").alias(f"line_{side}"), F.col("size").alias(f"size_{side}")) for side in "ab")
@@ -128,7 +128,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "digest", "line_no")
     # Equal lines meet first, reduced before the shuffle. The rows stay where the signatures need them.
     distinct = _occurrences(docs).groupBy("id").agg(F.min("line").alias("line"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)
+    distinct = distinct.withColumn("size", distinct_shingles(F.col("line"))).persist(StorageLevel.MEMORY_AND_DISK)
     linked = line_components(distinct, scratch)
     # Of the lines that may go, the place of the one that stays.
     decided = distinct.select("id", "first", "n").join(linked, "id", "left").where("n > 1 or component is not null")
