@@ -26,7 +26,8 @@ CARD_DIGITS, PHONE_DIGITS = (13, 19), (9, 15)
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Term spans: generalised from this share of an entity's information on, removed from the second.
 GENERALISE, REMOVE = 0.85, 0.95
-#: Different texts that must hold term and entity together; copies of one text are no evidence.
+#: Different texts holding term and entity together from which their counts are taken as they are; copies of one text are no
+#: evidence. With fewer, each text counts once and one more text is supposed that holds the term without the entity.
 MIN_TEXTS = 3
 LETTER = r"[\p{L}\p{M}\p{N}]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -61,17 +62,21 @@ def _holds(kind: str, match: Column) -> Column:
 
 def _located(text: Column, matches: Column, pattern: Column, kind: Column) -> Column:
     """The matches with their places in code points: what stands between them is what splitting leaves."""
-    gaps = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
 
-    def step(state: Column, n: Column) -> Column:
-        begin = state["at"] + F.length(F.get(gaps, n))
-        end = begin + F.length(F.get(matches, n))
-        span = F.struct(kind.alias("kind"), begin.alias("start"), end.alias("end"), F.get(matches, n).alias("value"))
-        return F.struct(end.alias("at"), F.array_append(state["out"], span).alias("out"))
+    def spans(both: Column) -> Column:
+        def step(state: Column, n: Column) -> Column:
+            begin = state["at"] + F.length(F.get(both["gaps"], n))
+            end = begin + F.length(F.get(both["matches"], n))
+            span = F.struct(kind.alias("kind"), begin.alias("start"), end.alias("end"), F.get(both["matches"], n).alias("value"))
+            return F.struct(end.alias("at"), F.array_append(state["out"], span).alias("out"))
 
-    found = F.aggregate(F.sequence(F.lit(0), F.size(matches) - 1), start, step, lambda state: state["out"])
-    return F.when(F.size(matches) > 0, found).otherwise(F.array().cast(_SPAN))
+        found = F.aggregate(F.sequence(F.lit(0), F.size(both["matches"]) - 1), start, step, lambda state: state["out"])
+        return F.when(F.size(both["matches"]) > 0, found).otherwise(F.array().cast(_SPAN))
+
+    # Bound once: inside the steps the text would be searched again for every match.
+    both = F.struct(F.split(text, pattern, -1).alias("gaps"), matches.alias("matches"))
+    return F.get(F.transform(F.array(both), spans), F.lit(0))
 
 
 def with_base_spans(docs: DataFrame) -> DataFrame:
@@ -117,28 +122,35 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(f"{LETTER}+"), F.lit(0)))
 
 
-def disclosures(found: DataFrame, scratch: Scratch, generalise: float = GENERALISE, min_texts: int = MIN_TEXTS) -> DataFrame:
-    """(entity, term, share) for the terms that disclose an entity. ``found`` has doc_id, __digest, __text and __base."""
+def disclosures(found: DataFrame, scratch: Scratch, generalise: float = GENERALISE, min_texts: int = MIN_TEXTS) -> tuple[DataFrame, DataFrame]:
+    """(class, term, share) for the terms that disclose an entity, and (entity, class) of every entity. ``found`` has doc_id,
+    __digest, __text and __base.
+
+    Entities found in the same texts have the same shares, so they are one class: a long list of values costs as much as one.
+    """
     holding = found.where(F.size("__base") > 0)
     entities = F.array_distinct(F.transform("__base", _entity))
-    held = holding.select("__digest", F.explode(entities).alias("entity"))
+    held = scratch.put(holding.select("__digest", F.explode(entities).alias("entity")).groupBy("entity", "__digest").count())
     # Support is counted over different texts, probabilities over documents.
-    known = held.groupBy("entity", "__digest").count().groupBy("entity").agg(F.sum("count").alias("entity_docs"), F.count(F.lit(1)).alias("texts"))
-    known = scratch.put(known.where(F.col("texts") >= min_texts).select("entity", "entity_docs"))
-    pairs = holding.select("__digest", F.explode(entities).alias("entity"), _blanked(F.col("__text"), F.col("__base")).alias("blank"))
-    pairs = pairs.join(known.select("entity"), "entity", "left_semi").groupBy("entity", "__digest").agg(F.count(F.lit(1)).alias("n"), F.first("blank").alias("blank"))
-    together = pairs.select("entity", "n", F.explode(_terms(F.col("blank"))).alias("term")).groupBy("entity", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts"))
-    together = scratch.put(together.where(F.col("texts") >= min_texts).select("entity", "term", "both"))
+    same = F.xxhash64(F.count(F.lit(1)), F.bit_xor("__digest"), F.bit_xor(F.xxhash64("__digest")))
+    known = scratch.put(held.groupBy("entity").agg(same.alias("class"), F.sum("count").alias("entity_docs")))
+    members = held.join(known, "entity").select("__digest", "class").distinct()
+    texts = holding.select("__digest", _blanked(F.col("__text"), F.col("__base")).alias("blank")).groupBy("__digest").agg(F.count(F.lit(1)).alias("n"), F.first("blank").alias("blank"))
+    together = members.join(texts, "__digest").select("class", "n", F.explode(_terms(F.col("blank"))).alias("term"))
+    together = scratch.put(together.groupBy("class", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts")))
     wanted = scratch.put(together.select("term").distinct())
     # Document counts of the terms over the whole corpus; reduced before the shuffle.
     blank = _blanked(F.col("__text"), F.col("__base"))
     counted = found.select(F.explode(_terms(blank)).alias("term")).join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
     total = F.lit(float(found.count()))
-    facts = together.join(counted, "term").join(known, "entity")
-    mutual = F.log2(total * F.col("both") / (F.col("term_docs") * F.col("entity_docs")))
-    share = facts.select("entity", "term", (mutual / F.log2(total / F.col("entity_docs"))).alias("share"))
+    facts = together.join(counted, "term").join(known.select("class", "entity_docs").distinct(), "class")
+    rare = F.col("texts") < min_texts
+    seen = F.when(rare, F.col("texts")).otherwise(F.col("both"))
+    among = F.when(rare, F.col("term_docs") - F.col("both") + F.col("texts") + 1).otherwise(F.col("term_docs"))
+    mutual = F.log2(total * seen / (among * F.col("entity_docs")))
     # An entity found in every document has no information to disclose.
-    return scratch.put(share.where(F.col("share") >= generalise))
+    share = facts.select("class", "term", F.try_divide(mutual, F.log2(total / F.col("entity_docs"))).alias("share"))
+    return scratch.put(share.where(F.col("share") >= generalise)), known.select("entity", "class")
 
 
 def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_texts: int = MIN_TEXTS) -> DataFrame:
@@ -153,9 +165,10 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
     scratch = Scratch(docs.sparkSession, "sanitise")
     docs = docs.drop("base_spans", "term_spans", "sanitised")
     found = with_base_spans(docs.withColumn("__digest", F.xxhash64(F.col("text").cast("string"))))
-    leaks = disclosures(found.select("doc_id", "__digest", "__text", "__base"), scratch, generalise, min_texts)
+    leaks, known = disclosures(found.select("doc_id", "__digest", "__text", "__base"), scratch, generalise, min_texts)
     entities = F.array_distinct(F.transform("__base", _entity))
-    hit = found.where(F.size("__base") > 0).select(F.col("doc_id").alias("__doc"), F.col("__digest").alias("__own"), F.explode(entities).alias("entity")).join(leaks, "entity")
+    hit = found.where(F.size("__base") > 0).select(F.col("doc_id").alias("__doc"), F.col("__digest").alias("__own"), F.explode(entities).alias("entity"))
+    hit = hit.join(known, "entity").select("__doc", "__own", "class").distinct().join(leaks, "class")
     hit = hit.groupBy("__doc", "__own", "term").agg(F.max("share").alias("share"))
     gone = F.collect_set(F.when(F.col("share") >= remove, F.col("term")))
     loose = F.collect_set(F.when(F.col("share") < remove, F.col("term")))
