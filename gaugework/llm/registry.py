@@ -9,13 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from gaugework.llm import oracles
 from gaugework.llm.bpe import encode_documents
+from gaugework.llm.fill_middle import fill_in_middle, restore
 from gaugework.llm.fuzzy_lines import dedup_lines
 from gaugework.llm.near_embeddings import embedding_components
 from gaugework.llm.near_simhash import simhash_components
 from gaugework.llm.neighbours import nearest
 from gaugework.llm.ordinal_quality import quality_scores
 from gaugework.llm.packing import pack_documents
+from gaugework.llm.prefix_trie import conversation_trie, rebuilt_turns
+from gaugework.llm.rule_cascade import BASE, quality_cascade
 from gaugework.llm.sanitise import sanitise, span_digest
 from gaugework.llm.sharding import shard_documents
 from gaugework.llm.warc import derivatives, responses
@@ -71,6 +75,21 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle(_table(spark, sf_dir, "documents"))
+    digests = [F.sha2("output", 256).alias("output_sha256"), F.sha2(restore(F.col("output"), F.col("form")), 256).alias("restored_sha256")]
+    return cut.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_cascade(_table(spark, sf_dir, "documents")).select("doc_id", *BASE, "base_failed", "kept")
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = conversation_trie(rebuilt_turns(_table(spark, sf_dir, "conversations"))).with_ends()
+    return nodes.select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
+
+
 REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op1_embeddings": (op1_embeddings, None),
     "op2_quality": (op2_quality, None),
@@ -82,6 +101,9 @@ REGISTRY: dict[str, tuple[Query, str | None]] = {
     "op8_bpe": (op8_bpe, None),
     "op9_warc": (op9_warc, None),
     "op10_sharding": (op10_sharding, None),
+    "op11_fill_middle": (op11_fill_middle, oracles.FILL_MIDDLE),
+    "op12_rules": (op12_rules, oracles.CASCADE),
+    "op13_trie": (op13_trie, oracles.TRIE),
     "pipeline": (corpus_pipeline.run, corpus_pipeline.ORACLE_SQL),
 }
 
