@@ -1,39 +1,8 @@
-"""An order-preserving whole number for doubles."""
+"""Properties of doubles as SQL."""
 
 from __future__ import annotations
 
-_MANTISSA = 1 << 52
 _INFINITE = "double('infinity')"
-# Smallest double with a full mantissa, and the smallest of all: 2^-1022 and 2^-1074.
-_NORMAL, _TINY = "2.2250738585072014E-308D", "4.9E-324D"
-
-
-def order_key_ctes(source: str, prefix: str, number: str = "number") -> list[str]:
-    """CTEs that add ``key`` to a relation: a bigint that sorts as the double does and differs
-    wherever the double differs. The last one is called ``prefix``; not-a-number has no key.
-
-    The key is sign x (biased exponent, mantissa), computed with exact powers of two. ``log2`` may be
-    off by one next to a power of two, which the two comparisons put right; above all exponents it is cut. Zero and infinity have no
-    logarithm to round, so they are set apart before it is taken. The steps are separate so that each
-    is computed once.
-    """
-    size = f"abs({number})"
-    inner = f"case when {size} > 0D and {size} < {_INFINITE} then {size} end"
-    return [
-        f"{prefix}_g as (select *, {inner} as size, least(cast(floor(log2({inner})) as int), 1023) as guess from {source})",
-        f"{prefix}_s as (select *, size / pow(2D, guess) as scaled from {prefix}_g)",
-        f"""{prefix}_m as (select *, case
-                when size < {_NORMAL} then cast(size / {_TINY} as bigint)
-                when scaled < 1D then (guess + 1022L) * {_MANTISSA}L + cast((scaled * 2D - 1D) * {_MANTISSA}D as bigint)
-                when scaled >= 2D then (guess + 1024L) * {_MANTISSA}L + cast((scaled / 2D - 1D) * {_MANTISSA}D as bigint)
-                else (guess + 1023L) * {_MANTISSA}L + cast((scaled - 1D) * {_MANTISSA}D as bigint) end as magnitude
-            from {prefix}_s)""",
-        f"""{prefix} as (select * except (size, guess, scaled, magnitude), case
-                when isnan({number}) then null when {number} = 0D then 0L
-                when {number} = {_INFINITE} then {2047 * _MANTISSA}L when {number} = -{_INFINITE} then {-2047 * _MANTISSA}L
-                when {number} < 0D then -magnitude else magnitude end as key
-            from {prefix}_m)""",
-    ]
 
 
 def is_finite(number: str) -> str:

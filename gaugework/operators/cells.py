@@ -186,25 +186,50 @@ def epoch_micros(value: str, data_type: T.DataType) -> str:
     return f"unix_micros({value})"
 
 
-def canonical_text(value: str, data_type: T.DataType) -> str:
-    """A text that is equal exactly when the values are, for types without statistics."""
+def canonical_text(value: str, data_type: T.DataType, exact: bool = False) -> str:
+    """A text that is equal exactly when the values are, for types without statistics. ``exact`` tells the two zeros apart."""
+    if isinstance(data_type, (T.MapType, T.ArrayType, T.StructType)):
+        return f"to_json({canonical_value(value, data_type, exact)}, map('ignoreNullFields', 'false'))"
+    return f"cast({canonical_value(value, data_type, exact)} as string)"
+
+
+def canonical_value(value: str, data_type: T.DataType, exact: bool = False, depth: int = 0) -> str:
+    """The value in types that JSON keeps whole: instants in microseconds, dates in days, bytes in hex, maps as entries in the order of their
+    keys."""
+    item = f"x{depth}"
     if isinstance(data_type, T.BinaryType):
         return f"hex({value})"
+    if isinstance(data_type, (T.FloatType, T.DoubleType)):
+        # Zero is one value unless its sign counts, and not-a-number is one.
+        return f"cast(cast({value} as double) as string)" if exact else f"cast({value} as double) + 0D"
+    if isinstance(data_type, (T.TimestampType, T.TimestampNTZType)):
+        return epoch_micros(value, data_type)
+    if isinstance(data_type, T.DateType):
+        return f"unix_date({value})"
+    if isinstance(data_type, T.ArrayType):
+        return f"transform({value}, {item} -> {canonical_value(item, data_type.elementType, exact, depth + 1)})"
     if isinstance(data_type, T.MapType):
-        return f"to_json(array_sort(map_entries({value})))"
-    if isinstance(data_type, T.ArrayType) and isinstance(data_type.elementType, (T.FloatType, T.DoubleType)):
-        return f"to_json(transform({value}, item -> item + 0D))"
-    if isinstance(data_type, (T.ArrayType, T.StructType)):
-        return f"to_json({value}, map('ignoreNullFields', 'false'))"
+        parts = [canonical_value(f"{item}.{name}", kind, exact, depth + 1) for name, kind in (("key", data_type.keyType), ("value", data_type.valueType))]
+        order = "(a, b) -> case when a.key < b.key then -1 when a.key > b.key then 1 else 0 end"
+        return f"transform(array_sort(map_entries({value}), {order}), {item} -> named_struct('key', {parts[0]}, 'value', {parts[1]}))"
+    if isinstance(data_type, T.StructType):
+        fields = ", ".join(f"'f{i}', {canonical_value(f'{value}.`{_quoted(field.name)}`', field.dataType, exact, depth + 1)}" for i, field in enumerate(data_type.fields))
+        return f"case when {value} is not null then named_struct({fields or "'none', true"}) end"
+    if isinstance(data_type, (T.StringType, T.BooleanType, T.IntegralType)):
+        return value
     return f"cast({value} as string)"
 
 
-def row_text(columns: list[tuple[str, T.DataType]]) -> str:
-    """SQL for a text that is equal exactly when the rows are; nulls equal nulls.
+def _quoted(name: str) -> str:
+    return name.replace("`", "``")
+
+
+def row_text(columns: list[tuple[str, T.DataType]], exact: bool = False) -> str:
+    """SQL for a text that is equal exactly when the rows are; nulls equal nulls, and zeros do unless ``exact``.
 
     Free text is preceded by its byte length, so different rows never run into the same text.
     """
-    return f"concat_ws(';', {', '.join(_row_field(*column) for column in columns)})"
+    return f"concat_ws(';', {', '.join(_row_field(*column, exact) for column in columns)})"
 
 
 def row_body(text: str, columns: list[tuple[str, T.DataType]]) -> str:
@@ -222,16 +247,16 @@ def null_positions(columns: list[tuple[str, T.DataType]]) -> str:
     return f"concat_ws(',', {nulls})"
 
 
-def _row_field(value: str, data_type: T.DataType) -> str:
+def _row_field(value: str, data_type: T.DataType, exact: bool = False) -> str:
     lane = lane_of(data_type)
     if lane == FLOAT:
-        text = f"cast(cast({value} as double) + 0D as string)"
+        text = f"cast({canonical_value(value, data_type, exact)} as string)"
     elif lane == DATE:
         text = f"cast(unix_date({value}) as string)"
     elif lane == DATETIME:
         text = f"cast({epoch_micros(value, data_type)} as string)"
     elif lane in (TEXT, OPAQUE):
-        raw = f"cast({value} as string)" if lane == TEXT else canonical_text(value, data_type)
+        raw = f"cast({value} as string)" if lane == TEXT else canonical_text(value, data_type, exact)
         text = f"concat(octet_length({raw}), ':', {raw})"
     else:
         text = f"cast({value} as string)"

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.functions.tokens import LEADING_ZERO, TYPED
-from gaugework.operators.histogram import FAMILY_COUNTS, NULL_FAMILY, distinct_counts, facts_ctes
+from gaugework.operators.histogram import NULL_FAMILY, distinct_counts, family_counts_cte
 from gaugework.operators.identifiers import CANDIDATE_SQL
 from gaugework.session import sql_over
 
@@ -37,27 +37,23 @@ def column_counts(histogram: DataFrame, catalogue: DataFrame) -> DataFrame:
     return sql_over(f"select *, {CANDIDATE_SQL} from (select {_IDENTITY}, {_VERDICTS} from $counted)", counted=counted)
 
 
-def column_types(histogram: DataFrame) -> DataFrame:
-    """One row per ``column_key``: counts, types, families and the statistics of a single pass."""
-    ctes = [*facts_ctes("$histogram"), FAMILY_COUNTS, _summary_cte(), *_type_ctes()]
-    return sql_over(f"with {', '.join(ctes)} select * from types", histogram=histogram)
+def column_types(measured: DataFrame) -> DataFrame:
+    """One row per ``column_key`` of the measured values: counts, types, families and the statistics that need no order."""
+    ctes = [family_counts_cte("$measured"), _summary_cte(), *_type_ctes()]
+    return sql_over(f"with {', '.join(ctes)} select * from types", measured=measured)
 
 
-def column_profile(types: DataFrame, catalogue: DataFrame, statistics: DataFrame | None = None) -> DataFrame:
+def column_profile(types: DataFrame, catalogue: DataFrame, statistics: DataFrame) -> DataFrame:
     """The full profile of every catalogue column, also of those whose table has no rows."""
-    frames = {"types": types, "catalogue": catalogue}
-    numeric, join = "", ""
-    if statistics is not None:
-        frames["statistics"] = statistics
-        numeric = ", s.median, s.stddev, s.minimum_text, s.maximum_text"
-        join = "left join $statistics s on c.column_key = s.column_key"
     query = f"""
         with joined as (
             select /*+ broadcast(m, s) */ c.table_name, c.position, c.name, c.physical_dtype,
                 coalesce(m.row_count, 0L) as row_count, coalesce(m.non_null_count, 0L) as non_null_count,
                 coalesce(m.distinct_count, 0L) as distinct_count,
-                m.* except (column_key, row_count, non_null_count, distinct_count) {numeric}
-            from $catalogue c left join $types m on c.column_key = m.column_key {join}),
+                m.* except (column_key, row_count, non_null_count, distinct_count),
+                s.median, s.stddev, s.minimum_text, s.maximum_text
+            from $catalogue c left join $types m on c.column_key = m.column_key
+            left join $statistics s on c.column_key = s.column_key),
         counted as (select {_IDENTITY}, {_VERDICTS}, * except (
             table_name, position, name, physical_dtype, row_count, non_null_count, distinct_count) from joined)
         select table_name, position, column_id, name, physical_dtype, row_count, non_null_count, distinct_count,
@@ -67,10 +63,10 @@ def column_profile(types: DataFrame, catalogue: DataFrame, statistics: DataFrame
             coalesce(valid_count, 0L) as valid_count, coalesce(invalid_count, 0L) as invalid_count,
             coalesce(has_recognized_family, false) as has_recognized_family,
             coalesce(format_family_counts, cast(array() as array<struct<family:string,count:bigint>>)) as format_family_counts,
-            {_statistics_sql(statistics is not None)} as basic_statistics,
+            {_statistics_sql()} as basic_statistics,
             {CANDIDATE_SQL}
         from counted"""
-    return sql_over(query, **frames)
+    return sql_over(query, types=types, catalogue=catalogue, statistics=statistics)
 
 
 def _summary_cte() -> str:
@@ -125,7 +121,7 @@ def _type_ctes() -> list[str]:
     ]
 
 
-def _statistics_sql(numeric: bool) -> str:
+def _statistics_sql() -> str:
     """Struct of the statistics that belong to the inferred type; the other fields stay null. A
     physical number that ends up as STRING (not-a-number, infinity) has no length and no struct."""
     is_number = "inferred_type in ('INTEGER', 'FLOAT')"
@@ -143,9 +139,7 @@ def _statistics_sql(numeric: bool) -> str:
         "min_length": ("inferred_type = 'STRING'", "length_min"),
         "max_length": ("inferred_type = 'STRING'", "length_max"),
         "average_length": ("inferred_type = 'STRING'", "double(length_sum) / double(non_null_count)"),
-    }
-    if numeric:
-        fields |= {name: (is_number, name) for name in ("median", "stddev", "minimum_text", "maximum_text")}
+    } | {name: (is_number, name) for name in ("median", "stddev", "minimum_text", "maximum_text")}
     items = ", ".join(f"'{name}', case when {where} then {value} end" for name, (where, value) in fields.items())
     has_any = (
         "inferred_type in ('INTEGER', 'FLOAT', 'DATE', 'DATETIME')"

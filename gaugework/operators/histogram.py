@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from gaugework.functions.ordering import is_finite
 from gaugework.functions.tokens import NO_FAMILY, date_number, datetime_number, is_strict, token_family, token_of
 from gaugework.operators import cells as C
+from gaugework.session import sql_over
 
 NULL_FAMILY = "NULL"
 
@@ -35,6 +36,7 @@ def value_histogram(cells: DataFrame) -> DataFrame:
 
 def facts_ctes(histogram: str) -> list[str]:
     """CTEs that end in ``facts``: family, strict flag, number, ordinal and length of each value."""
+    is_number = "strict and (startswith(family, 'INTEGER_') or startswith(family, 'FLOAT_'))"
     physical = " ".join(f"when {code} then '{family}'" for code, family in _PHYSICAL.items())
     return [
         # A filled ``whole`` on the TEXT lane marks the digest of a long text, which is no token.
@@ -55,8 +57,8 @@ def facts_ctes(histogram: str) -> list[str]:
             from families)""",
         f"""facts as (
             select column_key, family, strict, n,
-                case when strict and (startswith(family, 'INTEGER_') or startswith(family, 'FLOAT_'))
-                    then coalesce(real, cast(whole as double), try_cast(raw as double)) end as number,
+                case when {is_number} then coalesce(real, cast(whole as double), try_cast(raw as double)) end as number,
+                case when {is_number} then raw end as number_text,
                 case when strict then case
                     when raw is null then whole
                     when family = 'DATE_ISO' then {date_number('raw')}
@@ -67,15 +69,37 @@ def facts_ctes(histogram: str) -> list[str]:
     ]
 
 
-FAMILY_COUNTS = """family_counts as (
-    select column_key, family,
-        sum(n) as cells, count(*) as distinct_values,
-        sum(case when strict then n end) as strict_cells,
-        sum(case when ordinal is not null then n end) as ordinal_cells,
-        sum(number * n) as number_sum, min(number) as number_min, max(number) as number_max,
-        min(ordinal) as ordinal_min, max(ordinal) as ordinal_max,
-        sum(length * n) as length_sum, min(length) as length_min, max(length) as length_max
-    from facts group by column_key, family)"""
+MEASURES = ("cells", "distinct_values", "strict_cells", "ordinal_cells", "ordinal_min", "ordinal_max", "length_sum", "length_min", "length_max")
+
+
+def measured_values(histogram: DataFrame) -> DataFrame:
+    """The histogram without what only tells values apart: one row per column, family and number.
+
+    Values that are no numbers collapse on the map side, so of any column there remain its different numbers, with the first and last of
+    their texts, and a row per family.
+    """
+    return sql_over(
+        f"""
+        with {', '.join(facts_ctes('$histogram'))}
+        select column_key, family, number,
+            sum(n) as cells, count(*) as distinct_values,
+            sum(case when strict then n end) as strict_cells,
+            sum(case when ordinal is not null then n end) as ordinal_cells,
+            min(ordinal) as ordinal_min, max(ordinal) as ordinal_max,
+            sum(length * n) as length_sum, min(length) as length_min, max(length) as length_max,
+            min(number_text) as minimum_text, max(number_text) as maximum_text
+        from facts group by column_key, family, number""",
+        histogram=histogram,
+    )
+
+
+def family_counts_cte(measured: str) -> str:
+    """The CTE ``family_counts``: one row per column and family."""
+    folded = ", ".join(f"{'min' if name.endswith('_min') else 'max' if name.endswith('_max') else 'sum'}({name}) as {name}" for name in MEASURES)
+    return f"""family_counts as (
+        select column_key, family, {folded},
+            sum(number * cells) as number_sum, min(number) as number_min, max(number) as number_max
+        from {measured} where family is not null group by column_key, family)"""
 
 
 def distinct_counts(histogram: DataFrame) -> DataFrame:

@@ -1,123 +1,65 @@
-"""Exact median, population deviation and text extremes of numeric columns.
+"""Exact median, population deviation and text extremes of numeric columns, of any number of distinct values.
 
-Columns with few distinct values are ranked in one window over their histogram. Beyond
-``RANKED_VALUES`` distinct values the median is found by refining buckets of an order-preserving
-64-bit key, about 21 bits a round. A round holds a fixed number of counted buckets per column, however
-many distinct values there are, so no task ever sees an unbounded group; ``percentile`` would keep a
-column's whole histogram in one.
-
-Both join the histogram with one row per numeric column. That side is bounded by the schema, never by
-the data, which is what allows the broadcast.
+The measured values of all columns lie in ranges by column and number, written once. Weighted totals per range, a few numbers each, say
+which range holds a column's middle ranks; only that range is ranked. So one scan of the data serves everything, and no task ever holds
+more than a range.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from gaugework.functions.ordering import order_key_ctes
-from gaugework.operators import cells as C
 from gaugework.session import sql_over
 
-# Distinct values up to which one task may rank a column.
-RANKED_VALUES = 1_000_000
+#: The column that numbers the ranges; ranges of higher numbers hold greater keys.
+PART = "part"
 
-# Bits of the key still open after each round.
-SHIFTS = (42, 21, 0)
 
-_NUMBER = "coalesce(h.real, cast(h.whole as double), try_cast(h.body as double))"
-_TEXT_BODY = f"case when h.column_key % {C.LANES} = {C.TEXT} then h.body end"
-_RANKS = "shiftright(non_null_count - 1, 1) as low_rank, shiftright(non_null_count, 1) as high_rank"
+def in_ranges(values: DataFrame) -> DataFrame:
+    """The values in ranges by ``column_key`` and ``number``, which may split a column but never a number, with the range's number."""
+    ranged = values.repartitionByRange("column_key", "number").withColumn(PART, F.spark_partition_id())
+    return ranged.sortWithinPartitions("column_key", "number")
 
 
-def ranked_statistics(histogram: DataFrame, numeric: DataFrame) -> DataFrame:
-    """``column_key, median, stddev, minimum_text, maximum_text`` from one ranking of each column.
+def numeric_statistics(measured: DataFrame, types: DataFrame) -> DataFrame:
+    """``column_key, median, stddev, minimum_text, maximum_text`` of the columns whose values are all numbers.
 
-    ``numeric`` holds ``column_key, non_null_count, mean`` of the numeric columns.
+    ``measured`` are the values as :func:`in_ranges` gave them, stored, since the ranges may fall elsewhere when they are made again. The
+    frames that are broadcast hold a row per column and range at most.
     """
     return sql_over(
         f"""
-        with numbers as (
-            select /*+ broadcast(s) */ s.*, h.n, {_NUMBER} as number, {_TEXT_BODY} as body
-            from $histogram h join (select *, {_RANKS} from $numeric) s on h.column_key = s.column_key),
+        with numeric as (
+            select column_key, mean, shiftright(non_null_count - 1, 1) as low_rank, shiftright(non_null_count, 1) as high_rank
+            from $types where inferred_type in ('INTEGER', 'FLOAT')),
+        numbers as (
+            select /*+ broadcast(s) */ s.*, m.{PART}, m.number, m.cells, m.minimum_text, m.maximum_text
+            from $measured m join numeric s on m.column_key = s.column_key where m.number is not null),
+        totals as (
+            select column_key, {PART}, low_rank, high_rank, sum(cells) as cells,
+                sum((number - mean) * (number - mean) * cells) as gaps,
+                min(minimum_text) as minimum_text, max(maximum_text) as maximum_text
+            from numbers group by column_key, {PART}, low_rank, high_rank),
+        placed as (
+            select *, coalesce(sum(cells) over (partition by column_key order by {PART}
+                rows between unbounded preceding and 1 preceding), 0L) as below from totals),
+        middle as (
+            select column_key, {PART}, below from placed
+            where low_rank between below and below + cells - 1 or high_rank between below and below + cells - 1),
         running as (
-            select *, sum(n) over (partition by column_key order by number rows unbounded preceding) as reached
-            from numbers where number is not null)
-        select column_key,
-            (min(case when reached > low_rank then number end)
-                + min(case when reached > high_rank then number end)) / 2D as median,
-            sqrt(sum((number - mean) * (number - mean) * n) / sum(n)) as stddev,
-            min(body) as minimum_text, max(body) as maximum_text
-        from running group by column_key""",
-        histogram=histogram,
-        numeric=numeric,
+            select /*+ broadcast(p) */ n.column_key, number, low_rank, high_rank,
+                below + sum(cells) over (partition by n.column_key, n.{PART} order by number rows unbounded preceding) as reached
+            from numbers n join middle p on n.column_key = p.column_key and n.{PART} = p.{PART}),
+        medians as (
+            select column_key, (min(case when reached > low_rank then number end)
+                + min(case when reached > high_rank then number end)) / 2D as median
+            from running group by column_key),
+        spread as (
+            select column_key, sqrt(sum(gaps) / sum(cells)) as stddev,
+                min(minimum_text) as minimum_text, max(maximum_text) as maximum_text
+            from totals group by column_key)
+        select column_key, median, stddev, minimum_text, maximum_text from spread join medians using (column_key)""",
+        measured=measured,
+        types=types,
     )
-
-
-def refined_statistics(histogram: DataFrame, numeric: DataFrame) -> DataFrame:
-    """The same for columns with any number of distinct values.
-
-    Every round reads the shared shuffle of the histogram again. Rows are not filtered by their
-    value: such a condition would be pushed below the histogram's aggregation and cost a scan and a
-    shuffle of its own.
-    """
-    ctes = [f"round_0 as (select column_key, mean, {_RANKS}, 0L as below from $numeric)"]
-    for step, shift in enumerate(SHIFTS):
-        ctes += _round(step, shift)
-    ctes.append(
-        f"""extremes as (
-            select /*+ broadcast(t) */ t.column_key, min(body) as minimum_text, max(body) as maximum_text
-            from $histogram h join (select column_key from $numeric where column_key % {C.LANES} = {C.TEXT}) t
-                on h.column_key = t.column_key
-            group by t.column_key)"""
-    )
-    return sql_over(
-        f"""
-        with {", ".join(ctes)}
-        select r.column_key, (low_number + high_number) / 2D as median, stddev, minimum_text, maximum_text
-        from round_{len(SHIFTS)} r left join extremes e on r.column_key = e.column_key""",
-        histogram=histogram,
-        numeric=numeric,
-    )
-
-
-def _round(step: int, shift: int) -> list[str]:
-    """Counts the next bits inside the buckets that hold the two middle ranks.
-
-    The two ranks are neighbours, so nothing lies between their buckets and one running count,
-    started at the number of cells below the lower bucket, serves both. The null bucket gathers what
-    lies outside; it sorts first and weighs nothing. The first round also sums the squared gaps to
-    the mean.
-    """
-    first = step == 0
-    inside = "key is not null"
-    if not first:
-        parent = f"shiftright(key, {SHIFTS[step - 1]})"
-        inside += f" and ({parent} = low or {parent} = high)"
-    kept = "column_key, low_rank, high_rank" + ("" if first else ", stddev")
-    gaps = ", sum((number - mean) * (number - mean) * n) as gaps" if first else ""
-    deviation = ", sqrt(sum(gaps) / sum(weight)) as stddev" if first else ""
-    return [
-        f"""values_{step} as (
-            select /*+ broadcast(s) */ s.*, h.n, {_NUMBER} as number
-            from $histogram h join round_{step} s on h.column_key = s.column_key)""",
-        *order_key_ctes(f"values_{step}", f"keyed_{step}"),
-        f"""buckets_{step} as (
-            select {kept}, below, case when {inside} then shiftright(key, {shift}) end as bucket,
-                sum(n) as cells, min(number) as number {gaps}
-            from keyed_{step} group by {kept}, below, bucket)""",
-        f"""weights_{step} as (
-            select *, case when bucket is null then 0L else cells end as weight from buckets_{step})""",
-        f"""running_{step} as (
-            select *, below + sum(weight) over (
-                partition by column_key order by bucket rows unbounded preceding) as reached
-            from weights_{step})""",
-        f"""round_{step + 1} as (
-            select {kept},
-                min(case when bucket is not null and reached > low_rank then bucket end) as low,
-                min(case when bucket is not null and reached > high_rank then bucket end) as high,
-                min(case when bucket is not null and reached > low_rank then reached - weight end) as below,
-                min(case when bucket is not null and reached > low_rank then number end) as low_number,
-                min(case when bucket is not null and reached > high_rank then number end) as high_number
-                {deviation}
-            from running_{step} group by {kept})""",
-    ]

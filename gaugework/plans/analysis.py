@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import cached_property, reduce
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -14,7 +14,7 @@ from gaugework.operators import numbers
 from gaugework.operators import quality as Q
 from gaugework.operators.column_profile import column_counts, column_profile, column_types
 from gaugework.operators.duplicates import duplicate_patterns, duplicate_rows
-from gaugework.operators.histogram import value_histogram
+from gaugework.operators.histogram import measured_values, value_histogram
 from gaugework.operators.identifiers import candidate_identifiers
 from gaugework.operators.profile_findings import profiling_judgements
 from gaugework.operators.recommendations import recommendation_summary, recommendations
@@ -136,14 +136,17 @@ def profile_counts(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFra
     return column_counts(catalogue.histogram(catalogue.keys(rows=False)), catalogue.columns)
 
 
-def profile_columns(spark: SparkSession, tables: dict[str, DataFrame], numeric: bool = True) -> DataFrame:
+def profile_columns(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
     """The full column profile of a catalogue."""
     catalogue = Catalogue(spark, tables)
-    types = column_types(catalogue.histogram(catalogue.keys(rows=False)))
-    if not numeric:
-        return column_profile(types, catalogue.columns)
-    types = materialize(types, "types")
-    return column_profile(types, catalogue.columns, numeric_statistics(catalogue, types))
+    measured = materialize(numbers.in_ranges(measured_values(catalogue.histogram(catalogue.keys(rows=False)))), "measured")
+    return _profile(catalogue, measured)
+
+
+def _profile(catalogue: Catalogue, measured: DataFrame) -> DataFrame:
+    # A few rows per column, which both the profile and the numeric columns are read from.
+    types = materialize(column_types(measured), "types")
+    return column_profile(types, catalogue.columns, numbers.numeric_statistics(measured, types))
 
 
 def count_repeated_rows(spark: SparkSession, tables: dict[str, DataFrame]) -> DataFrame:
@@ -153,44 +156,22 @@ def count_repeated_rows(spark: SparkSession, tables: dict[str, DataFrame]) -> Da
     return duplicate_rows(duplicate_patterns(histogram, catalogue.table_rows), catalogue.table_rows)
 
 
-def numeric_statistics(catalogue: Catalogue, types: DataFrame) -> DataFrame | None:
-    """Median, deviation and text extremes of the columns that turned out numeric.
-
-    They need a second look at those columns only. Which ones, and how many distinct values each
-    has, is a row per column and decides how they are ranked.
-    """
-    numeric = types.where("inferred_type in ('INTEGER', 'FLOAT')")
-    sizes = {row.column_key: row.distinct_count for row in numeric.select("column_key", "distinct_count").collect()}
-    known = numeric.select("column_key", "non_null_count", "mean")
-    few = {key for key, distinct in sizes.items() if distinct <= numbers.RANKED_VALUES}
-    parts = []
-    for keys, method in ((few, numbers.ranked_statistics), (set(sizes) - few, numbers.refined_statistics)):
-        if keys:
-            own = known.where(f"column_key in ({', '.join(map(str, sorted(keys)))})")
-            parts.append(method(catalogue.histogram(keys), own))
-    return reduce(DataFrame.unionByName, parts) if parts else None
-
-
-def analyze_catalog(spark: SparkSession, tables: dict[str, DataFrame], numeric: bool = True) -> Analysis:
+def analyze_catalog(spark: SparkSession, tables: dict[str, DataFrame]) -> Analysis:
     """Analyses all tables in one plan: one scan of each, one wide shuffle for all of them.
 
-    What is measured has a few rows per column. It is written to the shared folder, so that the many
-    result tables do not measure again. ``numeric=False`` skips the second look at numeric columns
-    for median and deviation, which no rule uses.
+    What is measured, the different numbers of each column and a few rows besides, is written to the shared folder, so that types, medians
+    and the many result tables do not scan again.
     """
     catalogue = Catalogue(spark, tables)
     histogram = catalogue.histogram()
-    types = column_types(histogram)
+    values = measured_values(histogram)
     patterns = duplicate_patterns(histogram, catalogue.table_rows)
     # One write for both, so that they come from one run over the histogram.
-    measured = materialize(types.unionByName(patterns, allowMissingColumns=True), "measured")
-    types = measured.where("table_name is null").select(types.columns)
-    patterns = measured.where("table_name is not null").select(patterns.columns)
-    statistics = numeric_statistics(catalogue, types) if numeric else None
-    profile = materialize(column_profile(types, catalogue.columns, statistics), "column_profile")
-    return Analysis(catalogue.table_rows, profile, patterns)
+    measured = materialize(numbers.in_ranges(values.unionByName(patterns, allowMissingColumns=True)), "measured")
+    profile = materialize(_profile(catalogue, measured.where("family is not null")), "column_profile")
+    return Analysis(catalogue.table_rows, profile, measured.where("table_name is not null").select(patterns.columns))
 
 
-def analyze(frame: DataFrame, table_name: str = "dataset", numeric: bool = True) -> Analysis:
+def analyze(frame: DataFrame, table_name: str = "dataset") -> Analysis:
     """Analyses one table."""
-    return analyze_catalog(frame.sparkSession, {table_name: frame}, numeric)
+    return analyze_catalog(frame.sparkSession, {table_name: frame})

@@ -81,12 +81,12 @@ def _raw(spark: SparkSession, sf_dir: str, *names: str) -> dict[str, DataFrame]:
 
 def messy(spark: SparkSession, sf_dir: str) -> Analysis:
     """The analysis most queries look at: the dirty customers."""
-    return analyze(X.view(spark, sf_dir, X.MESSY_CUSTOMERS), "messy_customers", numeric=False)
+    return analyze(X.view(spark, sf_dir, X.MESSY_CUSTOMERS), "messy_customers")
 
 
 def messy_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     tables = {"messy_customers": X.view(spark, sf_dir, X.MESSY_CUSTOMERS)}
-    return profile_columns(spark, tables, numeric=False)
+    return profile_columns(spark, tables)
 
 
 # --- profiling -------------------------------------------------------------------------------
@@ -161,7 +161,7 @@ _add(
 def _temporal_range(table: str) -> Query:
     def query(spark, sf_dir):
         frame = X.table(spark, sf_dir, table).select(*_names(table, "DATETIME"))
-        stats = profile_columns(spark, {table: frame}, numeric=False).select("name", "basic_statistics.*")
+        stats = profile_columns(spark, {table: frame}).select("name", "basic_statistics.*")
         return stats.select(
             "name",
             F.unix_micros("minimum_datetime").alias("minimum_us"),
@@ -177,7 +177,7 @@ for _table in ("orders", "events", "lineitem"):
 _add(
     "temporal_text_range_messy_events",
     lambda s, d: profile_columns(
-        s, {"e": X.view(s, d, X.MESSY_EVENTS).select("ts_text", "birth_date")}, numeric=False
+        s, {"e": X.view(s, d, X.MESSY_EVENTS).select("ts_text", "birth_date")}
     ).select(
         "name",
         "inferred_type",
@@ -199,7 +199,7 @@ _add(
 def _text_lengths(table: str) -> Query:
     def query(spark, sf_dir):
         frame = X.table(spark, sf_dir, table).select(*_names(table, "STRING"))
-        stats = profile_columns(spark, {table: frame}, numeric=False).select("name", "basic_statistics.*")
+        stats = profile_columns(spark, {table: frame}).select("name", "basic_statistics.*")
         return _rounded(stats.select("name", "min_length", "max_length", "average_length"), 4, "average_length")
 
     return query
@@ -238,7 +238,7 @@ _CANDIDATE_COLUMNS = ("table_name", "position", "name", "reason", "name_signal",
 
 
 def _catalogue(spark: SparkSession, sf_dir: str) -> Analysis:
-    return analyze_catalog(spark, _raw(spark, sf_dir, *SCHEMAS), numeric=False)
+    return analyze_catalog(spark, _raw(spark, sf_dir, *SCHEMAS))
 
 
 _add(
@@ -254,7 +254,7 @@ _add(
 
 
 def _events_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile_columns(spark, {"messy_events": X.view(spark, sf_dir, X.MESSY_EVENTS)}, numeric=False)
+    return profile_columns(spark, {"messy_events": X.view(spark, sf_dir, X.MESSY_EVENTS)})
 
 
 for _name, _profile, _ctes in (
@@ -323,7 +323,7 @@ def _physical_quality(table: str) -> str:
 for _table in ("customer", "orders", "labels", "conversations"):
     _add(
         f"quality_dimensions_{_table}",
-        lambda s, d, t=_table: analyze(X.table(s, d, t), t, numeric=False).quality_dimensions.select(*_DIMENSION_COLUMNS),
+        lambda s, d, t=_table: analyze(X.table(s, d, t), t).quality_dimensions.select(*_DIMENSION_COLUMNS),
         O.with_ctes(_physical_quality(_table), O.DIMENSIONS),
     )
 
@@ -334,7 +334,7 @@ _add(
 )
 _add(
     "quality_dimensions_region",
-    lambda s, d: analyze(X.table(s, d, "region"), "region", numeric=False).quality_dimensions.select(*_DIMENSION_COLUMNS),
+    lambda s, d: analyze(X.table(s, d, "region"), "region").quality_dimensions.select(*_DIMENSION_COLUMNS),
     """select 'structural_completeness' as name, 35 as weight, null::double as score, 'NOT_APPLICABLE' as applicability,
         'no_structural_candidate_identifier' as reason, null::bigint as numerator, null::bigint as denominator
     union all select 'uniqueness', 25, round_even((1 - (count(*) - count(distinct (r_regionkey, r_name))) / count(*)) * 100, 2),
@@ -350,7 +350,7 @@ _add(
 )
 _add(
     "quality_score_clean",
-    lambda s, d: analyze(X.view(s, d, X.CLEAN_UNIQUE), "clean", numeric=False).quality_score.select(
+    lambda s, d: analyze(X.view(s, d, X.CLEAN_UNIQUE), "clean").quality_score.select(
         "overall_score", "score_band", "observed_completeness"
     ),
     """select case when count(distinct o_orderkey) = count(*) then 100 end::bigint as overall_score, '90-100' as score_band,
@@ -389,7 +389,7 @@ _add(
 )
 _add(
     "governance_classes_messy_events",
-    lambda s, d: analyze(X.view(s, d, X.MESSY_EVENTS), "messy_events", numeric=False).classifications.select(*_CLASS_COLUMNS),
+    lambda s, d: analyze(X.view(s, d, X.MESSY_EVENTS), "messy_events").classifications.select(*_CLASS_COLUMNS),
     O.with_ctes(f"{O.messy_events()}, {O.GOVERNANCE_CTES}", O.CLASSES),
 )
 _add(
@@ -558,7 +558,7 @@ _add(
 _add(
     "dimension_weights",
     lambda s, d: (lambda a: views.dimension_weights(a.quality_dimensions, a.quality_score))(
-        analyze(X.table(s, d, "documents"), "documents", numeric=False)
+        analyze(X.table(s, d, "documents"), "documents")
     ).select("name", "score", "applied_weight"),
     O.with_ctes(
         _physical_quality("documents"),
@@ -619,7 +619,7 @@ _add(
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Marks every event as a sentinel, analyses the table and looks for the mark in its report."""
     events = X.table(spark, sf_dir, "events").withColumn("note", F.concat(F.lit(generators.SENTINEL), "event_type"))
-    reports = json_reports(analysis_report(analyze(events, "events", numeric=False)))
+    reports = json_reports(analysis_report(analyze(events, "events")))
     return integrity.report_checks(reports, generators.SENTINEL)
 
 
@@ -659,7 +659,7 @@ _add(
 _add(
     "table_fingerprint_stability",
     lambda s, d: (
-        lambda o: integrity.table_fingerprint(o).join(integrity.table_fingerprint(o.repartition(7)), ["row_count", "row_hash_sum"])
+        lambda o: integrity.table_fingerprint(o).join(integrity.table_fingerprint(o.repartition(7)), ["row_count", "fingerprint"])
     )(X.table(s, d, "orders")).select("row_count"),
     "select count(*) as row_count from orders",
 )
@@ -714,7 +714,7 @@ _add(
 )
 _add(
     "generator_demo_quality",
-    lambda s, d: analyze(generators.demo_rows(X.table(s, d, "orders"), "o_orderkey"), "demo", numeric=False)
+    lambda s, d: analyze(generators.demo_rows(X.table(s, d, "orders"), "o_orderkey"), "demo")
     .quality_dimensions.select("name", "applicability", "denominator")
     .where("name in ('uniqueness', 'validity')"),
     """select 'uniqueness' as name, 'APPLICABLE' as applicability, count(*) as denominator from orders

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from gaugework import analysis_report, analyze, analyze_catalog, json_reports
-from gaugework.operators import numbers, views
+from gaugework.operators import views
 from gaugework.operators.duplicates import flag_repeated_rows, flag_repeated_values
 from gaugework.operators.integrity import report_checks
 from gaugework.operators.recommendations import orphans
@@ -21,8 +21,8 @@ def column(spark, values, name="value", kind="string"):
     return spark.createDataFrame([(value,) for value in values], f"`{name}` {kind}")
 
 
-def one(spark, values, name="value", kind="string", numeric=False):
-    return profile_columns(spark, {"t": column(spark, values, name, kind)}, numeric).head()
+def one(spark, values, name="value", kind="string"):
+    return profile_columns(spark, {"t": column(spark, values, name, kind)}).head()
 
 
 @pytest.mark.parametrize(
@@ -54,7 +54,7 @@ def test_physical_types(spark):
         [(True, 1, 1.5, date(2026, 1, 1), datetime(2026, 1, 1), Decimal("3"), Decimal("1.5"), [1.0], bytearray(b"a"))],
         "b boolean, i int, f float, d date, ts timestamp, whole decimal(20,0), part decimal(5,2), a array<double>, raw binary",
     )
-    rows = profile_columns(spark, {"t": frame}, numeric=False).collect()
+    rows = profile_columns(spark, {"t": frame}).collect()
     assert {r.name: r.inferred_type for r in rows} == {
         "b": "BOOLEAN", "i": "INTEGER", "f": "FLOAT", "d": "DATE", "ts": "DATETIME", "whole": "INTEGER", "part": "FLOAT",
         "a": "STRING", "raw": "STRING",
@@ -63,7 +63,7 @@ def test_physical_types(spark):
 
 
 def test_not_a_number_column_falls_back_without_statistics(spark):
-    row = one(spark, [1.0, math.nan, math.inf], kind="double", numeric=True)
+    row = one(spark, [1.0, math.nan, math.inf], kind="double")
     assert row.inferred_type == "STRING" and row.basic_statistics is None
     row = one(spark, [1.0] * 99 + [math.nan], kind="double")
     assert (row.parser_type, row.valid_count, row.invalid_count) == ("FLOAT", 99, 1)
@@ -84,9 +84,18 @@ def test_zeros_nan_and_odd_names(spark):
     assert rows["a.b"].distinct_count == 2 and rows["c d"].is_constant
 
 
-@pytest.mark.parametrize("bound", [1_000_000, 0])
-def test_median_and_deviation_ranked_and_refined(spark, monkeypatch, bound):
-    monkeypatch.setattr(numbers, "RANKED_VALUES", bound)
+@pytest.fixture(params=[1, 7])
+def ranges(spark, request):
+    """One range for all numbers, or several, which are not put together again."""
+    kept = {key: spark.conf.get(key) for key in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    spark.conf.set("spark.sql.shuffle.partitions", request.param)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield request.param
+    for key, value in kept.items():
+        spark.conf.set(key, value)
+
+
+def test_median_and_deviation_over_ranges(spark, ranges):
     sets = {
         "odd": [3.0, -1.5, 1e300, 2.0, 2.0], "even": [1.0, 2.0, 1024.0, -7.25], "tiny": [5e-324, 1e-310, -0.0, 1.0],
         "skewed": [5.0] * 50 + [6.0] * 49 + [1e9],
@@ -100,8 +109,20 @@ def test_median_and_deviation_ranked_and_refined(spark, monkeypatch, bound):
             assert row.basic_statistics.stddev == pytest.approx(statistics.pstdev(values), rel=1e-9)
 
 
+def test_median_of_many_distinct_numbers(spark, ranges):
+    # Half of the cells are one number; the middle lies between ranges for some columns.
+    columns = ["id * 7 % 10007 as a", "case when id % 2 = 0 then 5000 else id end as b", "cast(id as string) as c", "cast(id / 8 as decimal(20, 3)) as d", "case when id < 10007 then -id else id end as e"]
+    frame = spark.range(20_014).selectExpr(*columns)
+    values = list(zip(*frame.collect()))
+    for row in profile_columns(spark, {"t": frame}).orderBy("position").collect():
+        numbers = [float(value) for value in values[row.position]]
+        stats = row.basic_statistics
+        assert (stats.median, stats.minimum_number, stats.maximum_number) == (statistics.median(numbers), min(numbers), max(numbers)), row.name
+        assert stats.stddev == pytest.approx(statistics.pstdev(numbers), rel=1e-9)
+
+
 def test_text_numbers_keep_text_order_extremes(spark):
-    stats = one(spark, ["9", "10", "+3"], numeric=True).basic_statistics
+    stats = one(spark, ["9", "10", "+3"]).basic_statistics
     assert (stats.minimum_number, stats.maximum_number, stats.minimum_text, stats.maximum_text) == (3.0, 10.0, "+3", "9")
     assert (stats.minimum_integer, stats.maximum_integer) == (3, 10)
 
@@ -121,7 +142,7 @@ def test_candidate_thresholds(spark, name, rows, nulls, repeats, expected):
 
 
 def test_demo_golden(spark):
-    demo = analyze(generators.demo_rows(spark.range(1, 51)), "demo", numeric=False)
+    demo = analyze(generators.demo_rows(spark.range(1, 51)), "demo")
     scores = {row.name: row.score for row in demo.quality_dimensions.collect()}
     assert scores == {"structural_completeness": 100.0, "uniqueness": 98.4, "validity": 99.67, "consistency": 96.66}
     score = demo.quality_score.head()
@@ -140,7 +161,7 @@ def test_demo_golden(spark):
     ],
 )
 def test_generated_goldens(spark, make, findings, suggestions):
-    result = analyze(make(spark), "t", numeric=False)
+    result = analyze(make(spark), "t")
     assert (result.findings.count(), result.recommendations.count()) == (findings, suggestions)
 
 
@@ -150,7 +171,7 @@ def test_empty_one_row_and_short_tables_in_one_catalogue(spark):
         "one": column(spark, ["x"], "note"),
         "short": column(spark, ["true", "FALSE", "Yes", "nO"] * 2, "flag"),
     }
-    result = analyze_catalog(spark, tables, numeric=False)
+    result = analyze_catalog(spark, tables)
     rows = {(r.table_name, r.name): (r.applicability, r.reason) for r in result.quality_dimensions.collect()}
     assert all(rows["empty", name] == ("INSUFFICIENT_DATA", "empty_dataset") for name in ("uniqueness", "validity"))
     assert rows["one", "uniqueness"] == ("INSUFFICIENT_DATA", "fewer_than_two_rows")
@@ -177,14 +198,14 @@ def brute_uncovered(rows, candidates):
 def test_uncovered_repeats_match_brute_force(spark):
     rows = [(f"k{i}", "a") for i in range(200)] + [("k5", "a"), ("k7", "b")] + [(None, "a")] * 3 + [(None, "b")] * 2
     frame = spark.createDataFrame(rows, "id string, note string")
-    result = analyze(frame, "t", numeric=False)
+    result = analyze(frame, "t")
     uniqueness = {r.name: r for r in result.quality_dimensions.collect()}["uniqueness"]
     assert uniqueness.denominator - uniqueness.numerator == brute_uncovered(rows, [0]) == 3
 
 
 def test_rows_with_separators_are_not_confused(spark):
     frame = spark.createDataFrame([("a;1:b", "c"), ("a", "1:b;c"), ("~", None), (None, "~"), ("", None), (None, None)], "x string, y string")
-    assert analyze(frame, "t", numeric=False).duplicates.head().duplicate_excess_row_count == 0
+    assert analyze(frame, "t").duplicates.head().duplicate_excess_row_count == 0
 
 
 def test_flagged_rows_with_a_dominant_group(spark):
@@ -204,7 +225,7 @@ def test_flagged_rows_with_a_dominant_group(spark):
 def test_governance_rules(spark):
     rows = [(f"c{i}", f"u{i}@x.test", 20 + i % 3, "Oslo", float(i), "2026-01-01", "x") for i in range(40)]
     names = ["customer_id", "email", "age", "city", "revenue", "created_at", "order state"]
-    result = analyze(spark.createDataFrame(rows, names), "t", numeric=False)
+    result = analyze(spark.createDataFrame(rows, names), "t")
     found = {(r.name, r.category): r.confidence for r in result.classifications.collect()}
     assert found["customer_id", "IDENTIFIER"] == "MEDIUM" and found["created_at", "TEMPORAL_FIELD"] == "MEDIUM"
     assert found["email", "CONTACT_INFORMATION"] == "LOW" and found["age", "DEMOGRAPHIC_INFORMATION"] == "MEDIUM"
@@ -225,6 +246,6 @@ def test_report_holds_no_cell_value_and_is_stable(spark):
 
 
 def test_attention_list_is_cut_and_counted(spark):
-    result = analyze(generators.demo_rows(spark.range(1, 51)), "t", numeric=False)
+    result = analyze(generators.demo_rows(spark.range(1, 51)), "t")
     rows = views.attention_list(result.findings, result.profile).orderBy("place").collect()
     assert len(rows) == 6 and rows[0].source == "QUALITY" and rows[0].remaining == 15

@@ -1,16 +1,12 @@
 """Lexical rules against Python's own parsers."""
 
-import math
 import re
-import struct
 from datetime import date, datetime, timezone
 
 import pytest
 
-from gaugework.functions.ordering import order_key_ctes
 from gaugework.functions.names import name_tokens
 from gaugework.functions.tokens import datetime_number, is_strict, token_family, token_of
-from gaugework.session import sql_over
 
 TEXTS = [
     "", " ", "1", "+1", "-0", "007", "0", "00", "01a", "1.5", "+1.50", "-0.1", ".5", "1.", "1e5", "NaN", "true", "TRUE",
@@ -76,16 +72,6 @@ def test_datetimes_become_utc_micros(spark, text):
     assert row.us == micros
 
 
-def test_order_key_is_the_bit_order_of_doubles(spark):
-    numbers = [0.0, -0.0, 1.0, -1.0, 5e-324, -5e-324, 2.2250738585072014e-308, 1.7976931348623157e308, math.inf, -math.inf]
-    numbers += [sign * (2.0**e) * (1 + f) for sign in (1, -1) for e in range(-1000, 1001, 37) for f in (0.0, 2**-52, 0.3, 1 - 2**-52)]
-    frame = spark.createDataFrame([(n,) for n in numbers], "number double")
-    rows = sql_over(f"with {', '.join(order_key_ctes('$frame', 'keyed'))} select * from keyed", frame=frame).collect()
-    for row in rows:
-        bits = struct.unpack("<q", struct.pack("<d", abs(row.number)))[0]
-        assert row.key == (-bits if row.number < 0 else bits), row
-
-
 def test_name_tokens(spark):
     names = {"customerId": "customer id", "zip-code": "zip code", "Free Text": "free text", "a__b": "a b", "HTTPServer": "httpserver", "": ""}
     frame = spark.createDataFrame([(n,) for n in names], "name string")
