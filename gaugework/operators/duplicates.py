@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.operators import cells as C
+from gaugework.operators.positions import with_positions
 
 
 def duplicate_patterns(histogram: DataFrame, tables: DataFrame) -> DataFrame:
@@ -54,6 +55,27 @@ def flag_repeated_values(frame: DataFrame, order_key: str, column: str) -> DataF
     return _flag(frame, [column], order_key, F.col(f"`{column}`").isNotNull())
 
 
+def repeated_row_positions(frame: DataFrame, columns: list[str] | None = None) -> DataFrame:
+    """``row_position`` of every row that equals an earlier one in the given columns, or in all; nulls equal nulls.
+
+    Only a key of each row and its place are moved. The frame needs no column that tells rows apart.
+    """
+    return _excess(frame, columns or frame.columns, F.lit(True))
+
+
+def repeated_value_positions(frame: DataFrame, column: str) -> DataFrame:
+    """The same for the non-null values of one column."""
+    return _excess(frame, [column], F.col(f"`{column}`").isNotNull())
+
+
+def _excess(frame: DataFrame, names: list[str], eligible: Column) -> DataFrame:
+    columns = [(f"`{name}`", frame.schema[name].dataType) for name in names]
+    text = F.expr(C.row_text(columns))
+    keyed = with_positions(frame).where(eligible).select("row_position", F.sha2(text, 256).alias("key"))
+    firsts = keyed.groupBy("key").agg(F.min("row_position").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first")
+    return keyed.join(firsts, "key").where("row_position > first").select("row_position")
+
+
 def _flag(frame: DataFrame, names: list[str], order_key: str, eligible: Column) -> DataFrame:
     columns = [(f"`{name}`", frame.schema[name].dataType) for name in names]
     keyed = frame.withColumn("_text", F.expr(C.row_text(columns))).withColumn(

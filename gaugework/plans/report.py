@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import time
+import uuid
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gaugework.operators.integrity import table_fingerprint
 from gaugework.plans.analysis import Analysis
 
 SCHEMA_VERSION = "0.1"
@@ -91,10 +96,64 @@ def write_reports(reports: DataFrame, path: str) -> None:
     reports.write.mode("overwrite").json(path)
 
 
-def write_tables(analysis: Analysis, path: str) -> None:
-    """Table sink: each result table as parquet below ``path``."""
-    for name in (
-        "profile", "duplicates", "candidates", "quality_dimensions", "quality_score", "classifications", "signals",
-        "governance_summary", "findings", "evidence", "recommendations", "recommendation_summary",
-    ):
-        getattr(analysis, name).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+RESULTS = (
+    "profile", "duplicates", "candidates", "quality_dimensions", "quality_score", "classifications", "signals",
+    "governance_summary", "findings", "evidence", "recommendations", "recommendation_summary",
+)
+_RUN, _STAGING, _MANIFEST = "run-", "_staging-", "_manifest"
+
+
+class IncompleteRun(Exception):
+    """A folder that holds no committed run, or one whose tables are not as its manifest says."""
+
+
+def write_tables(analysis: Analysis, path: str) -> str:
+    """Table sink: each result table as parquet in one new run below ``path``; returns the run's folder.
+
+    Tables are written to a staging folder and read back for a manifest of their row counts and fingerprints; then the folder gets its name
+    in one rename. Whoever reads sees a whole run or none of it, and a run that stops midway leaves earlier ones as they were.
+    """
+    spark = analysis.profile.sparkSession
+    name = f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+    staging, final = (f"{path.rstrip('/')}/{kind}{name}" for kind in (_STAGING, _RUN))
+    manifest = []
+    for table in RESULTS:
+        getattr(analysis, table).write.parquet(f"{staging}/{table}")
+        manifest.append(table_fingerprint(spark.read.parquet(f"{staging}/{table}")).select(F.lit(table).alias("table"), "row_count", "fingerprint"))
+    reduce(DataFrame.unionAll, manifest).coalesce(1).write.parquet(f"{staging}/{_MANIFEST}")
+    files, made = _files(spark, path)
+    if not files.rename(made(staging), made(final)):
+        raise IncompleteRun(f"{final} could not be committed")
+    return final
+
+
+def read_tables(spark: SparkSession, path: str, verify: bool = True) -> dict[str, DataFrame]:
+    """The result tables of the last committed run below ``path``, or of the run ``path`` itself.
+
+    Refuses a folder without a manifest. ``verify`` compares every table with its row count and fingerprint.
+    """
+    files, made = _files(spark, path)
+    run = path.rstrip("/")
+    if not files.exists(made(f"{run}/{_MANIFEST}")):
+        runs = sorted(status.getPath().getName() for status in files.listStatus(made(run)) if status.getPath().getName().startswith(_RUN)) if files.exists(made(run)) else []
+        if not runs or not files.exists(made(f"{run}/{runs[-1]}/{_MANIFEST}")):
+            raise IncompleteRun(f"{path} holds no committed run")
+        run = f"{run}/{runs[-1]}"
+    listed = {row.table: row for row in spark.read.parquet(f"{run}/{_MANIFEST}").collect()}
+    tables = {}
+    for table, wanted in listed.items():
+        if not files.exists(made(f"{run}/{table}")):
+            raise IncompleteRun(f"{run} lacks {table}")
+        tables[table] = spark.read.parquet(f"{run}/{table}")
+    if verify:
+        found = reduce(DataFrame.unionAll, [table_fingerprint(frame).select(F.lit(table).alias("table"), "row_count", "fingerprint") for table, frame in tables.items()])
+        wrong = [row.table for row in found.collect() if (row.row_count, row.fingerprint) != (listed[row.table].row_count, listed[row.table].fingerprint)]
+        if wrong:
+            raise IncompleteRun(f"{run} was changed: {', '.join(sorted(wrong))}")
+    return tables
+
+
+def _files(spark: SparkSession, path: str):
+    """The file system of a path, and what makes its paths."""
+    made = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    return made(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), made

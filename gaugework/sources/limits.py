@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from gaugework.sources.errors import LimitExceeded
@@ -53,9 +53,32 @@ def limit_verdicts(tables: dict[str, DataFrame], limits: Limits) -> DataFrame:
 def check_table(frame: DataFrame, limits: Limits) -> None:
     """Raises if a table is beyond a limit; nothing is counted unless rows or cells are limited."""
     width = len(frame.columns)
-    broken = limits.max_columns is not None and width > limits.max_columns
-    if not broken and (limits.max_rows is not None or limits.max_cells is not None):
-        rows = frame.count()
-        broken = any(limit is not None and value > limit for value, limit in ((rows, limits.max_rows), (rows * width, limits.max_cells)))
-    if broken:
+    if limits.max_columns is not None and width > limits.max_columns:
         raise LimitExceeded("the table is beyond the limits")
+    if limits.max_rows is not None or limits.max_cells is not None:
+        _check_rows(frame.count(), width, limits)
+
+
+def _check_rows(rows: int, width: int, limits: Limits) -> None:
+    if any(limit is not None and value > limit for value, limit in ((rows, limits.max_rows), (rows * width, limits.max_cells))):
+        raise LimitExceeded("the table is beyond the limits")
+
+
+class ObservedRows:
+    """Rows and cells counted in the pass that uses a table, instead of one before it.
+
+    ``frame`` is the table; once an action has run over all of it, ``check`` raises if it was beyond a limit and ``rows`` gives the
+    count. The number of columns is known beforehand and checked at once.
+    """
+
+    def __init__(self, frame: DataFrame, limits: Limits = Limits()):
+        check_table(frame, Limits(max_columns=limits.max_columns))
+        self._seen, self._limits, self._width = Observation(), limits, len(frame.columns)
+        self.frame = frame.observe(self._seen, F.count(F.lit(1)).alias("rows"))
+
+    @property
+    def rows(self) -> int:
+        return self._seen.get["rows"]
+
+    def check(self) -> None:
+        _check_rows(self.rows, self._width, self._limits)

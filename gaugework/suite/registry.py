@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,14 +12,17 @@ from pyspark.sql import functions as F
 from gaugework.functions.names import name_tokens
 from gaugework.functions.scalars import display_ratio, display_score
 from gaugework.operators import integrity, views
-from gaugework.operators.duplicates import flag_repeated_rows, flag_repeated_values
+from gaugework.operators.duplicates import flag_repeated_rows, flag_repeated_values, repeated_row_positions, repeated_value_positions
 from gaugework.operators.recommendations import orphans
 from gaugework.plans.analysis import Analysis, analyze, analyze_catalog, count_repeated_rows, profile_columns, profile_counts
-from gaugework.plans.report import analysis_report, json_reports
+from gaugework.plans.report import analysis_report, json_reports, read_tables, write_tables
 from gaugework.session import shared_dir
+from gaugework.operators.positions import with_positions
 from gaugework.sources import csv_files, generators, grid
-from gaugework.sources.limits import UPLOAD_LIMITS, limit_verdicts
-from gaugework.sources.tables import ingest_metadata, load_table
+from gaugework.sources.csv_files import load_csv
+from gaugework.sources.errors import IngestError
+from gaugework.sources.limits import UPLOAD_LIMITS, Limits, limit_verdicts
+from gaugework.sources.tables import csv_metadata, grid_metadata, ingest_metadata, load_table
 from gaugework.suite import fixtures as X
 from gaugework.suite import oracles as O
 
@@ -124,8 +128,8 @@ _add(
 
 def _numeric_stats(table: str) -> Query:
     def query(spark, sf_dir):
-        frame = X.table(spark, sf_dir, table).select(*_names(table, "INTEGER", "FLOAT"))
-        stats = profile_columns(spark, {table: frame}).select("name", "basic_statistics.*")
+        profile = profile_columns(spark, {table: X.table(spark, sf_dir, table)}).where("inferred_type in ('INTEGER', 'FLOAT')")
+        stats = profile.select("name", "basic_statistics.*")
         picked = stats.select(
             "name", F.col("minimum_number").alias("minimum"), F.col("maximum_number").alias("maximum"), "mean", "median",
             "stddev",
@@ -135,13 +139,13 @@ def _numeric_stats(table: str) -> Query:
     return query
 
 
-for _table in ("lineitem", "orders", "events"):
+for _table in ("lineitem", "orders", "events", "documents", "conversations"):
     _add(f"numeric_stats_{_table}", _numeric_stats(_table), O.numeric_stats(_table, _names(_table, "INTEGER", "FLOAT")))
 
 _add(
     "numeric_text_stats_messy",
     lambda s, d: _rounded(
-        profile_columns(s, {"m": X.view(s, d, X.MESSY_CUSTOMERS).select("annual_revenue", "order_count", "phone")})
+        profile_columns(s, {"m": X.view(s, d, X.MESSY_CUSTOMERS)})
         .where("inferred_type in ('INTEGER', 'FLOAT')")
         .select("name", "inferred_type", "basic_statistics.*")
         .select("name", "inferred_type", "minimum_number", "maximum_number", "minimum_text", "maximum_text", "mean", "median", "stddev"),
@@ -149,10 +153,10 @@ _add(
     ),
     O.with_ctes(
         O.messy_customers(),
-        """select p.name, p.inferred_type, min(value::double) as minimum_number, max(value::double) as maximum_number,
-        min(value) as minimum_text, max(value) as maximum_text, round(avg(value::double), 4) as mean,
-        round(median(value::double), 4) as median, round(stddev_pop(value::double), 4) as stddev
-        from (select * from cells where name in ('annual_revenue', 'order_count', 'phone') and value is not null) c
+        """select p.name, p.inferred_type, min(try_cast(value as double)) as minimum_number, max(try_cast(value as double)) as maximum_number,
+        min(value) as minimum_text, max(value) as maximum_text, round(avg(try_cast(value as double)), 4) as mean,
+        round(median(try_cast(value as double)), 4) as median, round(stddev_pop(try_cast(value as double)), 4) as stddev
+        from (select * from cells where value is not null) c
         join profile p using (position) where p.inferred_type in ('INTEGER', 'FLOAT') group by p.name, p.inferred_type""",
     ),
 )
@@ -160,8 +164,8 @@ _add(
 
 def _temporal_range(table: str) -> Query:
     def query(spark, sf_dir):
-        frame = X.table(spark, sf_dir, table).select(*_names(table, "DATETIME"))
-        stats = profile_columns(spark, {table: frame}).select("name", "basic_statistics.*")
+        profile = profile_columns(spark, {table: X.table(spark, sf_dir, table)}).where("inferred_type = 'DATETIME'")
+        stats = profile.select("name", "basic_statistics.*")
         return stats.select(
             "name",
             F.unix_micros("minimum_datetime").alias("minimum_us"),
@@ -177,8 +181,8 @@ for _table in ("orders", "events", "lineitem"):
 _add(
     "temporal_text_range_messy_events",
     lambda s, d: profile_columns(
-        s, {"e": X.view(s, d, X.MESSY_EVENTS).select("ts_text", "birth_date")}
-    ).select(
+        s, {"e": X.view(s, d, X.MESSY_EVENTS)}
+    ).where("inferred_type in ('DATE', 'DATETIME')").select(
         "name",
         "inferred_type",
         F.coalesce(F.unix_micros("basic_statistics.minimum_datetime"), F.unix_date("basic_statistics.minimum_date").cast("bigint") * 86_400_000_000).alias("minimum_us"),
@@ -191,15 +195,15 @@ _add(
         from (select position, case when kind = 'DATE' then value || ' 00:00:00+00'
                 when family = 'DATETIME_NO_TIMEZONE' then value || '+00' else value end as instant
             from families where kind in ('DATE', 'DATETIME')) f join profile p using (position)
-        where p.name in ('ts_text', 'birth_date') group by p.name, p.inferred_type""",
+        where p.inferred_type in ('DATE', 'DATETIME') group by p.name, p.inferred_type""",
     ),
 )
 
 
 def _text_lengths(table: str) -> Query:
     def query(spark, sf_dir):
-        frame = X.table(spark, sf_dir, table).select(*_names(table, "STRING"))
-        stats = profile_columns(spark, {table: frame}).select("name", "basic_statistics.*")
+        profile = profile_columns(spark, {table: X.table(spark, sf_dir, table)}).where("inferred_type = 'STRING'")
+        stats = profile.select("name", "basic_statistics.*")
         return _rounded(stats.select("name", "min_length", "max_length", "average_length"), 4, "average_length")
 
     return query
@@ -211,7 +215,9 @@ for _table in ("documents", "pages", "conversations"):
 _DUPLICATES = ("duplicate_row_count", "duplicate_excess_row_count", "complete_duplicate_group_count")
 for _name, _sql, _columns in (
     ("documents", "select text, lang from $documents", ["text", "lang"]),
+    ("documents_whole", "select * from $documents", _names("documents")),
     ("conversations", "select role, text from $conversations", ["role", "text"]),
+    ("conversations_whole", "select * from $conversations", _names("conversations")),
     ("lineitem", "select * from $lineitem", _names("lineitem")),
     ("messy", X.MESSY_CUSTOMERS, list(X.CUSTOMER_COLUMNS)),
 ):
@@ -234,6 +240,52 @@ _add(
     O.flagged_values(),
 )
 
+# Rows are placed as their file has them; the columns hold no key.
+_PLACES = "select *, row_number() over () - 1 as row_position from {table}"
+
+
+def _repeated_places(table: str, columns: list[str]) -> None:
+    _add(
+        f"duplicate_positions_{table}",
+        lambda s, d: repeated_row_positions(X.table(s, d, table), columns),
+        f"""select row_position from (select row_position, row_number() over (partition by {', '.join(columns)} order by row_position) as n
+        from ({_PLACES.format(table=table)}) placed) ranked where n > 1""",
+    )
+
+
+_repeated_places("documents", ["lang", "source"])
+_repeated_places("lineitem", ["l_quantity", "l_discount", "l_tax", "l_returnflag", "l_linestatus"])
+_repeated_places("conversations", ["role", "text"])
+_add(
+    "duplicate_value_positions_events",
+    lambda s, d: repeated_value_positions(X.table(s, d, "events"), "user_id"),
+    f"""select row_position from (select row_position, row_number() over (partition by user_id order by row_position) as n
+        from ({_PLACES.format(table='events')}) placed where user_id is not null) ranked where n > 1""",
+)
+
+
+def _nested_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Instants within arrays, as many microseconds apart as the key says; every seventh order is repeated."""
+    return X.view(
+        spark, sf_dir,
+        """select array(timestamp_micros(unix_micros(cast(o_orderdate as timestamp)) + o_orderkey % 1000)) as happened, o_orderstatus from $orders
+        union all select array(timestamp_micros(unix_micros(cast(o_orderdate as timestamp)) + o_orderkey % 1000)), o_orderstatus from $orders where o_orderkey % 7 = 0""",
+    )
+
+
+_NESTED = """(select o_orderdate + to_microseconds(o_orderkey % 1000) as happened, o_orderstatus from orders
+    union all select o_orderdate + to_microseconds(o_orderkey % 1000), o_orderstatus from orders where o_orderkey % 7 = 0)"""
+_add(
+    "row_duplicates_nested_instants",
+    lambda s, d: count_repeated_rows(s, {"t": _nested_duplicates(s, d)}).select(*_DUPLICATES),
+    O.row_duplicates(f"select * from {_NESTED}", ["happened", "o_orderstatus"]),
+)
+_add(
+    "column_counts_nested_instants",
+    lambda s, d: profile_counts(s, {"t": _nested_duplicates(s, d)}).where("name = 'happened'").select("row_count", "distinct_count"),
+    f"select count(*) as row_count, count(distinct happened) as distinct_count from {_NESTED}",
+)
+
 _CANDIDATE_COLUMNS = ("table_name", "position", "name", "reason", "name_signal", "completeness", "uniqueness")
 
 
@@ -308,6 +360,24 @@ def _finding_view(analysis: Analysis, source: str) -> DataFrame:
     return linked.select("source", "finding_id", "severity", "assertion_level", "category", "observed", "denominator")
 
 
+def _analysed_statistics(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
+    """Median and deviation from complete analyses of a catalogue."""
+    profile = analyze_catalog(spark, _raw(spark, sf_dir, *names)).profile.where("inferred_type in ('INTEGER', 'FLOAT')")
+    stats = profile.select("table_name", "name", "basic_statistics.mean", "basic_statistics.median", "basic_statistics.stddev")
+    return _rounded(stats, 4, "mean", "median", "stddev")
+
+
+for _name, _tables in (("lineitem", ("lineitem",)), ("catalog", tuple(SCHEMAS))):
+    _add(
+        f"analysis_statistics_{_name}",
+        lambda s, d, t=_tables: _analysed_statistics(s, d, *t),
+        " union all ".join(
+            f"""select '{t}' as table_name, name, mean, median, stddev from ({O.numeric_stats(t, _names(t, "INTEGER", "FLOAT"))}) s"""
+            for t in _tables
+            if _names(t, "INTEGER", "FLOAT")
+        ),
+    )
+
 # --- quality ---------------------------------------------------------------------------------
 
 _DIMENSION_COLUMNS = ("name", "weight", "score", "applicability", "reason", "numerator", "denominator")
@@ -362,6 +432,30 @@ _add(
     O.with_ctes(f"{O.messy_customers()}, {O.QUALITY_FINDINGS_CTE}", "select finding_id, category, observed, denominator from quality_findings"),
 )
 
+_add(
+    "quality_dimensions_empty",
+    lambda s, d: (lambda a: a.quality_dimensions.join(a.quality_score.select("table_name", "overall_score", "observed_completeness"), "table_name").select("name", "score", "applicability", "reason", "overall_score", "observed_completeness"))(
+        analyze(X.table(s, d, "customer").where("c_custkey < 0"), "empty")
+    ),
+    """select name, null::double as score, 'INSUFFICIENT_DATA' as applicability, 'empty_dataset' as reason, null::bigint as overall_score,
+        null::double as observed_completeness
+    from (values ('structural_completeness'), ('uniqueness'), ('validity'), ('consistency')) as names(name)
+    where not exists (select 1 from customer where c_custkey < 0)""",
+)
+_add(
+    "quality_reasons",
+    lambda s, d: _quality_tables(s, d).quality_score.select("table_name", F.explode("not_applicable_reasons").alias("r")).select("table_name", "r.*"),
+    """select 'region' as table_name, 'structural_completeness' as name, 'no_structural_candidate_identifier' as reason from region having count(*) < 100
+    union all select 'region', 'consistency', 'fewer_than_10_valid_non_null_values' from region having count(*) < 10
+    union all select 'empty', name, 'empty_dataset' from (values ('structural_completeness'), ('uniqueness'), ('validity'), ('consistency')) as names(name)
+        where not exists (select 1 from nation where n_nationkey < 0)""",
+)
+
+
+def _quality_tables(spark: SparkSession, sf_dir: str) -> Analysis:
+    return analyze_catalog(spark, {"region": X.table(spark, sf_dir, "region"), "empty": X.table(spark, sf_dir, "nation").where("n_nationkey < 0")})
+
+
 # --- governance ------------------------------------------------------------------------------
 
 _CLASS_COLUMNS = ("table_name", "classification_id", "column_id", "category", "rule_id", "confidence")
@@ -605,44 +699,82 @@ def _reports(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two runs over the same customers, and one over all but the last of them."""
+    customers = X.view(spark, sf_dir, X.MESSY_CUSTOMERS)
+    fewer = json_reports(analysis_report(analyze(customers.where("phone <> '5550000001'"), "messy_customers")))
     runs = [integrity.fingerprints(_reports(spark, sf_dir)) for _ in range(2)]
-    return integrity.stability(runs[0].unionAll(runs[1]))
+    changed = integrity.fingerprints(fewer).unionAll(runs[0]).withColumn("table_name", F.lit("changed"))
+    return integrity.stability(runs[0].unionAll(runs[1]).unionAll(changed))
 
 
 _add(
     "report_fingerprint_stability",
     _stability,
-    "select 'messy_customers' as table_name, 2::bigint as runs, true as is_stable",
+    """select 'messy_customers' as table_name, 2::bigint as runs, true as is_stable
+    union all select 'changed', 2, count(*) filter (c_custkey = 1) = 0 from customer""",
 )
 
 
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Marks every event as a sentinel, analyses the table and looks for the mark in its report."""
+    """Marks every event as a sentinel, analyses the table and looks for the mark in its report, and in one with a mark and rows put in."""
     events = X.table(spark, sf_dir, "events").withColumn("note", F.concat(F.lit(generators.SENTINEL), "event_type"))
     reports = json_reports(analysis_report(analyze(events, "events")))
-    return integrity.report_checks(reports, generators.SENTINEL)
+    marked = events.agg(F.min("note").alias("note"))
+    planted = reports.crossJoin(F.broadcast(marked)).select(
+        F.lit("planted").alias("table_name"), F.concat(F.expr("substr(report, 1, length(report) - 1)"), F.lit(',"rows":["'), "note", F.lit('"]}')).alias("report")
+    )
+    return integrity.report_checks(reports.unionByName(planted), generators.SENTINEL)
 
 
 _add(
     "report_leak_check",
     _leaks,
-    "select 'events' as table_name, false as holds_sentinel, false as holds_row_shaped_key",
+    """select 'events' as table_name, false as holds_sentinel, false as holds_row_shaped_key
+    union all select 'planted', count(event_type) > 0, true from events""",
 )
 
 
 def _leaked_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cell values of the dirty customers that occur as an evidence value or finding text."""
+    """All cells of the dirty customers against all texts of the findings, evidence and recommendations, and one with a cell put in."""
     analysis = messy(spark, sf_dir)
-    strings = analysis.findings.select(F.explode(F.array("title", "description")).alias("value")).unionAll(
-        analysis.evidence.select("observed_value")
-    )
-    cells = X.view(spark, sf_dir, X.MESSY_CUSTOMERS).select(
-        F.explode(F.array("customer_id", "email", "phone", "notes", "last_contact_at")).alias("value")
-    )
-    return integrity.leaked_values(strings.distinct(), cells).agg(F.count(F.lit(1)).alias("leaked_values"))
+    customers = X.view(spark, sf_dir, X.MESSY_CUSTOMERS)
+    planted = customers.where("phone = '5550000001'").select(F.concat(F.lit("see "), "email", F.lit(" for more")).alias("value"))
+    strings = integrity.text_strings(analysis.findings, analysis.evidence, analysis.recommendations).unionAll(planted)
+    return integrity.leaked_values(strings, integrity.cell_texts(customers)).select("value", "string").distinct()
+
+
+_add(
+    "report_leaked_values",
+    _leaked_values,
+    O.with_ctes(
+        O.messy_customers(),
+        """select distinct m.email as value, 'see ' || p.email || ' for more' as string from m, (select email from m where phone = '5550000001') p
+        where m.email is not null and contains('see ' || p.email || ' for more', m.email)""",
+    ),
+)
+
+
+def _committed_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Writes all result tables as one run, reads them back and compares each with its manifest."""
+    path = f"{shared_dir(spark).rstrip('/')}/gaugework/results-{uuid.uuid4().hex}"
+    analysis = messy(spark, sf_dir)
+    tables = read_tables(spark, write_tables(analysis, path))
+    kept = tables["findings"].groupBy("source").agg(F.count(F.lit(1)).alias("count"))
+    return kept.unionByName(tables["recommendations"].agg(F.lit("RECOMMENDATIONS").alias("source"), F.count(F.lit(1)).alias("count")))
 
 
-_add("report_leaked_values", _leaked_values, "select 0::bigint as leaked_values")
+_add(
+    "committed_tables",
+    _committed_tables,
+    O.with_ctes(
+        O.messy_rules(),
+        """select 'QUALITY' as source, count(*) as count from quality_findings
+        union all select 'GOVERNANCE', count(*) from classes
+        union all select 'RECOMMENDATIONS', count(*) from recommended
+        union all select 'PROFILING', count(*) filter (non_null_count = 0) + count(*) filter (distinct_count = 1) + count(reason)
+            + (select (count(*) > count(distinct m))::int from m) from profile""",
+    ),
+)
 _add(
     "finding_counts",
     lambda s, d: (lambda a: integrity.counts(a.findings, a.recommendations))(messy(s, d)),
@@ -663,10 +795,48 @@ _add(
     )(X.table(s, d, "orders")).select("row_count"),
     "select count(*) as row_count from orders",
 )
+
+
+def _fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many fingerprints ways of writing the orders have: the same rows, and rows that differ in one respect each."""
+    orders = X.table(spark, sf_dir, "orders")
+    last = F.col("o_orderkey") == orders.agg(F.max("o_orderkey")).head()[0]
+    changed = {
+        "microsecond": orders.withColumn("o_orderdate", F.when(last, F.expr("o_orderdate + interval 1 microsecond")).otherwise(F.col("o_orderdate"))),
+        "null": orders.withColumn("o_orderstatus", F.when(~last, F.col("o_orderstatus"))),
+        "repeated": orders.unionAll(orders.where(last)),
+        "negative_zero": orders.withColumn("o_totalprice", F.when(last, F.lit(-0.0)).otherwise(F.col("o_totalprice"))),
+        "zero": orders.withColumn("o_totalprice", F.when(last, F.lit(0.0)).otherwise(F.col("o_totalprice"))),
+        "same": orders.repartition(5, "o_custkey"),
+    }
+    base = integrity.table_fingerprint(orders)
+    prints = [integrity.table_fingerprint(frame).select(F.lit(kind).alias("kind"), "row_count", "fingerprint") for kind, frame in changed.items()]
+    every = reduce(DataFrame.unionAll, prints).crossJoin(F.broadcast(base.select(F.col("fingerprint").alias("base"))))
+    apart = every.select("fingerprint").distinct().agg(F.count(F.lit(1)).alias("fingerprints"))
+    return every.select("kind", "row_count", (F.col("fingerprint") == F.col("base")).alias("is_same")).crossJoin(F.broadcast(apart))
+
+
+_add(
+    "table_fingerprint_differences",
+    _fingerprints,
+    """select kind, case when kind = 'repeated' then count(*) + 1 else count(*) end as row_count, kind = 'same' as is_same, 6::bigint as fingerprints
+    from orders, (values ('microsecond'), ('null'), ('repeated'), ('negative_zero'), ('zero'), ('same')) as kinds(kind) group by kind""",
+)
 _add(
     "report_json",
-    lambda s, d: _reports(s, d).select("table_name", (F.length("report") > 0).alias("is_filled")),
-    "select 'messy_customers' as table_name, true as is_filled",
+    lambda s, d: _reports(s, d).select(
+        "table_name",
+        *[F.get_json_object("report", f"$.metadata.{name}").cast("bigint").alias(name) for name in ("row_count", "column_count")],
+        F.get_json_object("report", "$.analysis.quality.overall_score").cast("bigint").alias("overall_score"),
+        F.size(F.from_json(F.get_json_object("report", "$.analysis.governance.findings"), "array<string>")).cast("bigint").alias("governance_findings"),
+        F.size(F.from_json(F.get_json_object("report", "$.analysis.profiling.columns"), "array<struct<name:string>>")).cast("bigint").alias("columns"),
+    ),
+    O.with_ctes(
+        f"{O.messy_quality()}, {O.GOVERNANCE_CTES}",
+        f"""select 'messy_customers' as table_name, (select count(*) from m) as row_count, (select count(*) from profile) as column_count,
+        (select overall_score::bigint from ({O.SCORE}) s) as overall_score, (select count(*) from classes) as governance_findings,
+        (select count(*) from profile) as columns""",
+    ),
 )
 
 # --- generated inputs ------------------------------------------------------------------------
@@ -748,48 +918,162 @@ _add(
 )
 
 
-def _csv_quoted_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole documents hold delimiters, quotes and line breaks."""
-    loaded = load_table(spark, _csv_folder(spark, X.table(spark, sf_dir, "documents").select("doc_id", "text")), "csv")
-    return loaded.agg(F.count(F.lit(1)).alias("row_count"), F.sum(F.length("text")).alias("characters"))
+def _digested(frame: DataFrame) -> DataFrame:
+    """Every cell of documents, long texts as a digest."""
+    return frame.select("doc_id", F.sha2("text", 256).alias("text_sha256"), "lang", "source", "n_chars")
 
 
+_DIGESTED = "select doc_id::varchar as doc_id, sha256(text) as text_sha256, lang, source, n_chars::varchar as n_chars from documents"
+# Whole documents hold delimiters, quotes and line breaks.
 _add(
     "csv_quoted_roundtrip",
-    _csv_quoted_roundtrip,
-    "select count(*) as row_count, sum(length(text))::bigint as characters from documents",
+    lambda s, d: _digested(load_table(s, _csv_folder(s, X.table(s, d, "documents")), "csv")),
+    _DIGESTED,
+)
+_add(
+    "csv_long_header",
+    # The first record of each file has 500 lines; records of whole documents follow.
+    lambda s, d: _digested(
+        load_table(s, _csv_folder(s, X.table(s, d, "documents").withColumnRenamed("doc_id", "doc;\n" * 500 + "id"), "|"), "csv")
+        .withColumnRenamed("doc;\n" * 500 + "id", "doc_id")
+    ),
+    _DIGESTED,
 )
 
 
-def _csv_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three folders of whole tables: clean, with ragged rows, and with a doubled column name."""
-    orders = X.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    ragged = orders.select(
-        F.when(F.col("o_orderkey") % 97 == 0, F.concat("o_orderkey", F.lit(",surplus"))).otherwise(F.col("o_orderkey").cast("string")).alias("o_orderkey,o_orderstatus"),
-        "o_orderstatus",
-    ).select(F.concat_ws(",", "*").alias("o_orderkey,o_orderstatus"))
-    doubled = orders.select(F.concat_ws(",", "o_orderkey", "o_orderkey").alias("value"))
-    root = f"{shared_dir(spark).rstrip('/')}/gaugework/audit-{uuid.uuid4().hex}"
-    header = lambda text, frame: frame.sparkSession.range(1).select(F.lit(text).alias("value"), F.lit(0).alias("o")).unionAll(frame.select(F.col(frame.columns[0]), F.lit(1))).orderBy("o").select("value")
-    orders.write.option("header", True).option("sep", "|").csv(f"{root}/clean")
-    header("o_orderkey,o_orderstatus", ragged).coalesce(1).write.text(f"{root}/ragged")
-    header("o_orderkey,o_orderkey", doubled).coalesce(1).write.text(f"{root}/doubled")
-    audits = [
-        csv_files.csv_audit(spark, f"{root}/{kind}").select(F.lit(kind).alias("folder"), "verdict", "delimiter", "row_count", "ragged_rows")
-        for kind in ("clean", "ragged", "doubled")
-    ]
-    return (
-        audits[0].unionAll(audits[1]).unionAll(audits[2]).groupBy("folder", "verdict", "delimiter")
-        .agg(F.sum("row_count").alias("row_count"), F.sum("ragged_rows").alias("ragged_rows"))
-    )
+def _csv_one_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations as one record of one field, which spans blocks, between two short records: it must not be cut in the sample."""
+    table = X.table(spark, sf_dir, "conversations")
+    places = with_positions(table, "place").select(F.when(F.col("place") == 0, "first").when(F.col("place") == 1, "last").alias("kind"), F.col("place").alias("n"))
+    edges = places.where("kind is not null").select("kind", F.col("n").cast("string").alias("text"), F.when(F.col("kind") == "first", 0).otherwise(2).alias("o"))
+    # The one record is the point of the entry; its parts are joined as any long text of a table would be.
+    joined = table.select(F.struct("conv_id", "turn", "text").alias("t")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("t")), lambda t: t["text"]), "\n").alias("text"))
+    whole = joined.select(F.lit("middle").alias("kind"), "text", F.lit(1).alias("o"))
+    path = _csv_folder(spark, edges.unionByName(whole).orderBy("o").coalesce(1).select("kind", "text"), ";")
+    loaded = load_csv(spark, path, position="row_position")
+    return loaded.select("row_position", "kind", F.when(F.col("kind") == "middle", F.sha2("text", 256)).otherwise(F.col("text")).alias("text"))
 
 
+_add(
+    "csv_one_long_record",
+    _csv_one_record,
+    """select 0::bigint as row_position, 'first' as kind, '0' as text union all select 2, 'last', '1' union all
+    select 1, 'middle', sha256(string_agg(text, chr(10) order by conv_id, turn, text)) from conversations""",
+)
+_add(
+    "csv_positions",
+    lambda s, d: load_csv(s, _csv_folder(s, X.table(s, d, "customer").orderBy("c_custkey").select("c_custkey", "c_name", "c_mktsegment")), position="row_position"),
+    "select row_number() over (order by c_custkey) - 1 as row_position, c_custkey::varchar as c_custkey, c_name, c_mktsegment from customer",
+)
+
+
+def _raw_csv(frame: DataFrame, header: str, path: str) -> None:
+    """Lines as they are given, each file below a header of its own; the frame has one column of texts."""
+    line, is_first = F.col(frame.columns[0]), F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1) == 0
+    frame.select(F.explode(F.when(is_first, F.array(F.lit(header), line)).otherwise(F.array(line))).alias("value")).write.text(path)
+
+
+def _csv_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Folders of the whole table of orders, each with a fault of its own."""
+    orders = X.table(spark, sf_dir, "orders")
+    root = f"{shared_dir(spark).rstrip('/')}/gaugework/audit-{uuid.uuid4().hex}"
+    key, two = F.col("o_orderkey").cast("string"), F.concat_ws(",", "o_orderkey", "o_orderstatus")
+    seldom = F.col("o_orderkey") % 97 == 0
+    orders.select("o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority").write.option("header", True).option("sep", "|").csv(f"{root}/clean")
+    faults = {
+        "ragged": ("k,s", F.when(seldom, F.concat(two, F.lit(",surplus"))).otherwise(two)),
+        "doubled": ("k,k", F.concat_ws(",", "o_orderkey", "o_orderkey")),
+        "nameless": ("k, ", two),
+        "blank": ("k,s", F.when(seldom, F.concat(two, F.lit("\n"))).otherwise(two)),
+        "junk": ("k,s", F.when(seldom, F.concat(F.lit('"'), key, F.lit('"x,s'))).otherwise(two)),
+        "inner_quote": ("k,s", F.concat(key, F.lit('" pipe,'), F.col("o_orderstatus"))),
+        "tie": ("a,b;c", F.concat(key, F.lit(",x;y"))),
+        "spanning": ("k,s", F.concat(key, F.lit(',"a\n,""b"""'))),
+        "white": (" ", F.lit(" ")),
+    }
+    for kind, (header, line) in faults.items():
+        _raw_csv(orders.select(line.alias("line")), header, f"{root}/{kind}")
+    orders.select("o_orderkey", F.lit("é").alias("s")).write.option("header", True).option("encoding", "ISO-8859-1").csv(f"{root}/encoding")
+    audit = csv_files.csv_audit(spark, f"{root}/*").withColumn("folder", F.regexp_extract("file", "/([^/]+)/[^/]+$", 1))
+    sums = [F.sum(name).alias(name) for name in ("row_count", "ragged_rows", "blank_lines", "junk_lines")]
+    kinds = audit.groupBy("folder", "verdict", "delimiter").agg(*sums, (F.sum("broken_lines") > 0).alias("is_broken"))
+    small = csv_files.csv_audit(spark, f"{root}/clean", Limits(max_file_bytes=1)).select(F.lit("limited").alias("folder"), "verdict").distinct()
+    return kinds.unionByName(small, allowMissingColumns=True)
+
+
+_ALL, _SELDOM = "n_all", "n_seldom"
 _add(
     "csv_verdicts",
     _csv_verdicts,
-    """select 'clean' as folder, 'accepted' as verdict, '|' as delimiter, count(*) as row_count, 0::bigint as ragged_rows from orders
-    union all select 'ragged', 'malformed_dataset', ',', count(*), count(*) filter (o_orderkey % 97 = 0) from orders
-    union all select 'doubled', 'malformed_dataset', ',', null, null from orders having count(*) > 0""",
+    " union all ".join(
+        f"""select '{folder}' as folder, '{verdict}' as verdict, {delimiter} as delimiter, {rows} as row_count, {ragged} as ragged_rows,
+            {blank} as blank_lines, {junk} as junk_lines, {broken} as is_broken
+            from (select count(*) as n_all, count(*) filter (o_orderkey % 97 = 0) as n_seldom from orders) sizes"""
+        for folder, verdict, delimiter, rows, ragged, blank, junk, broken in (
+            ("clean", "accepted", "'|'", _ALL, 0, 0, 0, "false"),
+            ("ragged", "malformed_dataset", "','", _ALL, _SELDOM, 0, 0, "false"),
+            ("doubled", "malformed_dataset", "','", "null", "null", "null", "null", "false"),
+            ("nameless", "malformed_dataset", "','", "null", "null", "null", "null", "false"),
+            ("blank", "malformed_dataset", "','", _ALL, 0, _SELDOM, 0, "false"),
+            ("junk", "malformed_dataset", "','", _ALL, 0, 0, _SELDOM, "false"),
+            ("inner_quote", "accepted", "','", _ALL, 0, 0, 0, "false"),
+            ("tie", "malformed_dataset", "null", "null", "null", "null", "null", "false"),
+            ("spanning", "accepted", "','", _ALL, 0, 0, 0, "false"),
+            ("white", "empty_dataset", "','", "null", "null", "null", "null", "false"),
+            ("encoding", "malformed_dataset", "','", _ALL, 0, 0, 0, "true"),
+            ("limited", "file_too_large", "null", "null", "null", "null", "null", "null"),
+        )
+    ),
+)
+
+
+def _verdict_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What loading, and choosing sheets, raise for the cells of all nations and a file of no known kind."""
+    cells = X.view(spark, sf_dir, X.CELLS)
+    asked = {
+        "absent sheet": grid.grid_summary(cells, "absent"),
+        "named sheet": grid.grid_summary(cells, "hidden"),
+        "sheets": grid.grid_summary(cells, limits=Limits(max_sheets=1)),
+        "columns": grid.grid_summary(cells, limits=Limits(max_columns=2)),
+    }
+    parts = [summary.groupBy("verdict").agg(F.count(F.lit(1)).alias("files")).select(F.lit(kind).alias("kind"), "verdict", "files") for kind, summary in asked.items()]
+    try:
+        load_table(spark, f"{sf_dir}/nation.txt")
+        code = "accepted"
+    except IngestError as error:
+        code = error.code
+    routed = X.table(spark, sf_dir, "nation").agg(F.lit("suffix").alias("kind"), F.lit(code).alias("verdict"), F.count(F.lit(1)).alias("files"))
+    return reduce(DataFrame.unionAll, parts).unionAll(routed)
+
+
+_add(
+    "verdict_codes",
+    _verdict_codes,
+    """with nations as (select c_nationkey, count(*) as n from customer group by c_nationkey)
+    select 'absent sheet' as kind, 'sheet_not_found' as verdict, count(*) as files from nations
+    union all select 'sheets', 'dataset_limit_exceeded', count(*) from nations
+    union all select 'columns', 'dataset_limit_exceeded', count(*) from nations
+    union all select 'named sheet', 'accepted', count(*) from nations
+    union all select 'suffix', 'unsupported_format', count(*) from nation""",
+)
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same table through every self-describing format."""
+    root, table = f"{shared_dir(spark).rstrip('/')}/gaugework/formats-{uuid.uuid4().hex}", X.table(spark, sf_dir, "part")
+    parts = []
+    for kind in ("parquet", "orc", "json"):
+        getattr(table.write, kind)(f"{root}/part.{kind}")
+        seen = load_table(spark, f"{root}/part.{kind}").select(*[F.col(c).cast(t) for c, t in table.dtypes])
+        parts.append(integrity.table_fingerprint(seen).select(F.lit(kind).alias("kind"), "row_count", "fingerprint"))
+    base = integrity.table_fingerprint(table).select(F.col("fingerprint").alias("base"))
+    return reduce(DataFrame.unionAll, parts).crossJoin(F.broadcast(base)).select("kind", "row_count", (F.col("fingerprint") == F.col("base")).alias("is_same"))
+
+
+_add(
+    "format_routing",
+    _routed,
+    "select kind, count(*) as row_count, true as is_same from part, (values ('parquet'), ('orc'), ('json')) as kinds(kind) group by kind",
 )
 _add(
     "limit_verdicts",
@@ -800,23 +1084,52 @@ _add(
         for t, c in SCHEMAS.items()
     ),
 )
+def _metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parquet tables by their schema, a CSV folder by its audit and workbooks by their summary."""
+    tables = ingest_metadata(spark, profile_counts(spark, _raw(spark, sf_dir, *SCHEMAS)), {name: (f"{name}.parquet", "parquet") for name in SCHEMAS})
+    path = _csv_folder(spark, X.table(spark, sf_dir, "supplier"), "\t")
+    files = csv_metadata(csv_files.csv_audit(spark, path)).groupBy("source_format", "sheet_name", "delimiter", "formula_cell_count", "column_count", "warnings").agg(F.sum("row_count").alias("row_count"))
+    books = grid_metadata(grid.grid_summary(X.view(spark, sf_dir, X.CELLS)))
+    parts = [tables.drop("table_name"), files.withColumn("source_filename", F.lit("supplier.csv")), books]
+    names = ("source_filename", "source_format", "sheet_name", "row_count", "column_count", "delimiter", "formula_cell_count")
+    return reduce(DataFrame.unionAll, [part.select(*names, F.array_join("warnings", ",").alias("warnings")) for part in parts])
+
+
 _add(
     "ingest_metadata",
-    lambda s, d: ingest_metadata(
-        s, profile_counts(s, _raw(s, d, *SCHEMAS)), {name: (f"{name}.parquet", "parquet") for name in SCHEMAS}
-    ).select("table_name", "source_filename", "source_format", "row_count", "column_count"),
+    _metadata,
     " union all ".join(
-        f"""select '{t}' as table_name, '{t}.parquet' as source_filename, 'parquet' as source_format,
-        count(*) as row_count, {len(c)}::bigint as column_count from {t}"""
+        f"""select '{t}.parquet' as source_filename, 'parquet' as source_format, null as sheet_name, count(*) as row_count, {len(c)}::bigint as column_count,
+        null as delimiter, 0::bigint as formula_cell_count, case when count(*) = 0 then 'header_only_dataset' else '' end as warnings from {t}"""
         for t, c in SCHEMAS.items()
-    ),
+    )
+    + """ union all select 'supplier.csv', 'csv', null, count(*), 4, chr(9), 0, '' from supplier
+    union all select 'nation-' || c_nationkey, 'xlsx', 'data', count(*), 3, null, count(*),
+        case when count(*) > 1 then 'blank_xlsx_rows_ignored,' else '' end || 'formulas_not_evaluated' from customer group by c_nationkey""",
 )
 _add(
     "cell_grid_table",
-    lambda s, d: grid.grid_table(X.view(s, d, X.CELLS), ["key", "name", "total"]).select("file", "key", "name", "total"),
+    lambda s, d: grid.grid_table(X.view(s, d, X.CELLS)).select("file", "key", "name", "total"),
     """select 'nation-' || c_nationkey as file, c_custkey::varchar as key, c_mktsegment as name, null::varchar as total
     from customer""",
 )
+
+
+def _permuted_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workbooks whose columns stand in different orders, every fifth with a value beyond its header, which is left out as malformed."""
+    cells = X.view(spark, sf_dir, X.CELLS)
+    number = F.regexp_extract("file", "(\\d+)$", 1).cast("int")
+    turned = cells.withColumn("col", F.when(F.col("sheet") == "data", (F.col("col") + number) % 3).otherwise(F.col("col")))
+    surplus = turned.where((F.col("sheet") == "data") & (F.col("cell_type") == "n") & (number % 5 == 0)).withColumn("col", F.lit(7)).withColumn("value", F.lit("beyond"))
+    return grid.grid_table(turned.unionByName(surplus), bad="drop").select("file", "key", "name", "total")
+
+
+_add(
+    "cell_grid_own_headers",
+    _permuted_grid,
+    """select 'nation-' || c_nationkey as file, c_custkey::varchar as key, c_mktsegment as name, null::varchar as total
+    from customer where c_nationkey % 5 <> 0""",
+)
 _add(
     "cell_grid_sheet_choice",
     lambda s, d: grid.choose_sheets(X.view(s, d, X.CELLS)).select("file", "sheet"),
