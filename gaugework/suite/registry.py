@@ -432,6 +432,33 @@ _add(
     O.with_ctes(f"{O.messy_customers()}, {O.QUALITY_FINDINGS_CTE}", "select finding_id, category, observed, denominator from quality_findings"),
 )
 
+_BANDED = {
+    "unique": ("cast(o_orderkey as string)", None),
+    "halved": ("cast(o_orderkey - o_orderkey % 2 as string)", 1.0),
+    "constant": ("'1'", 1.0),
+    "cased": ("case o_orderkey % 4 when 0 then 'true' when 1 then 'TRUE' when 2 then 'True' else 'tRUE' end", None),
+}
+
+
+def _bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of all orders that fall in one band each: unique values, pairs, one value, and one word in four casings."""
+    tables = {name: X.view(spark, sf_dir, f"select {value} as value from $orders") for name, (value, _) in _BANDED.items()}
+    return analyze_catalog(spark, tables).quality_score.select("table_name", "overall_score", "score_band")
+
+
+_add(
+    "quality_bands",
+    _bands,
+    """with measured as (
+        select 'unique' as table_name, 100.0 as score from orders having count(distinct o_orderkey) = count(*)
+        union all select 'halved', (25 * 100.0 * count(distinct o_orderkey - o_orderkey % 2) / count(*) + 25 * 100 + 15 * 100) / 65 from orders
+        union all select 'constant', (25 * 100.0 / count(*) + 25 * 100 + 15 * 100) / 65 from orders
+        union all select 'cased', (25 * 400.0 / count(*) + 25 * 100 + 15 * round(100.0 * (select max(n) from (select count(*) as n from orders group by o_orderkey % 4) g) / count(*), 2)) / 65 from orders
+    ), scored as (select table_name, round_even(score, 0)::bigint as overall_score from measured)
+    select table_name, overall_score,
+        case when overall_score >= 90 then '90-100' when overall_score >= 75 then '75-89' when overall_score >= 50 then '50-74' else '<50' end as score_band
+    from scored""",
+)
 _add(
     "quality_dimensions_empty",
     lambda s, d: (lambda a: a.quality_dimensions.join(a.quality_score.select("table_name", "overall_score", "observed_completeness"), "table_name").select("name", "score", "applicability", "reason", "overall_score", "observed_completeness"))(
@@ -841,35 +868,53 @@ _add(
 
 # --- generated inputs ------------------------------------------------------------------------
 
+def _base36_sql(number: str, digits: int = 9) -> str:
+    """Digits from the highest on, without zeros in front."""
+    parts = " || ".join(f"substr('0123456789abcdefghijklmnopqrstuvwxyz', (({number}) // {36**k} % 36 + 1)::int, 1)" for k in reversed(range(digits)))
+    return f"case when ({number}) = 0 then '0' else ltrim({parts}, '0') end"
+
+
+def _list_sql(values: tuple[str, ...], number: str) -> str:
+    return f"[{', '.join(repr(v) for v in values)}][{number} % {len(values)} + 1]"
+
+
 _add(
     "generator_standard",
-    lambda s, d: generators.standard_rows(X.table(s, d, "orders"), "o_orderkey").select(
-        "email", "region", "revenue", "created_at", "phone", "postal_code", "age", "score", "country", "account_code", "updated_at", "note"
-    ),
-    """select 'u' || case when k % 4096 = 0 then '0' else ltrim(concat(
-            substr('0123456789abcdefghijklmnopqrstuvwxyz', (k % 4096 // 1296 + 1)::int, 1),
-            substr('0123456789abcdefghijklmnopqrstuvwxyz', (k % 4096 % 1296 // 36 + 1)::int, 1),
-            substr('0123456789abcdefghijklmnopqrstuvwxyz', (k % 4096 % 36 + 1)::int, 1)), '0') end || '@x.test' as email,
-        ['n', 's', 'e', 'w'][k % 4 + 1] as region, (k % 997) || '.' || lpad((k % 100)::varchar, 2, '0') as revenue,
+    lambda s, d: generators.standard_rows(X.table(s, d, "orders"), "o_orderkey"),
+    f"""select {_base36_sql('k')} as record_id, 'u' || {_base36_sql('k % 4096')} || '@x.test' as email,
+        {_list_sql(generators.COMPASS, 'k')} as region, (k % 997) || '.' || lpad((k % 100)::varchar, 2, '0') as revenue,
         '2026-' || lpad((k % 12 + 1)::varchar, 2, '0') || '-' || lpad((k % 28 + 1)::varchar, 2, '0') as created_at,
+        {_list_sql(generators.STATES, 'k')} as status,
         '555' || lpad((k % 10000000)::varchar, 7, '0') as phone, lpad((k % 100000)::varchar, 5, '0') as postal_code,
-        (18 + k % 73)::varchar as age, (k % 101)::varchar as score, ['ES', 'PT', 'FR'][k % 3 + 1] as country,
-        'a' || lpad((k % 997)::varchar, 3, '0') as account_code,
+        (18 + k % 73)::varchar as age, {_list_sql(generators.LETTERS[:8], 'k')} as department, (k % 101)::varchar as score,
+        (1 - k % 2)::varchar as active, {_list_sql(generators.LETTERS[:6], 'k')} as category, {_list_sql(generators.COUNTRIES, 'k')} as country,
+        (k % 701)::varchar as cost, (k % 9)::varchar as quantity,
+        'a' || lpad((k % 997)::varchar, 3, '0') as account_code, {_list_sql(generators.LETTERS[:5], 'k')} as segment,
         '2026-' || lpad(((k + 3) % 12 + 1)::varchar, 2, '0') || '-' || lpad(((k + 7) % 28 + 1)::varchar, 2, '0') as updated_at,
-        chr((97 + k % 10)::int) as note from (select o_orderkey as k from orders)""",
-)
+        {_list_sql(generators.LETTERS, 'k')} as note from (select o_orderkey as k from orders)""",
+)
 _add(
     "generator_compact",
     lambda s, d: generators.compact_rows(X.table(s, d, "orders"), "o_orderkey", 6).drop("record_id"),
     """select ((k + 1) % 10)::varchar as c1, ((k + 2) % 10)::varchar as c2, ((k + 3) % 10)::varchar as c3,
         ((k + 4) % 10)::varchar as c4, ((k + 5) % 10)::varchar as c5 from (select o_orderkey as k from orders)""",
 )
+_PICKS = {
+    "region": (*generators.MIXED_REGIONS, ""), "status": generators.MIXED_STATES, "country": generators.COUNTRIES, "segment": generators.MIXED_SEGMENTS,
+    "category": generators.MIXED_CATEGORIES, "gender": generators.MIXED_GENDERS, "city": generators.MIXED_CITIES, "active": generators.MIXED_FLAGS,
+}
 _add(
     "generator_mixed",
     lambda s, d: generators.mixed_rows(X.table(s, d, "orders"), "o_orderkey").select(
-        "phone", "age", "revenue", "created_at", "updated_at", "discount", "account_code", "free_text"
+        "customer_id", "email", "phone", "postal_code", "age", "revenue", "created_at", "updated_at", "quantity", "discount", "account_code", "free_text",
+        (F.col("region") == "").alias("no_region"),
+        # Picks follow a hash; all are among the values listed.
+        reduce(lambda a, b: a & b, [F.col(name).isin(*values) for name, values in _PICKS.items()]).alias("picks_listed"),
     ),
-    """select case when i % 9 = 0 then '' when i % 31 = 0 then 'oops' else '555' || lpad((i % 10000000)::varchar, 7, '0') end as phone,
+    f"""select 'c' || {_base36_sql('case when i > 0 and i % 20 = 0 then i - 1 else i end')} as customer_id,
+        case when i % 8 = 0 then '' when i % 20 = 1 then 'bad-' || {_base36_sql('i')} else 'u' || {_base36_sql('i % 10000')} || '@example.test' end as email,
+        lpad((i % 100000)::varchar, 5, '0') as postal_code, (i % 9)::varchar as quantity, i % 8 = 0 as no_region, true as picks_listed,
+        case when i % 9 = 0 then '' when i % 31 = 0 then 'oops' else '555' || lpad((i % 10000000)::varchar, 7, '0') end as phone,
         case when i % 11 = 0 then '' when i % 37 = 0 then 'unknown' else (18 + i % 73)::varchar end as age,
         case when i % 29 = 0 then 'bad' else (i % 997) || case when i % 4 = 0 then ',' else '.' end
             || lpad((i % 100)::varchar, 2, '0') end as revenue,
@@ -882,6 +927,35 @@ _add(
         case when i = 0 then 'RAW_SENTINEL_DO_NOT_RETURN' else 'note-' || (i % 100) end as free_text
     from (select case when k > 0 and k % 100 = 0 then k - 1 else k end as i from (select o_orderkey as k from orders))""",
 )
+def _demo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    indexes = X.table(spark, sf_dir, "orders").select((F.col("o_orderkey") % 50 + 1).alias("i")).distinct()
+    return generators.demo_rows(indexes, "i")
+
+
+_add(
+    "generator_demo",
+    lambda s, d: _demo(s, d).withColumn("signup_date", F.unix_date("signup_date").cast("bigint")).withColumn("last_contact_at", F.unix_seconds("last_contact_at")),
+    f"""select 'SYN-CUST-' || lpad((case when i = 26 then 25 else i end)::varchar, 3, '0') as customer_id,
+        'Synthetic Customer ' || lpad(i::varchar, 2, '0') as full_name,
+        case when i not in (7, 19, 33) then 'customer' || lpad(i::varchar, 2, '0') || '@example.test' end as email,
+        case when i not in (5, 18, 42) then 'synthetic-phone-' || lpad(i::varchar, 3, '0') end as phone,
+        case when i not in (12, 37) then {_list_sql(generators.DEMO_REGIONS, 'i')} end as region,
+        date '2025-01-01' - date '1970-01-01' + i - 1 as signup_date, 1743499800 + (i - 1) * 86400 as last_contact_at,
+        i * 1250 + 50000 as annual_revenue, {_list_sql(generators.DEMO_STATES, 'i')} as account_status,
+        case when i not in (9, 28) then 'Synthetic operational note ' || lpad(i::varchar, 2, '0') end as notes,
+        case when i > 40 then upper(case when i % 2 = 1 then 'true' else 'false' end) when i % 2 = 1 then 'true' else 'false' end as active_flag,
+        case when i = 50 then 'unknown' else (i % 20 + 70)::varchar end as service_score, i % 32 + 24 as customer_age
+    from (select distinct o_orderkey % 50 + 1 as i from orders) indexes""",
+)
+_add(
+    "generator_demo_scores",
+    lambda s, d: (lambda a: a.quality_dimensions.select("name", "score").unionAll(a.quality_score.select(F.lit("overall"), F.col("overall_score").cast("double"))).unionAll(
+        a.quality_score.select(F.lit("observed_completeness"), "observed_completeness")))(analyze(_demo(s, d), "demo")),
+    # The published scores of the sample, if all of its indexes are there.
+    """select name, score::double as score from (values ('structural_completeness', 100.0), ('uniqueness', 98.4), ('validity', 99.67), ('consistency', 96.66),
+        ('overall', 99.0), ('observed_completeness', 98.46)) as golden(name, score)
+    where (select count(distinct o_orderkey % 50) from orders) = 50""",
+)
 _add(
     "generator_demo_quality",
     lambda s, d: analyze(generators.demo_rows(X.table(s, d, "orders"), "o_orderkey"), "demo")
