@@ -22,6 +22,8 @@ BREAKS = frozenset(
     "header hr html li main nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
 )
 _NAME = re.compile(r"/?\s*([A-Za-z][A-Za-z0-9-]*)")
+# Looked for in the page as it is: letters may change their number in lower case.
+_CLOSING = {name: re.compile(f"</{name}", re.IGNORECASE | re.ASCII) for name in HIDDEN}
 _LINK = re.compile(r"""\bhref\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _CHARSET = re.compile(r"charset\s*=\s*[\"']?([A-Za-z0-9._-]+)", re.IGNORECASE)
 _SPACES = re.compile(r"[^\S\n]+")
@@ -39,7 +41,7 @@ def record_id(*parts: object) -> str:
 
 def parse_html(page: str) -> tuple[str, str, list[str]]:
     """(text, title, link targets) in one pass from left to right. An element or comment that is not closed reaches to the end."""
-    out, links, title, at, low = [], [], "", 0, page.lower()
+    out, links, title, at = [], [], "", 0
     title_from = None
     while True:
         tag = page.find("<", at)
@@ -63,8 +65,8 @@ def parse_html(page: str) -> tuple[str, str, list[str]]:
             continue
         name, closing = found.group(1).lower(), page[tag + 1] == "/"
         if name in HIDDEN and not closing:
-            close = low.find(f"</{name}", end)
-            at = close if close >= 0 else len(page)
+            close = _CLOSING[name].search(page, end)
+            at = close.start() if close else len(page)
             continue
         if name == "a" and not closing:
             link = _LINK.search(page, tag, end)
