@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm.scratch import Scratch
-from gaugework.llm.vectors import matrix, usable
+from gaugework.llm.vectors import matrix, unit, usable
 
 NEIGHBOURS = 20
 #: Random lines (at most 255: collisions are counted in bytes) and runs into which each sorted array is cut.
@@ -62,7 +62,7 @@ class SortedLines:
 
     def search(self, queries: np.ndarray, wanted: int):
         """Yields for each query its number and the numbers of the vectors to verify."""
-        own = queries / np.sqrt(np.einsum("ij,ij->i", queries, queries))[:, None]
+        own = unit(queries)
         centre = np.column_stack([own, np.zeros(len(own))]) @ self.lines
         enough = min(len(self.rows), max(VERIFIED_EACH * wanted, math.ceil(VERIFIED * len(self.rows))))
         threshold, every = math.ceil(COLLISIONS * LINES), np.arange(LINES)
@@ -85,7 +85,7 @@ class SortedLines:
             open_, reach = np.array(still, np.int64), reach * WIDEN
 
 
-def _search_block(width: int, length: float, wanted: int):
+def _search_block(width: int, largest: float, length: float, wanted: int):
     def run(table):
         is_query = table.column("is_query").to_numpy(zero_copy_only=False)
         rows = matrix(table.column("vector"), width)
@@ -93,7 +93,7 @@ def _search_block(width: int, length: float, wanted: int):
         here, asked = np.nonzero(~is_query)[0], np.nonzero(is_query)[0]
         out = {"query_row": [], "query_id": [], "vec_id": [], "score": []}
         if len(here) and len(asked):
-            index = SortedLines(rows[here], length)
+            index = SortedLines(rows[here] / largest, length)
             for number, found in index.search(rows[asked], wanted + 1):
                 query = asked[number]
                 found = here[found]
@@ -122,15 +122,18 @@ def nearest(vectors: DataFrame, is_query: Column, wanted: int = NEIGHBOURS, bloc
     scratch = Scratch(vectors.sparkSession, "neighbours")
     rows = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"), F.coalesce(is_query, F.lit(False)).alias("asked"))
     rows = scratch.put(rows.where(F.col("vec_id").isNotNull() & usable(F.col("vector"))).withColumn("row", F.monotonically_increasing_id()))
-    square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + x * x)
-    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("asked"), 1)).alias("q"), F.max(F.size("vector")).alias("width"), F.max(square).alias("square")).first()
+    entry = F.array_max(F.transform("vector", F.abs))
+    facts = rows.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("asked"), 1)).alias("q"), F.max(F.size("vector")).alias("width"), F.max(entry).alias("largest")).first()
+    # The index holds the vectors by the largest entry of all, so that no square leaves the range; scores are of the vectors themselves.
+    largest = facts["largest"] or 1.0
+    square = F.aggregate("vector", F.lit(0.0), lambda total, x: total + (x / largest) * (x / largest))
+    length = math.sqrt(rows.agg(F.max(square)).first()[0] or 1.0)
     result = "query_row bigint, query_id bigint, vec_id bigint, score double"
     blocks, parts = max(1, math.ceil(facts["n"] / block_rows)), max(1, math.ceil(facts["q"] / query_rows))
     mixed = F.xxhash64("row")
     index = rows.select("vec_id", "vector", "row", F.lit(False).alias("is_query"), F.pmod(mixed, F.lit(blocks)).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
     queries = rows.where("asked").dropDuplicates(["vec_id", "vector"])
     queries = queries.select("vec_id", "vector", "row", F.lit(True).alias("is_query"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.pmod(mixed, F.lit(parts)).cast("int").alias("part"))
-    length = math.sqrt(facts["square"] or 1.0)
-    found = index.unionByName(queries).groupBy("block", "part").applyInArrow(_search_block(facts["width"] or 1, length, wanted), result)
+    found = index.unionByName(queries).groupBy("block", "part").applyInArrow(_search_block(facts["width"] or 1, largest, length, wanted), result)
     order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= wanted).select("query_id", "rank", "vec_id", "score")
