@@ -89,8 +89,10 @@ def _pack_group(capacities, cost):
 
 def word_count(text: Column) -> Column:
     """Words as separated by white space."""
-    trimmed = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), r"^\s+|\s+$", "")
-    return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"\s+")))
+    parts = F.split(F.coalesce(text.cast("string"), F.lit("")), r"\s+")
+    # Only the first and the last part can be empty.
+    edge = lambda part, counts: F.when(counts & (part == ""), 1).otherwise(0)
+    return F.size(parts) - edge(F.element_at(parts, 1), F.lit(True)) - edge(F.element_at(parts, -1), F.size(parts) > 1)
 
 
 def pack_documents(docs: DataFrame, length: Column | None = None, capacities: tuple[int, ...] = CAPACITIES, cost=default_cost, group_rows: int = GROUP_ROWS) -> DataFrame:
