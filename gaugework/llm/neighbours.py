@@ -30,6 +30,8 @@ FIRST_WINDOW, WIDEN = 0.75, 1.12
 #: README has the recall measured.
 VERIFIED, VERIFIED_EACH = 0.2, 40
 BLOCK_ROWS, QUERY_ROWS = 8_192, 2_048
+#: Queries of a block from which the first window of the others is taken.
+PILOT = 32
 SEED = 11
 
 
@@ -65,9 +67,18 @@ class SortedLines:
         own = unit(queries)
         centre = np.column_stack([own, np.zeros(len(own))]) @ self.lines
         enough = min(len(self.rows), max(VERIFIED_EACH * wanted, math.ceil(VERIFIED * len(self.rows))))
-        threshold, every = math.ceil(COLLISIONS * LINES), np.arange(LINES)
-        open_, reach = np.arange(len(queries)), self.step
         limit = self.farthest + float(np.abs(centre).max())
+        # No query ends much before the others do, so the rest starts with the narrowest window that was enough for the first ones.
+        first, ends = np.arange(min(PILOT, len(queries))), []
+        for query, found, reach in self._widened(centre, first, self.step, enough, limit):
+            ends.append(reach)
+            yield query, found
+        for query, found, _ in self._widened(centre, np.arange(len(first), len(queries)), min(ends, default=self.step), enough, limit):
+            yield query, found
+
+    def _widened(self, centre: np.ndarray, open_: np.ndarray, reach: float, enough: int, limit: float):
+        """Each query with its vectors and the window with which they were enough."""
+        threshold, every = math.ceil(COLLISIONS * LINES), np.arange(LINES)
         while len(open_):
             low, high = (np.empty((len(open_), LINES), np.int64) for _ in range(2))
             for line in every:
@@ -79,18 +90,29 @@ class SortedLines:
                 tally = self.before[every, high[at]].sum(axis=0, dtype=np.uint8) - self.before[every, low[at]].sum(axis=0, dtype=np.uint8)
                 found = np.nonzero(tally >= threshold)[0]
                 if len(found) >= enough or reach > limit:
-                    yield query, found
+                    yield query, found, reach
                 else:
                     still.append(query)
             open_, reach = np.array(still, np.int64), reach * WIDEN
 
 
+def _best(scores: np.ndarray, ids: np.ndarray, wanted: int) -> np.ndarray:
+    """The places of the largest scores, ties to the smaller id; only those that reach the last of them are sorted."""
+    if len(scores) > wanted:
+        near = np.nonzero(scores >= np.partition(scores, -wanted)[-wanted])[0]
+    else:
+        near = np.arange(len(scores))
+    return near[np.lexsort((ids[near], -scores[near]))[:wanted]]
+
+
 def _search_block(width: int, largest: float, length: float, wanted: int):
     def run(table):
         is_query = table.column("is_query").to_numpy(zero_copy_only=False)
         rows = matrix(table.column("vector"), width)
         ids, row_ids = table.column("vec_id").to_numpy(), table.column("row").to_numpy()
-        here, asked = np.nonzero(~is_query)[0], np.nonzero(is_query)[0]
+        # In the order of the rows, whatever order they came in, so that a task run again finds the same.
+        order = np.argsort(row_ids, kind="stable")
+        here, asked = order[~is_query[order]], order[is_query[order]]
         out = {"query_row": [], "query_id": [], "vec_id": [], "score": []}
         if len(here) and len(asked):
             index = SortedLines(rows[here] / largest, length)
@@ -99,7 +121,7 @@ def _search_block(width: int, largest: float, length: float, wanted: int):
                 found = here[found]
                 found = found[ids[found] != ids[query]]
                 scores = np.einsum("ij,j->i", rows[found], rows[query])
-                best = np.lexsort((ids[found], -scores))[:wanted]
+                best = _best(scores, ids[found], wanted)
                 out["query_row"].append(np.full(len(best), row_ids[query]))
                 out["query_id"].append(np.full(len(best), ids[query]))
                 out["vec_id"].append(ids[found][best])
