@@ -10,14 +10,16 @@ import json
 import os
 import sys
 import time
+import uuid
 
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from gaugework import analyze, analyze_catalog  # noqa: E402
-from gaugework.session import tuned  # noqa: E402
+from gaugework.session import shared_dir, tuned  # noqa: E402
 from gaugework.sources import generators  # noqa: E402
+from gaugework.sources.csv_files import load_csv  # noqa: E402
 from gaugework.suite import fixtures, registry  # noqa: E402
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -65,6 +67,10 @@ def jobs(spark: SparkSession):
         "scenario_mixed": (generators.mixed_rows, 41_000, {}),
         "scenario_wide": (generators.compact_rows, 4_000, {"width": 250, "names": [f"c{i:03d}" for i in range(250)]}),
     }
+    # The published figures hold reading the file as well; writing it is not timed.
+    folder = f"{shared_dir(spark).rstrip('/')}/gaugework/bench-{uuid.uuid4().hex}"
+    generators.standard_rows(spark.range(50_000)).write.option("header", True).csv(folder)
+    yield "csv_large", lambda: analyse(load_csv(spark, folder), "csv_large")
     for name, (make, rows, options) in scenarios.items():
         yield name, lambda make=make, rows=rows, options=options, name=name: analyse(make(spark.range(rows), **options), name)
 
