@@ -7,13 +7,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gaugework.llm.scratch import Scratch, small
 
-#: Cross-class pairs per bucket entry up to which the last round lists them all.
-PAIRS_PER_ENTRY = 0.25
+#: Cross-class pairs per bucket entry up to which the last round goes through them all: without, and with a test within the join.
+PAIRS_PER_ENTRY, TESTED_PER_ENTRY = 0.25, 16.0
 
 
 def _checksum(edges: DataFrame) -> tuple[int, int]:
@@ -54,25 +54,33 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return members.unionByName(roots)
 
 
-def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+def link_buckets(
+    entries: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    scratch: Scratch,
+    facts: DataFrame | None = None,
+    near: Callable[[str, str], Column] | None = None,
+) -> DataFrame:
     """Components over all verified links between ids that share a key.
 
     ``entries`` (key, id bigint) may repeat; ``verify`` turns pairs (a, b) into those that hold. Returns (id, component) of
-    linked ids.
+    linked ids. ``near("a", "b")`` is a cheap test that every pair that holds passes, over the columns of ``facts`` (id, ...) with
+    the suffixes _a and _b, or over a and b themselves; it is part of the join, so that pairs that fail it are never written.
 
     A bucket is not expanded into its pairs. In a round, one member each of its smallest classes is compared with all members
     of other classes and then leaves the bucket; members of one class need no comparison among themselves. The number of such
     members grows fourfold with each round, so the rounds follow the logarithm of the bucket. They end when the pairs between different
     classes are in proportion to the entries, and those are compared outright. So no link between two classes is
-    lost, and a bucket of copies costs as much as it has members.
+    lost, and a bucket of copies costs as much as it has members. A pair that shares several buckets may be verified again in a
+    later round; no record of compared pairs is kept.
     """
     rest = scratch.put(entries.where("key is not null and id is not null").distinct())
     entry_count = rest.count()
     # A member that shares large buckets is central to them, and soonest found like the others.
     sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     weights = scratch.put(rest.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("weight")))
+    listed = PAIRS_PER_ENTRY if near is None else TESTED_PER_ENTRY
     edges: list[DataFrame] = []
-    compared: list[DataFrame] = []
     classes, compared_at_once = None, 1
     while True:
         labelled = rest if classes is None else rest.join(classes, "id", "left")
@@ -91,7 +99,7 @@ def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], s
             scratch.drop(open_keys, labelled)
             break
         todo = labelled.join(small(open_keys.select("key")), "key", "left_semi")
-        last = totals["pairs"] <= PAIRS_PER_ENTRY * entry_count
+        last = totals["pairs"] <= listed * entry_count
         if last:
             reps = todo.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
         else:
@@ -100,11 +108,17 @@ def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], s
             ranked = per_class.join(small(open_keys.select("key")), "key", "left_semi").withColumn("rank", F.row_number().over(order))
             reps = scratch.put(ranked.where(F.col("rank") <= compared_at_once).select("key", F.col("first").alias("a"), F.col("component").alias("ca")))
         others = todo.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
-        pairs = reps.join(others, "key").where("ca < cb" if last else "ca <> cb").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        for earlier in compared:
-            pairs = pairs.join(earlier, ["a", "b"], "left_anti")
-        compared.append(scratch.put(pairs))
-        edges.append(scratch.put(verify(compared[-1]).select("a", "b")))
+        met = F.expr("ca < cb" if last else "ca <> cb")
+        left, right = reps, others
+        # One member a bucket makes no more pairs than entries, which need no test.
+        if near is not None and (last or compared_at_once > 1):
+            if facts is not None:
+                left, right = _with_facts(left, facts, "a"), _with_facts(right, facts, "b")
+            met = met & near("a", "b")
+        pairs = left.join(right, "key").where(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        compared = scratch.put(pairs)
+        edges.append(scratch.put(verify(compared).select("a", "b")))
+        scratch.drop(compared)
         every = edges[0]
         for more in edges[1:]:
             every = every.unionByName(more)
@@ -116,3 +130,8 @@ def link_buckets(entries: DataFrame, verify: Callable[[DataFrame], DataFrame], s
         scratch.drop(rest, open_keys, labelled, reps)
         rest, compared_at_once = smaller, compared_at_once * 4
     return classes if classes is not None else rest.select("id", F.col("id").alias("component")).limit(0)
+
+
+def _with_facts(side: DataFrame, facts: DataFrame, name: str) -> DataFrame:
+    renamed = facts.select(*[F.col(c).alias(name if c == "id" else f"{c}_{name}") for c in facts.columns])
+    return side.join(renamed, name)

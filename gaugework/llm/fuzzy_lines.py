@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gaugework.llm.components import link_buckets
+from gaugework.llm.parity import near, parities
 from gaugework.llm.scratch import Scratch, small
 
 #: Characters of a shingle, and the Jaccard similarity of lines that are one.
@@ -62,26 +63,57 @@ def _level(count: Column) -> Column:
     return F.greatest(F.floor(F.log2(count / F.lit(float(SAMPLE)))), F.lit(0)).cast("int")
 
 
-def band_keys(lines: DataFrame) -> DataFrame:
-    """(id, keys) of ``lines`` (id, line, size), a key for every band; size is the number of distinct shingles.
+def _signatures(lines: DataFrame) -> DataFrame:
+    """(id, keys, doubtful) of ``lines`` (id, line, size), keys for every band and rate.
 
     Minima under the permutations h -> h xor c. Lines near a change of the sampling rate are signed at both rates, as
-    their partners may be at either.
+    their partners may be at either. ``doubtful`` if the sample is smaller than the size lets expect, or repeats itself.
     """
     rng = random.Random(SEED)
     masks = [rng.getrandbits(64) - (1 << 63) for _ in range(BANDS * BAND_ROWS)]
-    # The sample is of distinct shingles, so its level is too: positions would thin out a line that repeats itself.
     low, high = _level(F.col("size") * F.lit(SIMILARITY)), _level(F.col("size") / F.lit(SIMILARITY))
     wide = lines.select("id", F.encode("line", "UTF-32").alias("wide"), _positions(F.col("line")).alias("count"), low.alias("low"), high.alias("high"))
-    hashes = wide.select("id", "low", "high", "wide", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at"))
-    hashes = hashes.select("id", "low", "high", _shingle_hash(F.col("wide"), F.col("at")).alias("h"))
-    in_low = F.col("h").bitwiseAND(F.expr("shiftleft(1L, low) - 1")) == 0
+    # Place -1 stands for the line itself, so that one without any sampled shingle is seen too.
+    hashes = wide.select("id", "low", "high", "wide", F.explode(F.sequence(F.lit(-1), F.col("count") - 1)).alias("at"))
+    hashes = hashes.select("id", "low", "high", F.when(F.col("at") >= 0, _shingle_hash(F.col("wide"), F.col("at"))).alias("h"))
+    in_low = F.col("h").isNull() | (F.col("h").bitwiseAND(F.expr("shiftleft(1L, low) - 1")) == 0)
     in_high = F.col("h").bitwiseAND(F.expr("shiftleft(1L, high) - 1")) == 0
     # Whatever is in the sample of the higher level is in that of the lower one too.
     sampled = hashes.where(in_low).withColumn("level", F.explode(F.when((F.col("high") > F.col("low")) & in_high, F.array("low", "high")).otherwise(F.array("low"))))
-    signed = sampled.groupBy("id", "level").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(mask))).alias(f"m{n}") for n, mask in enumerate(masks)])
+    signed = sampled.groupBy("id", "level").agg(
+        F.min("low").alias("low"), F.max("high").alias("high"), F.count("h").alias("taken"),
+        F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))")).alias("places"),
+        *[F.min(F.col("h").bitwiseXOR(F.lit(mask))).alias(f"m{n}") for n, mask in enumerate(masks)],
+    )
     keys = [F.xxhash64(F.lit(band), F.col("level"), *[F.col(f"m{band * BAND_ROWS + row}") for row in range(BAND_ROWS)]) for band in range(BANDS)]
-    return signed.select("id", F.array(*keys).alias("keys"))
+    # Different shingles fall on so many of 64 places.
+    expected = 64 * (1 - F.exp(-F.col("taken") / 64))
+    few = (F.col("taken") < 0.7 * SAMPLE) | (F.bit_count("places") < 0.88 * expected)
+    found = F.when(F.col("taken") > 0, F.array(*keys))
+    return signed.select("id", found.alias("keys"), ((F.col("level") == F.col("low")) & (F.col("high") > 0) & few).alias("doubtful"))
+
+
+def band_keys(lines: DataFrame) -> DataFrame:
+    """(id, keys) of ``lines`` (id, line, size), keys for every band and rate; size is the number of distinct shingles."""
+    return _signatures(lines).where("keys is not null").select("id", "keys")
+
+
+def _signed(distinct: DataFrame, scratch: Scratch) -> DataFrame:
+    """(id, keys) of every line of ``distinct`` (id, line).
+
+    The rates leave room for sizes that are wrong by a fifth, so shingles are counted with repeats, and exactly only for lines
+    whose sample shows that they repeat themselves. Those are signed once more.
+    """
+    signed = scratch.put(_signatures(distinct.select("id", "line", _positions(F.col("line")).alias("size"))))
+    doubtful = scratch.put(signed.where("doubtful").select("id").distinct())
+    again = distinct.join(small(doubtful), "id", "left_semi").select("id", "line", distinct_shingles(F.col("line")).alias("size"))
+    return signed.where("keys is not null").select("id", "keys").unionByName(band_keys(again))
+
+
+def _facts(lines: DataFrame) -> DataFrame:
+    """Number and parities of the distinct shingles of ``lines`` (id, line)."""
+    sets = lines.select("id", F.array_distinct(shingles(F.col("line"))).alias("s"))
+    return parities(sets.select("id", F.size("s").alias("size"), F.explode("s").alias("h")))
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -92,23 +124,26 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def line_components(distinct: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, component) of those of the distinct lines (id, line, size) that resemble another one."""
-    signed = scratch.put(band_keys(distinct))
+    """(id, component) of those of the distinct lines (id, line) that resemble another one."""
+    signed = scratch.put(_signed(distinct, scratch))
     entries = signed.select("id", F.explode("keys").alias("key"))
     repeated = scratch.put(entries.groupBy("key").count().where("count > 1").select("key"))
     met = scratch.put(entries.join(small(repeated), "key", "left_semi"))
-    scratch.drop(signed)
+    scratch.drop(signed, repeated)
     ids = scratch.put(met.select("id").distinct())
-    texts = scratch.put(distinct.select("id", "line", "size").join(small(ids), "id", "left_semi"))
+    lines = scratch.put(distinct.select("id", "line").join(small(ids), "id", "left_semi"))
+    facts = scratch.put(_facts(lines))
+    texts = scratch.put(lines.join(facts.select("id", "size"), "id"))
+    scratch.drop(lines, ids)
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = (texts.select(F.col("id").alias(side), F.col("line").alias(f"line_{side}"), F.col("size").alias(f"size_{side}")) for side in "ab")
         both = pairs.join(left, "a").join(right, "b")
         # Sets whose sizes are too far apart cannot be similar enough.
-        near = F.least("size_a", "size_b") >= SIMILARITY * F.greatest("size_a", "size_b")
-        return both.where(near & (jaccard(F.col("line_a"), F.col("line_b"), F.col("size_a"), F.col("size_b")) >= SIMILARITY))
+        close = F.least("size_a", "size_b") >= F.greatest("size_a", "size_b") * SIMILARITY - 1e-6
+        return both.where(close & (jaccard(F.col("line_a"), F.col("line_b"), F.col("size_a"), F.col("size_b")) >= SIMILARITY))
 
-    return link_buckets(met, verify, scratch)
+    return link_buckets(met, verify, scratch, facts, near(SIMILARITY))
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
@@ -128,7 +163,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "digest", "line_no")
     # Equal lines meet first, reduced before the shuffle. The rows stay where the signatures need them.
     distinct = _occurrences(docs).groupBy("id").agg(F.min("line").alias("line"), F.min(place).alias("first"), F.count(F.lit(1)).alias("n"))
-    distinct = distinct.withColumn("size", distinct_shingles(F.col("line"))).persist(StorageLevel.MEMORY_AND_DISK)
+    distinct = distinct.persist(StorageLevel.MEMORY_AND_DISK)
     linked = line_components(distinct, scratch)
     # Of the lines that may go, the place of the one that stays.
     decided = distinct.select("id", "first", "n").join(linked, "id", "left").where("n > 1 or component is not null")
@@ -138,11 +173,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     decided = decided.join(winners, "component").select("id", "winner")
     repeats = _occurrences(docs).select("doc_id", "digest", "line_no", "id").join(decided, "id").where(~place.eqNullSafe(F.col("winner")))
     drops = scratch.put(repeats.groupBy("doc_id", "digest").agg(F.collect_set("line_no").alias("gone")))
-    drops = drops.select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest"), F.col("gone").alias("__gone"))
-    text = F.col("text").cast("string")
-    keyed = docs.withColumn("__own", F.xxhash64(text))
-    joined = keyed.join(drops, F.col("__own").eqNullSafe(F.col("__digest")) & keyed["doc_id"].eqNullSafe(F.col("__doc")), "left")
+    # The caller's columns are kept apart from the names used here.
+    text = F.col("row.text").cast("string")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    drops = drops.select(F.col("doc_id").alias("drop_doc"), F.col("digest").alias("drop_digest"), "gone")
+    joined = keyed.join(drops, F.xxhash64(text).eqNullSafe(F.col("drop_digest")) & F.col("row.doc_id").eqNullSafe(F.col("drop_doc")), "left")
     lines = F.split(text, "\n")
-    kept = F.array_join(F.filter(lines, lambda line, at: ~F.array_contains("__gone", at)), "\n")
-    columns = [F.when(F.col("__gone").isNull(), text).otherwise(kept).alias("text") if c == "text" else keyed[c] for c in docs.columns]
-    return joined.select(*columns, F.coalesce(F.size(F.when(text.isNotNull(), lines)), F.lit(0)).alias("n_lines"), F.coalesce(F.size(F.when(F.col("__gone").isNotNull(), F.col("__gone"))), F.lit(0)).alias("n_dropped"))
+    kept = F.array_join(F.filter(lines, lambda line, at: ~F.array_contains("gone", at)), "\n")
+    columns = [F.when(F.col("gone").isNull(), text).otherwise(kept).alias("text") if c == "text" else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return joined.select(*columns, F.coalesce(F.size(F.when(text.isNotNull(), lines)), F.lit(0)).alias("n_lines"), F.coalesce(F.size(F.when(F.col("gone").isNotNull(), F.col("gone"))), F.lit(0)).alias("n_dropped"))

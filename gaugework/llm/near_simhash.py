@@ -12,11 +12,12 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugework.llm.components import link_buckets
+from gaugework.llm.parity import near, parities
 from gaugework.llm.scratch import Scratch, small
 
 #: Words of a shingle, and bits by which linked fingerprints may differ.
@@ -96,6 +97,10 @@ def _verify(pairs: DataFrame) -> DataFrame:
     return pairs.where(shared >= MIN_SHARED).where(F.bit_count(differ) <= MAX_BITS)
 
 
+def _bits_near(a: str, b: str) -> Column:
+    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
+
+
 def _smallest_ids(distinct: DataFrame, linked: DataFrame) -> DataFrame:
     """(id, component_id): the smallest doc_id of each id's component."""
     joined = distinct.join(linked, "id", "left").select("id", "first", F.coalesce("component", "id").alias("class"))
@@ -115,7 +120,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     prints = scratch.put(fingerprints(docs))
     # Copies meet as one fingerprint; min() is reduced before the shuffle.
     distinct = scratch.put(prints.groupBy(F.col("fingerprint").alias("id")).agg(F.min("doc_id").alias("first")))
-    linked = link_buckets(_postings(distinct), _verify, scratch)
+    linked = link_buckets(_postings(distinct), _verify, scratch, near=_bits_near)
     labels = _smallest_ids(distinct, linked).withColumnRenamed("id", "fingerprint")
     return prints.join(labels, "fingerprint").select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
@@ -181,17 +186,18 @@ def similar_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     texts = rows.select("digest", "text").join(small(wanted), "digest").groupBy("id").agg(F.first("text").alias("text"))
     sets = texts.mapInArrow(_set_batches, "id long, shingles array<long>").withColumn("size", F.size("shingles"))
     sets = scratch.put(sets)
+    facts = scratch.put(parities(sets.select("id", "size", F.explode("shingles").alias("h"))))
 
     def verify(pairs: DataFrame) -> DataFrame:
         left, right = (sets.select(F.col("id").alias(s), F.col("shingles").alias(f"shingles_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab")
         # Sets whose sizes are too far apart cannot be similar enough.
-        sizes = pairs.join(sets.select(F.col("id").alias("a"), F.col("size").alias("n_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("size").alias("n_b")), "b")
-        near = sizes.where(F.least("n_a", "n_b") / F.greatest("n_a", "n_b") >= TEXT_SIMILARITY).select("a", "b")
-        both = near.join(left, "a").join(right, "b")
+        sizes = pairs.join(facts.select(F.col("id").alias("a"), F.col("size").alias("n_a")), "a").join(facts.select(F.col("id").alias("b"), F.col("size").alias("n_b")), "b")
+        close = sizes.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * TEXT_SIMILARITY - 1e-6).select("a", "b")
+        both = close.join(left, "a").join(right, "b")
         shared = both.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("shingles_a", "shingles_b")).alias("shared"))
         return shared.where(F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")) >= TEXT_SIMILARITY)
 
-    labels = _smallest_ids(distinct.select("id", "first"), link_buckets(met, verify, scratch))
+    labels = _smallest_ids(distinct.select("id", "first"), link_buckets(met, verify, scratch, facts, near(TEXT_SIMILARITY)))
     return signed.select("doc_id", "digest", "id").join(labels, "id").select("doc_id", "digest", "component_id")
 
 

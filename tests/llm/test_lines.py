@@ -55,9 +55,12 @@ def test_odd_rows(spark, classes):
         (4, None), (5, ""), (6, "\n\n"), (7, "x" * 60_000 + "\n" + "words " * 20_000), (8, base), (9, "été\r\nété"),
     ]
     frame = spark.createDataFrame(rows, "doc_id long, text string").withColumn("n_dropped", F.lit("clash")).withColumn("line", F.lit(0))
+    for clash in ("__gone", "__own", "gone", "row", "drop_doc", "with.dot"):
+        frame = frame.withColumn(clash, F.lit("own"))
     found = dedup_lines(frame).orderBy("doc_id").collect()
     assert [(r["doc_id"], r["text"]) for r in found] == expected(rows, classes)
     by_id = {r["doc_id"]: (r["n_lines"], r["n_dropped"]) for r in found}
+    assert {r["__gone"] + r["gone"] + r["row"] + r["with.dot"] for r in found} == {"own" * 4}
     assert by_id[1] == (4, 0) and by_id[2] == (3, 3) and by_id[4] == (0, 0) and by_id[6] == (3, 0) and by_id[8] == (1, 1)
 
 
