@@ -14,11 +14,8 @@ from gaugework.llm.scratch import Scratch, small
 
 #: Characters of a shingle, and the Jaccard similarity of lines that are one.
 SHINGLE_CHARS, SIMILARITY = 7, 0.8
-#: Bands and rows of a band: a pair at the similarity meets in some band with probability 1 - (1 - 0.8**4)**10 = 0.995.
-BANDS, BAND_ROWS = 10, 4
-#: A line's signature is taken from a sample of its shingles chosen by hash, at a rate that leaves between one and two times this
-#: many; a shingle is chosen alike in every line, so the similarity of samples is that of the lines.
-SAMPLE = 32
+#: Bands and rows of a band: a pair at the similarity meets in some band with probability 1 - (1 - 0.8**3)**8 = 0.997.
+BANDS, BAND_ROWS = 8, 3
 SEED = 5
 
 _SIDE = 4  # bytes of a character in UTF-32
@@ -58,56 +55,19 @@ def jaccard(left: Column, right: Column, left_size: Column, right_size: Column)
     return _once(shared, lambda both: both / (left_size + right_size - both))
 
 
-def _level(count: Column) -> Column:
-    """Halvings of the sampling rate for a line of so many shingles."""
-    return F.greatest(F.floor(F.log2(count / F.lit(float(SAMPLE)))), F.lit(0)).cast("int")
-
-
-def _signatures(lines: DataFrame) -> DataFrame:
-    """(id, keys, doubtful) of ``lines`` (id, line, size), keys for every band and rate.
+def band_keys(lines: DataFrame) -> DataFrame:
+    """(id, keys) of ``lines`` (id, line), a key for every band.
 
-    Minima under the permutations h -> h xor c. Lines near a change of the sampling rate are signed at both rates, as
-    their partners may be at either. ``doubtful`` if the sample is smaller than the size lets expect, or repeats itself.
+    Minima of all shingles under the permutations h -> h xor c; repeats do not change them, so nothing has to be made distinct.
     """
     rng = random.Random(SEED)
     masks = [rng.getrandbits(64) - (1 << 63) for _ in range(BANDS * BAND_ROWS)]
-    low, high = _level(F.col("size") * F.lit(SIMILARITY)), _level(F.col("size") / F.lit(SIMILARITY))
-    wide = lines.select("id", F.encode("line", "UTF-32").alias("wide"), _positions(F.col("line")).alias("count"), low.alias("low"), high.alias("high"))
-    # Place -1 stands for the line itself, so that one without any sampled shingle is seen too.
-    hashes = wide.select("id", "low", "high", "wide", F.explode(F.sequence(F.lit(-1), F.col("count") - 1)).alias("at"))
-    hashes = hashes.select("id", "low", "high", F.when(F.col("at") >= 0, _shingle_hash(F.col("wide"), F.col("at"))).alias("h"))
-    in_low = F.col("h").isNull() | (F.col("h").bitwiseAND(F.expr("shiftleft(1L, low) - 1")) == 0)
-    in_high = F.col("h").bitwiseAND(F.expr("shiftleft(1L, high) - 1")) == 0
-    # Whatever is in the sample of the higher level is in that of the lower one too.
-    sampled = hashes.where(in_low).withColumn("level", F.explode(F.when((F.col("high") > F.col("low")) & in_high, F.array("low", "high")).otherwise(F.array("low"))))
-    signed = sampled.groupBy("id", "level").agg(
-        F.min("low").alias("low"), F.max("high").alias("high"), F.count("h").alias("taken"),
-        F.bit_or(F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 32) & 63 as int))")).alias("places"),
-        *[F.min(F.col("h").bitwiseXOR(F.lit(mask))).alias(f"m{n}") for n, mask in enumerate(masks)],
-    )
-    keys = [F.xxhash64(F.lit(band), F.col("level"), *[F.col(f"m{band * BAND_ROWS + row}") for row in range(BAND_ROWS)]) for band in range(BANDS)]
-    # Different shingles fall on so many of 64 places.
-    expected = 64 * (1 - F.exp(-F.col("taken") / 64))
-    few = (F.col("taken") < 0.7 * SAMPLE) | (F.bit_count("places") < 0.88 * expected)
-    found = F.when(F.col("taken") > 0, F.array(*keys))
-    return signed.select("id", found.alias("keys"), ((F.col("level") == F.col("low")) & (F.col("high") > 0) & few).alias("doubtful"))
-
-
-def band_keys(lines: DataFrame) -> DataFrame:
-    """(id, keys) of ``lines`` (id, line, size), keys for every band and rate; size is the number of distinct shingles."""
-    return _signatures(lines).where("keys is not null").select("id", "keys")
-
-
-def _signed(distinct: DataFrame, scratch: Scratch) -> DataFrame:
-    """(id, keys) of every line of ``distinct`` (id, line).
-
-    The rates leave room for sizes that are wrong by a fifth, so shingles are counted with repeats, and exactly only for lines
-    whose sample shows that they repeat themselves. Those are signed once more.
-    """
-    signed = scratch.put(_signatures(distinct.select("id", "line", _positions(F.col("line")).alias("size"))))
-    doubtful = scratch.put(signed.where("doubtful").select("id").distinct())
-    again = distinct.join(small(doubtful), "id", "left_semi").select("id", "line", distinct_shingles(F.col("line")).alias("size"))
-    return signed.where("keys is not null").select("id", "keys").unionByName(band_keys(again))
+    wide = lines.select("id", F.encode("line", "UTF-32").alias("wide"), _positions(F.col("line")).alias("count"))
+    hashes = wide.select("id", "wide", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at"))
+    hashes = hashes.select("id", _shingle_hash(F.col("wide"), F.col("at")).alias("h"))
+    signed = hashes.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(mask))).alias(f"m{n}") for n, mask in enumerate(masks)])
+    keys = [F.xxhash64(F.lit(band), *[F.col(f"m{band * BAND_ROWS + row}") for row in range(BAND_ROWS)]) for band in range(BANDS)]
+    return signed.select("id", F.array(*keys).alias("keys"))
 
 
 def _facts(lines: DataFrame) -> DataFrame:
@@ -125,7 +85,7 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 def line_components(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     """(id, component) of those of the distinct lines (id, line) that resemble another one."""
-    signed = scratch.put(_signed(distinct, scratch))
+    signed = scratch.put(band_keys(distinct))
     entries = signed.select("id", F.explode("keys").alias("key"))
     repeated = scratch.put(entries.groupBy("key").count().where("count > 1").select("key"))
     met = scratch.put(entries.join(small(repeated), "key", "left_semi"))
