@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.scratch import Scratch, small
+from gaugework.llm.scratch import BROADCAST_ROWS, Scratch
 
 KINDS = ("email", "ip", "card", "phone")
 #: The patterns, leftmost and without overlap. Runs are taken whole and searched from their start only (or from where the last
@@ -22,6 +22,8 @@ PATTERNS = {
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
 }
+#: What every match of a kind holds; texts without it are not searched.
+SIGNS = {"email": "@", "phone": "+"}
 CARD_DIGITS, PHONE_DIGITS = (13, 19), (9, 15)
 _BYTE = "0*(?:[0-9]{1,2}|1[0-9]{2}|2[0-4][0-9]|25[0-5])"
 #: Term spans: generalised from this share of an entity's information on, removed from the second.
@@ -29,6 +31,8 @@ GENERALISE, REMOVE = 0.85, 0.95
 #: Different texts holding term and entity together from which their counts are taken as they are; copies of one text are no
 #: evidence. With fewer, each text counts once and one more text is supposed that holds the term without the entity.
 MIN_TEXTS = 3
+#: Bytes of the terms that a broadcast may hold at most.
+BROADCAST_BYTES = 16 << 20
 LETTER = r"[\p{L}\p{M}\p{N}]"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SPAN = "array<struct<kind:string,start:int,end:int,value:string>>"
@@ -60,33 +64,67 @@ def _holds(kind: str, match: Column) -> Column:
     return F.lit(True)
 
 
+def _begins(lengths: Column) -> Column:
+    """The sum of the lengths before each place: within blocks of about the cube root of their number, and over the blocks, so
+    that no array grows step by step."""
+    none = F.array().cast("array<int>")
+
+    def total(numbers: Column) -> Column:
+        return F.aggregate(numbers, F.lit(0), lambda a, b: a + b)
+
+    def sums(bound: Column) -> Column:
+        wide, numbers = bound["wide"], bound["numbers"]
+        blocks = F.sequence(F.lit(0), F.floor((F.size(numbers) - 1) / wide).cast("int"))
+        whole = F.transform(blocks, lambda n: total(F.slice(numbers, n * wide + 1, wide)))
+
+        def of_block(both: Column) -> Column:
+            def within(n: Column, whole: Column) -> Column:
+                inner = F.slice(numbers, n * wide + 1, wide)
+                return F.transform(F.array(F.struct(total(F.slice(whole, F.lit(1), n)).alias("before"), inner.alias("inner"))), lambda block: F.transform(block["inner"], lambda _, at: block["before"] + total(F.slice(block["inner"], F.lit(1), at))))
+
+            return F.flatten(F.flatten(F.transform(both["blocks"], lambda n: within(n, both["whole"]))))
+
+        return F.get(F.transform(F.array(F.struct(blocks.alias("blocks"), whole.alias("whole"))), of_block), F.lit(0))
+
+    bound = F.struct(lengths.alias("numbers"), F.ceil(F.cbrt(F.size(lengths))).cast("int").alias("wide"))
+    return F.when(F.size(lengths) > 0, F.get(F.transform(F.array(bound), sums), F.lit(0))).otherwise(none)
+
+
 def _located(text: Column, matches: Column, pattern: Column, kind: Column) -> Column:
-    """The matches with their places in code points: what stands between them is what splitting leaves."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(_SPAN).alias("out"))
+    """The matches, of which there is one at least, with their places in code points: what stands between them is what splitting leaves."""
 
     def spans(both: Column) -> Column:
-        def step(state: Column, n: Column) -> Column:
-            begin = state["at"] + F.length(F.get(both["gaps"], n))
-            end = begin + F.length(F.get(both["matches"], n))
-            span = F.struct(kind.alias("kind"), begin.alias("start"), end.alias("end"), F.get(both["matches"], n).alias("value"))
-            return F.struct(end.alias("at"), F.array_append(state["out"], span).alias("out"))
+        steps = F.transform(both["matches"], lambda match, n: F.length(F.get(both["gaps"], n)) + F.length(match))
+
+        def placed(bound: Column) -> Column:
+            def span(match: Column, n: Column) -> Column:
+                begin = F.get(bound["begins"], n) + F.length(F.get(both["gaps"], n))
+                return F.struct(kind.alias("kind"), begin.alias("start"), (begin + F.length(match)).alias("end"), match.alias("value"))
+
+            return F.transform(both["matches"], span)
 
-        found = F.aggregate(F.sequence(F.lit(0), F.size(both["matches"]) - 1), start, step, lambda state: state["out"])
-        return F.when(F.size(both["matches"]) > 0, found).otherwise(F.array().cast(_SPAN))
+        return F.get(F.transform(F.array(F.struct(_begins(steps).alias("begins"))), placed), F.lit(0))
 
     # Bound once: inside the steps the text would be searched again for every match.
     both = F.struct(F.split(text, pattern, -1).alias("gaps"), matches.alias("matches"))
-    return F.get(F.transform(F.array(both), spans), F.lit(0))
+    return F.get(F.transform(F.array(both), spans), F.lit(0)).cast(_SPAN)
 
 
 def with_base_spans(docs: DataFrame) -> DataFrame:
     """``docs`` with ``__text`` (null as empty) and ``__base``: the spans of the four kinds, by kind, then start."""
     named = docs.withColumn("__text", F.coalesce(F.col("text").cast("string"), F.lit("")))
-    matched = named.withColumns({f"__{kind}": F.regexp_extract_all("__text", F.lit(PATTERNS[kind]), F.lit(0)) for kind in KINDS})
+
+    def matches(kind: str) -> Column:
+        found = F.regexp_extract_all("__text", F.lit(PATTERNS[kind]), F.lit(0))
+        return F.when(F.contains("__text", F.lit(SIGNS[kind])), found) if kind in SIGNS else found
+
+    matched = named.withColumns({f"__{kind}": matches(kind) for kind in KINDS})
 
     def spans(kind: str) -> Column:
+        # Only texts with a match that holds are split to find the places.
         located = _located(F.col("__text"), F.col(f"__{kind}"), F.lit(PATTERNS[kind]), F.lit(kind))
-        return F.filter(located, lambda s: _holds(kind, s["value"]))
+        some = F.exists(f"__{kind}", lambda match: _holds(kind, match))
+        return F.when(some, F.filter(located, lambda s: _holds(kind, s["value"]))).otherwise(F.array().cast(_SPAN))
 
     return matched.withColumn("__base", F.concat(*[spans(kind) for kind in KINDS])).drop(*[f"__{kind}" for kind in KINDS])
 
@@ -122,6 +160,13 @@ def _terms(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(f"{LETTER}+"), F.lit(0)))
 
 
+def _bounded(terms: DataFrame) -> tuple[DataFrame, bool]:
+    """The terms, marked for a broadcast if their number and bytes are proven small; and whether they are."""
+    size = terms.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("term")).alias("bytes")).first()
+    fits = size["n"] <= BROADCAST_ROWS and (size["bytes"] or 0) <= BROADCAST_BYTES
+    return (F.broadcast(terms) if fits else terms), fits
+
+
 def disclosures(found: DataFrame, scratch: Scratch, generalise: float = GENERALISE, min_texts: int = MIN_TEXTS) -> tuple[DataFrame, DataFrame]:
     """(class, term, share) for the terms that disclose an entity, and (entity, class) of every entity. ``found`` has doc_id,
     __digest, __text and __base.
@@ -135,22 +180,31 @@ def disclosures(found: DataFrame, scratch: Scratch, generalise: float = GENERALI
     same = F.xxhash64(F.count(F.lit(1)), F.bit_xor("__digest"), F.bit_xor(F.xxhash64("__digest")))
     known = scratch.put(held.groupBy("entity").agg(same.alias("class"), F.sum("count").alias("entity_docs")))
     members = held.join(known, "entity").select("__digest", "class").distinct()
-    texts = holding.select("__digest", _blanked(F.col("__text"), F.col("__base")).alias("blank")).groupBy("__digest").agg(F.count(F.lit(1)).alias("n"), F.first("blank").alias("blank"))
-    together = members.join(texts, "__digest").select("class", "n", F.explode(_terms(F.col("blank"))).alias("term"))
-    together = scratch.put(together.groupBy("class", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts")))
-    wanted = scratch.put(together.select("term").distinct())
-    # Document counts of the terms over the whole corpus; reduced before the shuffle.
+    # Each text's terms with its number of documents: the words of a text are looked at once, however many hold it.
     blank = _blanked(F.col("__text"), F.col("__base"))
-    counted = found.select(F.explode(_terms(blank)).alias("term")).join(small(wanted), "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("term_docs"))
+    texts = holding.select("__digest", blank.alias("blank")).groupBy("__digest").agg(F.count(F.lit(1)).alias("n"), F.first("blank").alias("blank"))
+    texts = scratch.put(texts.select("__digest", "n", F.explode(_terms(F.col("blank"))).alias("term")))
+    within = texts.groupBy("term").agg(F.sum("n").alias("within"))
+    together = members.join(texts, "__digest").groupBy("class", "term").agg(F.sum("n").alias("both"), F.count(F.lit(1)).alias("texts"))
     total = F.lit(float(found.count()))
-    facts = together.join(counted, "term").join(known.select("class", "entity_docs").distinct(), "class")
-    rare = F.col("texts") < min_texts
-    seen = F.when(rare, F.col("texts")).otherwise(F.col("both"))
-    among = F.when(rare, F.col("term_docs") - F.col("both") + F.col("texts") + 1).otherwise(F.col("term_docs"))
-    mutual = F.log2(total * seen / (among * F.col("entity_docs")))
-    # An entity found in every document has no information to disclose.
-    share = facts.select("class", "term", F.try_divide(mutual, F.log2(total / F.col("entity_docs"))).alias("share"))
-    return scratch.put(share.where(F.col("share") >= generalise)), known.select("entity", "class")
+
+    def share(term_docs: Column) -> Column:
+        rare = F.col("texts") < min_texts
+        seen = F.when(rare, F.col("texts")).otherwise(F.col("both"))
+        among = F.when(rare, term_docs - F.col("both") + F.col("texts") + 1).otherwise(term_docs)
+        # An entity found in every document has no information to disclose.
+        return F.try_divide(F.log2(total * seen / (among * F.col("entity_docs"))), F.log2(total / F.col("entity_docs")))
+
+    facts = together.join(known.select("class", "entity_docs").distinct(), "class").join(within, "term")
+    # A term is in no fewer documents than hold it beside an entity, and shares only fall with that number.
+    facts = scratch.put(facts.where(share(F.col("within")) >= generalise))
+    wanted, fits = _bounded(facts.select("term").distinct())
+    # Documents without an entity hold the rest; a term is sent once for each task that meets it.
+    outside = found.where(F.size("__base") == 0).select(F.explode(_terms(F.col("__text"))).alias("term"))
+    outside = outside.join(wanted, "term", "left_semi") if fits else outside
+    counted = outside.groupBy("term").agg(F.count(F.lit(1)).alias("without"))
+    shares = facts.join(counted, "term", "left").withColumn("share", share(F.col("within") + F.coalesce("without", F.lit(0))))
+    return scratch.put(shares.where(F.col("share") >= generalise).select("class", "term", "share")), known.select("entity", "class")
 
 
 def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = REMOVE, min_texts: int = MIN_TEXTS) -> DataFrame:
@@ -159,31 +213,43 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
 
     Personal data becomes its kind in brackets. A term is ``generalised`` (to the class of its shape) or ``removed`` by the
     share of an entity's information that it discloses. A null text counts as empty and stays null. A document only loses terms for entities
-    that it holds itself. Rows of the same doc_id and text are treated alike. Columns named like those added are replaced. An
-    empty table gives no rows.
+    that it holds itself. Rows of the same doc_id and text are treated alike. Columns named like the three added are replaced, all
+    others stay, whatever their names. An empty table gives no rows.
+
+    The texts are searched once, and written once beside what was found; only those that hold an entity are moved again.
     """
     scratch = Scratch(docs.sparkSession, "sanitise")
     docs = docs.drop("base_spans", "term_spans", "sanitised")
-    found = with_base_spans(docs.withColumn("__digest", F.xxhash64(F.col("text").cast("string"))))
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    held = docs.select(row).select("__row", F.col("__row.doc_id").alias("doc_id"), F.col("__row.text").alias("text"))
+    found = with_base_spans(held).select("__row", "doc_id", F.xxhash64(F.col("text").cast("string")).alias("__digest"), "__base")
+    text = F.coalesce(F.col("__row.text").cast("string"), F.lit(""))
+    found = scratch.put(found).withColumn("__text", text)
     leaks, known = disclosures(found.select("doc_id", "__digest", "__text", "__base"), scratch, generalise, min_texts)
+    holding = found.where(F.size("__base") > 0)
     entities = F.array_distinct(F.transform("__base", _entity))
-    hit = found.where(F.size("__base") > 0).select(F.col("doc_id").alias("__doc"), F.col("__digest").alias("__own"), F.explode(entities).alias("entity"))
+    hit = holding.select(F.col("doc_id").alias("__doc"), F.col("__digest").alias("__own"), F.explode(entities).alias("entity"))
     hit = hit.join(known, "entity").select("__doc", "__own", "class").distinct().join(leaks, "class")
     hit = hit.groupBy("__doc", "__own", "term").agg(F.max("share").alias("share"))
     gone = F.collect_set(F.when(F.col("share") >= remove, F.col("term")))
     loose = F.collect_set(F.when(F.col("share") < remove, F.col("term")))
     hit = scratch.put(hit.groupBy("__doc", "__own").agg(gone.alias("__gone"), loose.alias("__loose")))
-    joined = found.join(hit, found["doc_id"].eqNullSafe(hit["__doc"]) & (F.col("__digest") == F.col("__own")), "left")
+    joined = holding.join(hit, holding["doc_id"].eqNullSafe(hit["__doc"]) & (F.col("__digest") == F.col("__own")), "left")
     joined = joined.withColumn("__blank", F.when(F.col("__own").isNotNull(), _blanked(F.col("__text"), F.col("__base"))))
 
-    def spans_of(terms: str, kind: str) -> Column:
+    def pattern(terms: str) -> Column:
         # Terms are letters and digits only, so they stand for themselves in a pattern.
-        pattern = F.concat(F.lit(f"(?i)(?<!{LETTER})(?:"), F.array_join(terms, "|"), F.lit(f")(?!{LETTER})"))
-        matches = F.regexp_extract_all("__blank", pattern, F.lit(0))
-        return F.when(F.size(terms) > 0, _located(F.col("__blank"), matches, pattern, F.lit(kind))).otherwise(F.array().cast(_SPAN))
+        return F.concat(F.lit(f"(?i)(?<!{LETTER})(?:"), F.array_join(terms, "|"), F.lit(f")(?!{LETTER})"))
+
+    def matches(terms: str) -> Column:
+        return F.when(F.size(terms) > 0, F.regexp_extract_all("__blank", pattern(terms), F.lit(0)))
 
-    joined = joined.withColumn("__term", F.concat(spans_of("__loose", "generalised"), spans_of("__gone", "removed")))
-    joined = joined.withColumn("__term", F.coalesce("__term", F.array().cast(_SPAN)))
+    def spans_of(terms: str, places: str, kind: str) -> Column:
+        located = _located(F.col("__blank"), F.col(places), pattern(terms), F.lit(kind))
+        return F.when(F.size(places) > 0, located).otherwise(F.array().cast(_SPAN))
+
+    joined = joined.withColumns({"__at_loose": matches("__loose"), "__at_gone": matches("__gone")})
+    joined = joined.withColumn("__term", F.concat(spans_of("__loose", "__at_loose", "generalised"), spans_of("__gone", "__at_gone", "removed")))
 
     def put(span: Column | None, length: Column) -> Column:
         if span is None:
@@ -191,8 +257,13 @@ def sanitise(docs: DataFrame, generalise: float = GENERALISE, remove: float = RE
         shape = F.when(span["value"].rlike(r"\p{N}"), "[NUMBER]").when(span["value"].rlike(r"^\p{Lu}"), "[NAME]").otherwise("[TERM]")
         return F.when(span["kind"] == "removed", "").when(span["kind"] == "generalised", shape).otherwise(F.concat(F.lit("["), F.upper(span["kind"]), F.lit("]")))
 
-    clean = F.when(F.col("text").isNotNull(), _rewritten(F.col("__text"), F.concat("__base", "__term"), put))
-    return joined.select(*[found[c] for c in docs.columns], F.col("__base").alias("base_spans"), F.col("__term").alias("term_spans"), clean.alias("sanitised"))
+    def out(base: Column, term: Column, clean: Column) -> list[Column]:
+        return [*[F.col("__row").getField(c).alias(c) for c in docs.columns], base.alias("base_spans"), term.alias("term_spans"), clean.alias("sanitised")]
+
+    clean = F.when(F.col("__row.text").isNotNull(), _rewritten(F.col("__text"), F.concat("__base", "__term"), put))
+    rest = found.where(F.size("__base") == 0)
+    untouched = rest.select(*out(F.col("__base"), F.array().cast(_SPAN), F.col("__row.text").cast("string")))
+    return untouched.unionByName(joined.select(*out(F.col("__base"), F.col("__term"), clean)))
 
 
 def listed(spans: Column) -> Column:
