@@ -2,8 +2,8 @@
 
 A text is split into the words that merges never cross. Every distinct word of the corpus is encoded once; its ids come back to
 the positions it stood at. Words that are frequent in a sample of the documents, a bounded number that makes up most positions,
-come back by broadcast and are never shuffled; all others by a join on the word, and then on the document. Which words the sample
-holds decides only on which way they take.
+come back by broadcast and are never shuffled; all others meet at the word, where one encoding serves all their positions, and then
+at the document. Which words the sample holds decides only on which way they take.
 """
 
 from __future__ import annotations
@@ -25,6 +25,10 @@ from gaugework.llm.scratch import Scratch
 HEAD_WORDS, HEAD_BYTES, HEAD_DOCUMENTS = 1_000_000, 16 << 20, 50_000
 #: Documents of a batch at most, as whole texts pass through it as lists of words.
 BATCH_ROWS = 2_000
+#: Words of more bytes are never broadcast, and their positions are spread over so many tasks.
+LONG_BYTES, LONG_SPREAD = 256, 64
+#: Rows and ids after which finished documents are passed on.
+OUT_ROWS, OUT_IDS = 500, 1_000_000
 #: The pre-tokenizer's pattern for byte-level vocabularies, a fixed value; (?U) gives the classes their Unicode meaning.
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _HOLE = 0
@@ -120,7 +124,26 @@ def _encode_words(vocabulary):
         for batch in batches:
             found = tokenizer.encode_batch(batch.column("word").to_pylist(), add_special_tokens=False)
             ids = pa.array([np.array(e.ids, "<u4").tobytes() for e in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("word"), ids], ["word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("word"), ids, batch.column("step")], ["word", "ids", "step"])
+
+    return run
+
+
+def _encode_sorted(vocabulary, kind: str):
+    """Ids in place of the words. Equal words follow each other, also across batches, and are encoded once."""
+    def run(batches):
+        tokenizer = vocabulary.open()
+        last, last_ids = None, b""
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            distinct = pc.unique(batch.column("word"))
+            words = distinct.to_pylist()
+            known = [last_ids] if words[0] == last else []
+            table = known + [np.array(e.ids, kind).tobytes() for e in tokenizer.encode_batch(words[len(known) :], add_special_tokens=False)]
+            last, last_ids = words[-1], table[-1]
+            payload = pa.array(table, pa.binary()).take(pc.index_in(batch.column("word"), value_set=distinct))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), batch.column("at"), payload], ["doc_id", "digest", "at", "payload"])
 
     return run
 
@@ -145,13 +168,14 @@ def _numbered(words: pa.ListArray, head: pa.Array) -> tuple[np.ndarray, np.ndarr
 
 
 def _skeletons(vocabulary, head):
-    """Per row its head words by number, with holes for the others."""
+    """Per row, at the place before its first word, its head words by number, with holes for the others."""
     def run(batches):
         level = zstandard.ZstdCompressor(level=3)
         for batch, words in _word_lists(vocabulary, batches):
             numbers, ends = _numbered(words, head.value[0])
             packed = pa.array([_packed(numbers[a:b], level) for a, b in zip(ends, ends[1:])], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), packed], ["doc_id", "digest", "packed"])
+            before = pa.array(np.full(batch.num_rows, -1, np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("digest"), before, packed], ["doc_id", "digest", "at", "payload"])
 
     return run
 
@@ -190,46 +214,70 @@ class _Ragged:
         return self.flat[at]
 
 
-def _assemble(head, pieces):
+def _filled(numbers: np.ndarray, places: list[int], payloads: list[bytes], ids_of: _Ragged, kind: str) -> np.ndarray:
+    """The ids of the head words, with those of the others put into the holes."""
+    row = ids_of.take(numbers)
+    if not places:
+        return row
+    before = np.cumsum(ids_of.lengths[numbers])[places]
+    counts = [len(p) // np.dtype(kind).itemsize for p in payloads]
+    return np.insert(row, np.repeat(before, counts), np.frombuffer(b"".join(payloads), kind))
+
+
+def _assemble(head, pieces, kind: str):
+    """Documents from rows in the order of document and place: first the skeletons, one for each copy, then the holes."""
+    def finished(rows, piece_of, doc_type):
+        decoded = [piece_of.take(row).tobytes().decode("utf-8", "replace") for _, row in rows]
+        offsets = np.concatenate([[0], np.cumsum([len(row) for _, row in rows])]).astype(np.int32)
+        lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([row for _, row in rows]).astype(np.int32)))
+        sums = [pa.array([hashlib.sha256(row.astype("<u4").tobytes()).hexdigest() for _, row in rows], pa.string()), pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string())]
+        docs = pa.array([doc for doc, _ in rows], doc_type)
+        return pa.RecordBatch.from_arrays([docs, lists, pa.array(decoded, pa.string()), *sums], ["doc_id", "ids", "decoded", "ids_sha256", "decoded_sha256"])
+
     def run(batches):
         ids_of, piece_of = _Ragged(head.value[1], "<u4", hole=True), _Ragged(pieces.value, "u1")
         level = zstandard.ZstdDecompressor()
+        copies, key, numbers, places, payloads = [], None, None, [], []
+        rows, size, doc_type = [], 0, None
+
+        def close():
+            row = _filled(numbers, places, payloads, ids_of, kind)
+            rows.extend((doc, row) for doc in copies)
+            return len(row) * len(copies)
+
         for batch in batches:
-            ids, decoded = [], []
-            for packed, holes in zip(batch.column("packed"), batch.column("holes")):
-                numbers = _unpacked(packed.as_py(), level)
-                found = holes.as_py()
-                if found:
-                    # The words between the holes come in runs.
-                    found.sort(key=lambda hole: hole["at"])
-                    parts, since = [], 0
-                    for hole in found:
-                        if hole["at"] < since:
-                            continue  # once more for a repeated row
-                        parts += [ids_of.take(numbers[since : hole["at"]]), np.frombuffer(hole["ids"], "<u4")]
-                        since = hole["at"] + 1
-                    row = np.concatenate([*parts, ids_of.take(numbers[since:])])
-                else:
-                    row = ids_of.take(numbers)
-                ids.append(row)
-                decoded.append(piece_of.take(row).tobytes().decode("utf-8", "replace"))
-            offsets = np.concatenate([[0], np.cumsum([len(i) for i in ids])]).astype(np.int32)
-            flat = np.concatenate(ids).astype(np.int32) if ids else np.empty(0, np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            sums = [pa.array([hashlib.sha256(i.tobytes()).hexdigest() for i in ids], pa.string()), pa.array([hashlib.sha256(d.encode()).hexdigest() for d in decoded], pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, pa.array(decoded, pa.string()), *sums], ["doc_id", "ids", "decoded", "ids_sha256", "decoded_sha256"])
+            doc_type, packed = batch.schema.field("doc_id").type, batch.column("payload")
+            keys = zip(batch.column("doc_id").to_pylist(), batch.column("digest").to_pylist())
+            for n, (here, at) in enumerate(zip(keys, batch.column("at").to_pylist())):
+                if at < 0 and copies and not places and here == key:
+                    copies.append(here[0])
+                elif at < 0:
+                    size += close() if copies else 0
+                    copies, key, numbers, places, payloads = [here[0]], here, _unpacked(packed[n].as_py(), level), [], []
+                elif not places or at > places[-1]:  # once more for each copy otherwise
+                    places.append(at)
+                    payloads.append(packed[n].as_py())
+                if len(rows) >= OUT_ROWS or size >= OUT_IDS:
+                    for begin in range(0, len(rows), OUT_ROWS):
+                        yield finished(rows[begin : begin + OUT_ROWS], piece_of, doc_type)
+                    rows, size = [], 0
+        if copies:
+            close()
+        for begin in range(0, len(rows), OUT_ROWS):
+            yield finished(rows[begin : begin + OUT_ROWS], piece_of, doc_type)
 
     return run
 
 
 def _head(rows: DataFrame, vocabulary: Vocabulary, head_words: int, scratch: Scratch) -> DataFrame:
-    """(word, ids) of the words that are most frequent in a sample of the documents, bounded in number and bytes.
+    """(word, ids, step) of the words that are most frequent in a sample of the documents, bounded in number and bytes.
 
-    Counts are looked at in steps of a sixteenth of a doubling, so that nothing has to be sorted.
+    Counts are looked at in steps of a sixteenth of a doubling, so that nothing has to be sorted in Spark.
     """
     share = F.lit(min(1.0, HEAD_DOCUMENTS / max(1, rows.count())))
     chosen = rows.where(F.pmod(F.xxhash64("digest"), F.lit(1 << 40)) < share * (1 << 40))
-    counted = chosen.select("words", "unknown").mapInArrow(_sample_words(vocabulary), "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = chosen.select("words", "unknown").mapInArrow(_sample_words(vocabulary), "word string, n bigint")
+    counted = counted.where(F.octet_length("word") <= LONG_BYTES).groupBy("word").agg(F.sum("n").alias("n"))
     counted = scratch.put(counted.withColumn("step", F.floor(F.log2("n") * 16)))
     words, size, cut = head_words, HEAD_BYTES, None
     steps = counted.groupBy("step").agg(F.count(F.lit(1)).alias("words"), F.sum(F.octet_length("word")).alias("bytes")).collect()
@@ -239,7 +287,7 @@ def _head(rows: DataFrame, vocabulary: Vocabulary, head_words: int, scratch: Scr
             break
         cut = row["step"]
     frequent = counted.where(F.lit(False) if cut is None else F.col("step") >= cut)
-    return frequent.select("word").mapInArrow(_encode_words(vocabulary), "word string, ids binary")
+    return frequent.select("word", "step").mapInArrow(_encode_words(vocabulary), "word string, ids binary, step bigint")
 
 
 def encode_documents(docs: DataFrame, vocabulary_path: str, head_words: int = HEAD_WORDS) -> DataFrame:
@@ -258,21 +306,24 @@ def encode_documents(docs: DataFrame, vocabulary_path: str, head_words: int = HE
     unknown = text.rlike(r"\p{Cn}")
     words = F.when(~unknown, words_of(text, list(vocabulary.special)))
     rows = docs.select("doc_id", F.xxhash64(text).alias("digest"), words.alias("words"), F.when(unknown, text).alias("unknown"))
-    chosen = _head(rows, vocabulary, min(head_words, (1 << 24) - 2), scratch).toArrow().combine_chunks()
+    # In falling frequency, so that most numbers are small and the skeletons pack well.
+    chosen = _head(rows, vocabulary, min(head_words, (1 << 24) - 2), scratch).toArrow().sort_by([("step", "descending")]).combine_chunks()
     columns = [chosen.column(name).combine_chunks() if chosen.num_rows else pa.array([], kind) for name, kind in (("word", pa.string()), ("ids", pa.binary()))]
     head = spark.sparkContext.broadcast(tuple(columns))
-    pieces = spark.sparkContext.broadcast(pa.array(vocabulary.piece_list(), pa.binary()))
+    table = vocabulary.piece_list()
+    pieces, width = spark.sparkContext.broadcast(pa.array(table, pa.binary())), "<u2" if len(table) <= 1 << 16 else "<u4"
 
     doc_type = docs.schema["doc_id"].dataType
-    key = [T.StructField("doc_id", doc_type), T.StructField("digest", T.LongType())]
-    skeletons = rows.mapInArrow(_skeletons(vocabulary, head), T.StructType([*key, T.StructField("packed", T.BinaryType())]))
-    tail = rows.mapInArrow(_tail(vocabulary, head), T.StructType([*key, T.StructField("at", T.IntegerType()), T.StructField("word", T.StringType())]))
-    encoded = scratch.put(tail.select("word").distinct().mapInArrow(_encode_words(vocabulary), "word string, ids binary"))
-    holes = tail.join(encoded, "word").groupBy("doc_id", "digest").agg(F.collect_list(F.struct("at", "ids")).alias("holes"))
-    holes = holes.select(F.col("doc_id").alias("__doc"), F.col("digest").alias("__digest"), "holes")
-    joined = skeletons.join(holes, skeletons["doc_id"].eqNullSafe(holes["__doc"]) & (F.col("digest") == F.col("__digest")), "left")
+    key = [T.StructField("doc_id", doc_type), T.StructField("digest", T.LongType()), T.StructField("at", T.IntegerType())]
+    placed = T.StructType([*key, T.StructField("payload", T.BinaryType())])
+    skeletons = rows.mapInArrow(_skeletons(vocabulary, head), placed)
+    tail = rows.mapInArrow(_tail(vocabulary, head), T.StructType([*key, T.StructField("word", T.StringType())]))
+    # Words that a sample of frequent ones cannot hold, for their length, may still fill a third of the table.
+    spread = F.when(F.octet_length("word") > LONG_BYTES, F.pmod(F.xxhash64("digest", "doc_id"), F.lit(LONG_SPREAD))).otherwise(F.lit(0))
+    holes = tail.repartition("word", spread).sortWithinPartitions("word").mapInArrow(_encode_sorted(vocabulary, width), placed)
+    met = skeletons.unionByName(holes).repartition("doc_id", "digest").sortWithinPartitions("doc_id", "digest", "at")
     schema = T.StructType([key[0], T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType()), T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
-    return joined.select("doc_id", "packed", "holes").mapInArrow(_assemble(head, pieces), schema)
+    return met.mapInArrow(_assemble(head, pieces, width), schema)
 
 
 def decode_ids(frame: DataFrame, vocabulary_path: str) -> DataFrame:
