@@ -24,7 +24,7 @@ from gaugework.llm.scratch import Scratch
 #: Words that are broadcast at most, their bytes at most, and the documents, by expectation, from which they are chosen.
 HEAD_WORDS, HEAD_BYTES, HEAD_DOCUMENTS = 1_000_000, 16 << 20, 50_000
 #: Documents of a batch at most, as whole texts pass through it as lists of words.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 500
 #: Words of more bytes are never broadcast, and their positions are spread over so many tasks.
 LONG_BYTES, LONG_SPREAD = 256, 64
 #: Rows and ids after which finished documents are passed on.
