@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 
 import numpy as np
 import pyarrow as pa
@@ -44,6 +45,8 @@ class Vocabulary:
         self.special = {token["content"]: token["id"] for token in spec["added_tokens"]}
 
     def open(self):
+        # Spark runs as many tasks as there are cores; threads of each would only cost memory.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_str(self.text)
@@ -106,6 +109,7 @@ def _word_lists(vocabulary: Vocabulary, batches):
                     rows[row] = [w for p in parts for w in ([p] if p in vocabulary.special else [p[a:b] for _, (a, b) in splitter.pre_tokenize_str(p)])]
             words = pa.array(rows, pa.list_(pa.string()))
         yield batch, words
+    pa.default_memory_pool().release_unused()  # the worker lives on
 
 
 def _sample_words(vocabulary):
