@@ -1,7 +1,8 @@
 """SimHash near-duplicates over an inverted index of fingerprint bytes with count filtering.
 
-The corpus pipeline drops near-duplicates by what fingerprints only estimate, the Jaccard similarity of word shingles: at 0.8
-some ten of 64 bits differ, and no index of fingerprint parts guarantees a match that far. Its candidates come from minima.
+The corpus pipeline drops near-duplicates by the Jaccard similarity of word shingles. At 0.8 some ten of 64 bits over all shingles
+differ, and a byte of them survives once in four times. Its fingerprint has 64 bytes, each the majority over three shingles only, which
+texts that share most of their shingles take alike; half of these bytes survive. Index, tally and an exact check then follow.
 """
 
 from __future__ import annotations
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugework.llm.components import link_buckets
-from gaugework.llm.parity import near, parities
 from gaugework.llm.scratch import Scratch, small
 
 #: Words of a shingle, and bits by which linked fingerprints may differ.
@@ -28,8 +28,12 @@ BYTES = 8
 MIN_SHARED = BYTES - MAX_BITS
 #: The pipeline's rule: words of a shingle, and the Jaccard similarity of two texts' shingle sets from which one is dropped.
 TEXT_WORDS, TEXT_SIMILARITY = 5, 0.8
-#: Bands and rows of a band: a pair at the similarity meets in no band with probability (1 - 0.8**4)**24 = 0.000003.
-BANDS, BAND_ROWS = 24, 4
+#: Bytes of the pipeline's fingerprint, shingles each is taken over, and bytes a key of the index joins, counted from its first one.
+#: No two keys share two bytes.
+PARTS, SAMPLE, JOINED = 64, 3, (0, 1, 3)
+#: Equal bytes below which a pair is not compared: at the similarity 35 are equal, with a deviation of 4.
+MIN_EQUAL = 16
+WORDS = PARTS // BYTES
 
 
 def _shingle_hashes(text: bytes | None, width: int) -> np.ndarray:
@@ -140,18 +144,76 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["doc_id"]), "left_semi")
 
 
-def _signature_batches(batches):
+def _permutations() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Factors, their inverses and summands of PARTS permutations of 64-bit numbers, one a row."""
     rng = random.Random(SEED)
-    factors = [(np.uint64(rng.getrandbits(64) | 1), np.uint64(rng.getrandbits(64))) for _ in range(BANDS * BAND_ROWS)]
+    pairs = [(rng.getrandbits(64) | 1, rng.getrandbits(64)) for _ in range(PARTS)]
+    columns = [[f for f, _ in pairs], [pow(f, -1, 1 << 64) for f, _ in pairs], [c for _, c in pairs]]
+    return tuple(np.array(column, dtype="<u8")[:, None] for column in columns)
+
+
+def sampled_print(hashes: np.ndarray, permutations: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    """The PARTS fingerprint bytes of a set of shingle hashes.
+
+    Byte n is a SimHash byte over the SAMPLE shingles that are first in the n-th permutation (all, if there are fewer): a bit is 1 if
+    set in over half of their hashes.
+    """
+    factors, inverses, summands = permutations
+    first = np.empty((PARTS, 0), dtype="<u8")
+    # In blocks, so that a long text takes no more memory than a short one.
+    for start in range(0, len(hashes), 4096):
+        first = np.concatenate([first, hashes[start : start + 4096] * factors + summands], axis=1)
+        if first.shape[1] > SAMPLE:
+            first = np.partition(first, SAMPLE - 1, axis=1)[:, :SAMPLE]
+    shifts = (np.arange(PARTS, dtype="<u8") % np.uint64(BYTES) * np.uint64(8))[:, None]
+    parts = ((first - summands) * inverses >> shifts).astype(np.uint8)
+    ones = np.unpackbits(parts[:, :, None], axis=2).sum(axis=1)
+    return np.packbits(ones * 2 > parts.shape[1], axis=1).ravel()
+
+
+def _print_batches(batches):
+    permutations = _permutations()
     for batch in batches:
-        ids, keys = [], []
+        ids, sizes, prints = [], [], []
         for text in batch.column("text").cast(pa.binary()).to_pylist():
             hashes = np.unique(_shingle_hashes(text, TEXT_WORDS))
             ids.append(xxhash.xxh64_intdigest(hashes.tobytes(), SEED) - (1 << 63))
-            minima = np.array([(hashes * a + b).min() for a, b in factors if len(hashes)], dtype="<u8").reshape(-1, BAND_ROWS)
-            keys.append([xxhash.xxh64_intdigest(row.tobytes(), band) - (1 << 63) for band, row in enumerate(minima)])
-        columns = [batch.column("doc_id"), batch.column("digest"), pa.array(ids, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
-        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "id", "keys"])
+            sizes.append(len(hashes))
+            prints.append(sampled_print(hashes, permutations).view("<i8"))
+        words = [pa.array([row[n] for row in prints], pa.int64()) for n in range(WORDS)]
+        columns = [batch.column("doc_id"), batch.column("digest"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), *words]
+        yield pa.RecordBatch.from_arrays(columns, ["doc_id", "digest", "id", "size", *[f"x{n}" for n in range(WORDS)]])
+
+
+def _part(n: int) -> Column:
+    return F.shiftrightunsigned(F.col(f"x{n % PARTS // BYTES}"), n % BYTES * 8).bitwiseAND(F.lit(255))
+
+
+def _part_postings(prints: DataFrame) -> DataFrame:
+    """(key, id): the byte-position index of ``prints`` (id, x0 to x7), its lists joined three at a time.
+
+    A list of one positional byte holds 1/256 of all rows, one of three 1/2**24. At the similarity a pair shares some eleven of the 64 keys.
+    """
+    keys = []
+    for number in range(PARTS):
+        key = F.lit(number).cast("bigint")
+        for offset in JOINED:
+            key = F.shiftleft(key, 8).bitwiseOR(_part(number + offset))
+        keys.append(key)
+    return prints.select(F.explode(F.array(*keys)).alias("key"), "id")
+
+
+def _parts_near(a: str, b: str) -> Column:
+    """Tallies the equal positional bytes; the sizes of sets that are too far apart cannot be similar enough."""
+    size_a, size_b = F.col(f"size_{a}"), F.col(f"size_{b}")
+    differ = F.lit(0)
+    for n in range(WORDS):
+        bits = F.col(f"x{n}_{a}").bitwiseXOR(F.col(f"x{n}_{b}"))
+        # The lowest bit of each byte becomes 1 if any bit of that byte is.
+        for by in (4, 2, 1):
+            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, by))
+        differ += F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+    return (F.least(size_a, size_b) >= F.greatest(size_a, size_b) * TEXT_SIMILARITY - 1e-6) & (PARTS - differ >= MIN_EQUAL)
 
 
 def _set_batches(batches):
@@ -168,36 +230,32 @@ def _set_batches(batches):
 def similar_components(docs: DataFrame, scratch: Scratch) -> DataFrame:
     """(doc_id, digest, component_id) of every row of ``docs`` (doc_id, text); digest is the hash of the text.
 
-    Texts are linked if the Jaccard similarity of their sets of five-word shingles is at least 0.8: candidates share a band of
-    minima, and each compared pair is decided by its whole sets. Texts with equal sets are one, those without words too. Sets, texts
-    and shingles are told apart by 64-bit hashes. ``component_id`` is as for :func:`simhash_components`.
+    Texts are linked if the Jaccard similarity of their sets of five-word shingles is at least 0.8: candidates meet in the index of
+    fingerprint bytes and have enough of them in common, and each is decided by its whole sets. Texts with equal sets are one, those without
+    words too. Sets, texts and shingles are told apart by 64-bit hashes. ``component_id`` is as for :func:`simhash_components`.
     """
     text = F.col("text").cast("string")
     rows = docs.select("doc_id", F.xxhash64(text).alias("digest"), text.alias("text"))
-    doc_type = docs.schema["doc_id"].dataType
-    schema = T.StructType([T.StructField("doc_id", doc_type), T.StructField("digest", T.LongType()), T.StructField("id", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-    signed = scratch.put(rows.mapInArrow(_signature_batches, schema))
-    distinct = scratch.put(signed.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("digest").alias("digest"), F.first("keys").alias("keys")))
-    entries = distinct.select("id", F.explode("keys").alias("key"))
+    words = [f"x{n}" for n in range(WORDS)]
+    longs = [T.StructField(name, T.LongType()) for name in ("digest", "id", "size", *words)]
+    signed = scratch.put(rows.mapInArrow(_print_batches, T.StructType([T.StructField("doc_id", docs.schema["doc_id"].dataType), *longs])))
+    distinct = scratch.put(signed.groupBy("id").agg(F.min("doc_id").alias("first"), F.min("digest").alias("digest"), *[F.first(c).alias(c) for c in ("size", *words)]))
+    entries = _part_postings(distinct.where("size > 0"))
     repeated = scratch.put(entries.groupBy("key").count().where("count > 1").select("key"))
     met = scratch.put(entries.join(small(repeated), "key", "left_semi"))
-    # One text of each set that met another one.
-    wanted = scratch.put(distinct.join(met.select("id").distinct(), "id", "left_semi").select("id", "digest"))
-    texts = rows.select("digest", "text").join(small(wanted), "digest").groupBy("id").agg(F.first("text").alias("text"))
-    sets = texts.mapInArrow(_set_batches, "id long, shingles array<long>").withColumn("size", F.size("shingles"))
-    sets = scratch.put(sets)
-    facts = scratch.put(parities(sets.select("id", "size", F.explode("shingles").alias("h"))))
+    facts = scratch.put(distinct.join(small(met.select("id").distinct()), "id", "left_semi").select("id", "size", *words))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (sets.select(F.col("id").alias(s), F.col("shingles").alias(f"shingles_{s}"), F.col("size").alias(f"size_{s}")) for s in "ab")
-        # Sets whose sizes are too far apart cannot be similar enough.
-        sizes = pairs.join(facts.select(F.col("id").alias("a"), F.col("size").alias("n_a")), "a").join(facts.select(F.col("id").alias("b"), F.col("size").alias("n_b")), "b")
-        close = sizes.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * TEXT_SIMILARITY - 1e-6).select("a", "b")
-        both = close.join(left, "a").join(right, "b")
-        shared = both.select("a", "b", "size_a", "size_b", F.size(F.array_intersect("shingles_a", "shingles_b")).alias("shared"))
-        return shared.where(F.col("shared") / (F.col("size_a") + F.col("size_b") - F.col("shared")) >= TEXT_SIMILARITY)
-
-    labels = _smallest_ids(distinct.select("id", "first"), link_buckets(met, verify, scratch, facts, near(TEXT_SIMILARITY)))
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        # One text of each set.
+        wanted = distinct.join(small(ends), "id", "left_semi").select("id", "digest")
+        texts = rows.select("digest", "text").join(small(wanted), "digest").groupBy("id").agg(F.first("text").alias("text"))
+        sets = scratch.put(texts.mapInArrow(_set_batches, "id long, shingles array<long>"))
+        left, right = (sets.select(F.col("id").alias(s), F.col("shingles").alias(f"shingles_{s}")) for s in "ab")
+        both = pairs.join(left, "a").join(right, "b").withColumn("shared", F.size(F.array_intersect("shingles_a", "shingles_b")))
+        return both.where(F.col("shared") / (F.size("shingles_a") + F.size("shingles_b") - F.col("shared")) >= TEXT_SIMILARITY)
+
+    labels = _smallest_ids(distinct.select("id", "first"), link_buckets(met, verify, scratch, facts, _parts_near))
     return signed.select("doc_id", "digest", "id").join(labels, "id").select("doc_id", "digest", "component_id")
 
 
