@@ -54,25 +54,47 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return members.unionByName(roots)
 
 
+def _merged(classes: DataFrame | None, held: DataFrame, scratch: Scratch) -> DataFrame:
+    """``classes`` (id, component) joined up by links between them, ``held`` (ca, cb); an id without a class is its own."""
+    joined = connected_components(held.select(F.col("ca").alias("a"), F.col("cb").alias("b")), scratch)
+    if classes is None:
+        return scratch.put(joined)
+    moved = classes.withColumnRenamed("component", "was").join(joined.select(F.col("id").alias("was"), F.col("component").alias("now")), "was", "left")
+    added = joined.join(classes.select("id"), "id", "left_anti").select("id", "component")
+    return scratch.put(moved.select("id", F.coalesce("now", "was").alias("component")).unionByName(added))
+
+
+def _apart(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Those of the pairs (a, b) whose ends are in different classes, with these as ca and cb."""
+    for end in "ab":
+        own = classes.select(F.col("id").alias(end), F.col("component").alias(f"c{end}"))
+        pairs = pairs.drop(f"c{end}").join(own, end, "left").withColumn(f"c{end}", F.coalesce(f"c{end}", end))
+    return pairs.where("ca <> cb")
+
+
 def link_buckets(
     entries: DataFrame,
     verify: Callable[[DataFrame], DataFrame],
     scratch: Scratch,
-    facts: DataFrame | None = None,
+    facts: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     near: Callable[[str, str], Column] | None = None,
 ) -> DataFrame:
     """Components over all verified links between ids that share a key.
 
-    ``entries`` (key, id bigint) may repeat; ``verify`` turns pairs (a, b) into those that hold. Returns (id, component) of
+    ``entries`` (key, id bigint) may repeat; ``verify`` keeps those of the rows (a, b, ...) that hold. Returns (id, component) of
     linked ids. ``near("a", "b")`` is a cheap test that every pair that holds passes, over the columns of ``facts`` (id, ...) with
-    the suffixes _a and _b, or over a and b themselves; it is part of the join, so that pairs that fail it are never written.
+    the suffixes _a and _b, or over a and b themselves; it is part of the join, so that pairs that fail it are never written. Facts
+    that are dear are given as a function of the ids (id) they are wanted for, and not used in the first round.
 
     A bucket is not expanded into its pairs. In a round, one member each of its smallest classes is compared with all members
     of other classes and then leaves the bucket; members of one class need no comparison among themselves. The number of such
     members grows fourfold with each round, so the rounds follow the logarithm of the bucket. They end when the pairs between different
     classes are in proportion to the entries, and those are compared outright. So no link between two classes is
-    lost, and a bucket of copies costs as much as it has members. A pair that shares several buckets may be verified again in a
-    later round; no record of compared pairs is kept.
+    lost, and a bucket of copies costs as much as it has members.
+
+    Within a round each member is first compared with the one it shares most keys with, and with the others only if that left them
+    in different classes. Only links between classes are kept, so that their number stays below that of the ids. A pair that
+    shares several buckets may be verified again in a later round; no record of compared pairs is kept.
     """
     rest = scratch.put(entries.where("key is not null and id is not null").distinct())
     entry_count = rest.count()
@@ -80,7 +102,6 @@ def link_buckets(
     sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
     weights = scratch.put(rest.join(sizes, "key").groupBy("id").agg(F.sum("size").alias("weight")))
     listed = PAIRS_PER_ENTRY if near is None else TESTED_PER_ENTRY
-    edges: list[DataFrame] = []
     classes, compared_at_once = None, 1
     while True:
         labelled = rest if classes is None else rest.join(classes, "id", "left")
@@ -99,7 +120,8 @@ def link_buckets(
             scratch.drop(open_keys, labelled)
             break
         todo = labelled.join(small(open_keys.select("key")), "key", "left_semi")
-        last = totals["pairs"] <= listed * entry_count
+        # Members alike to one member each make links in proportion to the entries, which all pairs do not.
+        last = totals["pairs"] <= (listed if compared_at_once > 1 else PAIRS_PER_ENTRY) * entry_count
         if last:
             reps = todo.select("key", F.col("id").alias("a"), F.col("component").alias("ca"))
         else:
@@ -109,20 +131,30 @@ def link_buckets(
             reps = scratch.put(ranked.where(F.col("rank") <= compared_at_once).select("key", F.col("first").alias("a"), F.col("component").alias("ca")))
         others = todo.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
         met = F.expr("ca < cb" if last else "ca <> cb")
-        left, right = reps, others
-        # One member a bucket makes no more pairs than entries, which need no test.
-        if near is not None and (last or compared_at_once > 1):
-            if facts is not None:
-                left, right = _with_facts(left, facts, "a"), _with_facts(right, facts, "b")
+        left, right, known = reps, others, None
+        # One member a bucket makes no more pairs than entries, for which dear facts do not pay.
+        if near is not None and (compared_at_once > 1 or not callable(facts)):
+            if callable(facts):
+                known = scratch.put(facts(todo.select("id").distinct()))
+            elif facts is not None:
+                known = facts
+            if known is not None:
+                left, right = _with_facts(left, known, "a"), _with_facts(right, known, "b")
             met = met & near("a", "b")
-        pairs = left.join(right, "key").where(met).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        compared = scratch.put(pairs)
-        edges.append(scratch.put(verify(compared).select("a", "b")))
-        scratch.drop(compared)
-        every = edges[0]
-        for more in edges[1:]:
-            every = every.unionByName(more)
-        classes = scratch.put(connected_components(every, scratch))
+        pairs = left.join(right, "key").where(met).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("ca").alias("ca"), F.first("cb").alias("cb"))
+        nearest = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
+        compared = scratch.put(pairs.withColumn("turn", F.row_number().over(nearest)))
+        held = scratch.put(verify(compared.where("turn = 1")).select("ca", "cb").distinct())
+        classes = _merged(classes, held, scratch)
+        # The same two may have met as each other's b.
+        others = _apart(compared.where("turn > 1"), classes).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb"))
+        others = scratch.put(others.distinct())
+        if not others.isEmpty():
+            held = scratch.put(verify(others).select("ca", "cb").distinct())
+            classes = _merged(classes, held, scratch)
+        scratch.drop(compared, others)
+        if callable(facts) and known is not None:
+            scratch.drop(known)
         if last:
             break
         left = todo.join(reps.select("key", F.col("a").alias("id")), ["key", "id"], "left_anti")

@@ -63,3 +63,30 @@ def test_a_bucket_of_copies_costs_as_much_as_it_has_members(spark):
     found = _found(link_buckets(entries, verify, Scratch(spark, "test")))
     assert found == dict.fromkeys(range(400), 0)
     assert sum(compared) < 2 * 401
+
+
+def test_a_bucket_of_members_that_are_all_alike_is_no_square_of_pairs(spark):
+    """Small enough that all pairs would be listed in a round, by a test within the join."""
+    entries = spark.range(30).selectExpr("1L as key", "id").union(spark.range(30).selectExpr("2L", "id"))
+    compared = []
+
+    def verify(pairs):
+        compared.append(pairs.count())
+        return pairs
+
+    facts = spark.range(30).selectExpr("id", "1L as size")
+    for given in (facts, lambda ids: facts.join(ids, "id", "left_semi")):
+        compared.clear()
+        found = _found(link_buckets(entries, verify, Scratch(spark, "test"), given, lambda a, b: F.col(f"size_{a}") == F.col(f"size_{b}")))
+        assert found == dict.fromkeys(range(30), 0)
+        assert sum(compared) < 30
+
+
+def test_members_that_only_the_second_choice_links(spark):
+    """3 shares more keys with 1, which fails; 2, with which it shares one, holds."""
+    entries = spark.createDataFrame([(k, n) for k in (1, 2) for n in (1, 3)] + [(3, n) for n in (2, 3)] + [(4, n) for n in (2, 4, 5)], "key long, id long")
+
+    def verify(pairs):
+        return pairs.where("least(a, b) in (2, 4) and abs(a - b) = 1 and greatest(a, b) <> 4")
+
+    assert _found(link_buckets(entries, verify, Scratch(spark, "test"))) == {2: 2, 3: 2, 4: 4, 5: 4}
