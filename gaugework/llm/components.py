@@ -16,12 +16,11 @@ from gaugework.llm.scratch import Scratch, small
 PAIRS_PER_ENTRY, TESTED_PER_ENTRY = 0.25, 16.0
 
 
-def _checksum(edges: DataFrame) -> tuple[int, int]:
-    # The hash is cut to 48 bits so that the sum cannot overflow.
-    row = edges.agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("hi", "lo").bitwiseAND(F.lit((1 << 48) - 1)).cast("decimal(38,0)")).alias("s")
-    ).first()
-    return row["n"], int(row["s"] or 0)
+def _are_stars(links: DataFrame) -> bool:
+    """Whether each id of ``links`` (hi, lo) points at one other id and is pointed at by none, or the reverse."""
+    ends = links.select(F.explode(F.array(F.struct(F.col("hi").alias("id"), F.lit(1).alias("points")), F.struct(F.col("lo").alias("id"), F.lit(0).alias("points")))).alias("e"))
+    per_id = ends.groupBy("e.id").agg(F.sum("e.points").alias("out"), F.count(F.lit(1)).alias("n"))
+    return per_id.where((F.col("out") > 1) | (F.col("out") == 1) & (F.col("n") > 1)).isEmpty()
 
 
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -34,8 +33,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """
     links = edges.where("a <> b").select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).distinct()
     links = scratch.put(links)
-    before = _checksum(links)
-    while before[0]:
+    while not _are_stars(links):
         both = links.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(
             links.select(F.col("lo").alias("u"), F.col("hi").alias("v"))
         )
@@ -45,10 +43,7 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         small = large.join(smallest, "hi").select(F.explode(F.array(F.struct(F.col("hi"), F.col("m").alias("lo")), F.struct(F.col("lo").alias("hi"), F.col("m").alias("lo")))).alias("e"))
         after = scratch.put(small.select("e.*").where("hi <> lo").distinct())
         scratch.drop(links)
-        links, found = after, _checksum(after)
-        if found == before:
-            break
-        before = found
+        links = after
     members = links.select(F.col("hi").alias("id"), F.col("lo").alias("component"))
     roots = links.select(F.col("lo").alias("id"), F.col("lo").alias("component")).distinct()
     return members.unionByName(roots)
@@ -119,7 +114,8 @@ def link_buckets(
         if not totals["keys"]:
             scratch.drop(open_keys, labelled)
             break
-        todo = labelled.join(small(open_keys.select("key")), "key", "left_semi")
+        few = small(open_keys.select("key"), totals["keys"])
+        todo = labelled.join(few, "key", "left_semi")
         # Members alike to one member each make links in proportion to the entries, which all pairs do not.
         last = totals["pairs"] <= (listed if compared_at_once > 1 else PAIRS_PER_ENTRY) * entry_count
         if last:
@@ -127,7 +123,7 @@ def link_buckets(
         else:
             # The others of a small class soonest agree, so it is compared first.
             order = Window.partitionBy("key").orderBy("n", F.desc("weight"), "first")
-            ranked = per_class.join(small(open_keys.select("key")), "key", "left_semi").withColumn("rank", F.row_number().over(order))
+            ranked = per_class.join(few, "key", "left_semi").withColumn("rank", F.row_number().over(order))
             reps = scratch.put(ranked.where(F.col("rank") <= compared_at_once).select("key", F.col("first").alias("a"), F.col("component").alias("ca")))
         others = todo.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
         met = F.expr("ca < cb" if last else "ca <> cb")
@@ -139,7 +135,7 @@ def link_buckets(
             elif facts is not None:
                 known = facts
             if known is not None:
-                left, right = _with_facts(left, known, "a"), _with_facts(right, known, "b")
+                left, right = with_facts(left, known, "a"), with_facts(right, known, "b")
             met = met & near("a", "b")
         pairs = left.join(right, "key").where(met).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.first("ca").alias("ca"), F.first("cb").alias("cb"))
         nearest = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
@@ -164,6 +160,7 @@ def link_buckets(
     return classes if classes is not None else rest.select("id", F.col("id").alias("component")).limit(0)
 
 
-def _with_facts(side: DataFrame, facts: DataFrame, name: str) -> DataFrame:
+def with_facts(side: DataFrame, facts: DataFrame, name: str) -> DataFrame:
+    """``side`` with the columns of ``facts`` (id, ...) for its column ``name``, which is their suffix."""
     renamed = facts.select(*[F.col(c).alias(name if c == "id" else f"{c}_{name}") for c in facts.columns])
     return side.join(renamed, name)

@@ -8,8 +8,8 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gaugework.llm.components import link_buckets
-from gaugework.llm.parity import near, parities
+from gaugework.llm.components import link_buckets, with_facts
+from gaugework.llm.parity import FINE_WORDS, WORDS, marks, near
 from gaugework.llm.scratch import Scratch, small
 
 #: Characters of a shingle, and the Jaccard similarity of lines that are one.
@@ -17,6 +17,8 @@ SHINGLE_CHARS, SIMILARITY = 7, 0.8
 #: Bands and rows of a band: a pair at the similarity meets in some band with probability 1 - (1 - 0.8**3)**8 = 0.997.
 BANDS, BAND_ROWS = 8, 3
 SEED = 5
+#: Neighbouring shingles whose least is taken before the grouped minimum, which costs more than a comparison.
+BLOCK = 4
 
 _SIDE = 4  # bytes of a character in UTF-32
 
@@ -55,6 +57,14 @@ def jaccard(left: Column, right: Column) -> Column:
     return _once(sets, lambda s: F.size(F.array_intersect(s["a"], s["b"])) / F.size(F.array_union(s["a"], s["b"])))
 
 
+def _blocks(lines: DataFrame, width: int) -> DataFrame:
+    """(id, h0, h1, ...): the shingles of ``lines`` (id, line) as hashes, so many neighbours a row; the last row repeats the last one."""
+    wide = lines.select("id", F.encode("line", "UTF-32").alias("wide"), (_positions(F.col("line")) - 1).alias("last"))
+    rows = wide.select("id", "wide", "last", F.explode(F.sequence(F.lit(0), F.col("last"), F.lit(width))).alias("at"))
+    hashes = [_shingle_hash(F.col("wide"), F.least(F.col("at") + i, F.col("last"))).alias(f"h{i}") for i in range(width)]
+    return rows.select("id", *hashes)
+
+
 def band_keys(lines: DataFrame) -> DataFrame:
     """(id, keys) of ``lines`` (id, line), a key for every band.
 
@@ -62,18 +72,16 @@ def band_keys(lines: DataFrame) -> DataFrame:
     """
     rng = random.Random(SEED)
     masks = [rng.getrandbits(64) - (1 << 63) for _ in range(BANDS * BAND_ROWS)]
-    wide = lines.select("id", F.encode("line", "UTF-32").alias("wide"), _positions(F.col("line")).alias("count"))
-    hashes = wide.select("id", "wide", F.explode(F.sequence(F.lit(0), F.col("count") - 1)).alias("at"))
-    hashes = hashes.select("id", _shingle_hash(F.col("wide"), F.col("at")).alias("h"))
-    signed = hashes.groupBy("id").agg(*[F.min(F.col("h").bitwiseXOR(F.lit(mask))).alias(f"m{n}") for n, mask in enumerate(masks)])
+    blocks = _blocks(lines, BLOCK)
+    least = [F.least(*[F.col(f"h{i}").bitwiseXOR(F.lit(mask)) for i in range(BLOCK)]) for mask in masks]
+    signed = blocks.groupBy("id").agg(*[F.min(value).alias(f"m{n}") for n, value in enumerate(least)])
     keys = [F.xxhash64(F.lit(band), *[F.col(f"m{band * BAND_ROWS + row}") for row in range(BAND_ROWS)]) for band in range(BANDS)]
     return signed.select("id", F.array(*keys).alias("keys"))
 
 
-def _facts(lines: DataFrame) -> DataFrame:
-    """Number and parities of the distinct shingles of ``lines`` (id, line)."""
-    sets = lines.select("id", F.array_distinct(shingles(F.col("line"))).alias("s"))
-    return parities(sets.select("id", F.size("s").alias("size"), F.explode("s").alias("h")))
+def _facts(lines: DataFrame, words: int = WORDS) -> DataFrame:
+    """Positions and marked places of the shingles of ``lines`` (id, line)."""
+    return marks(_blocks(lines, 1).select("id", F.col("h0").alias("h")), words)
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:
@@ -90,16 +98,23 @@ def line_components(distinct: DataFrame, scratch: Scratch) -> DataFrame:
     repeated = scratch.put(entries.groupBy("key").count().where("count > 1").select("key"))
     met = scratch.put(entries.join(small(repeated), "key", "left_semi"))
     scratch.drop(signed, repeated)
-
-    # The given rows stay where they are; only pairs and one line of each are moved.
-    def facts(ids: DataFrame) -> DataFrame:
-        return _facts(distinct.select("id", "line").join(small(ids), "id", "left_semi"))
+    # Only lines that met another one are read again.
+    texts = scratch.put(distinct.select("id", "line").join(small(met.select("id").distinct()), "id", "left_semi"))
+    facts = scratch.put(_facts(texts))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        left, right = (distinct.select(F.col("id").alias(side), F.col("line").alias(f"line_{side}")) for side in "ab")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        count = ends.count()
+        # The shingles are gone through once more for each line, which saves many of the pairs if a line is in several.
+        if pairs.count() > count:
+            fine = scratch.put(_facts(texts.join(small(ends, count), "id", "left_semi"), FINE_WORDS))
+            pairs = with_facts(with_facts(pairs, fine, "a"), fine, "b").where(near(SIMILARITY, FINE_WORDS)("a", "b")).select(*pairs.columns)
+        left, right = (texts.select(F.col("id").alias(side), F.col("line").alias(f"line_{side}")) for side in "ab")
         return pairs.join(left, "a").join(right, "b").where(jaccard(F.col("line_a"), F.col("line_b")) >= SIMILARITY)
 
-    return link_buckets(met, verify, scratch, facts, near(SIMILARITY))
+    linked = link_buckets(met, verify, scratch, facts, near(SIMILARITY))
+    scratch.drop(met, texts, facts)
+    return linked
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""A cheap exact test for pairs of sets: parities of their elements' numbers in 512 places."""
+"""A cheap exact test for pairs of sets: which of 512 places their elements mark, or the parities of their numbers there."""
 
 from __future__ import annotations
 
@@ -9,28 +9,45 @@ from pyspark.sql import functions as F
 
 #: Words of 64 places; an element's hash names the word by its lowest bits and the place by those from the ninth on.
 WORDS = 8
+#: Words of the finer test, for pairs that would be dear to decide.
+FINE_WORDS = 32
+
+
+def _place() -> Column:
+    return F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 8) & 63 as int))")
+
+
+def _word(n: int, words: int = WORDS) -> Column:
+    return F.when(F.col("h").bitwiseAND(F.lit(words - 1)) == n, _place()).otherwise(F.lit(0).cast("bigint"))
 
 
 def parities(elements: DataFrame) -> DataFrame:
     """(id, size, x0 to x7) of ``elements`` (id, size, h), one row for each different element h of a set."""
-    place = F.expr("shiftleft(1L, cast(shiftrightunsigned(h, 8) & 63 as int))")
-    word = F.col("h").bitwiseAND(F.lit(WORDS - 1))
-    words = [F.bit_xor(F.when(word == n, place).otherwise(F.lit(0).cast("bigint"))).alias(f"x{n}") for n in range(WORDS)]
-    return elements.groupBy("id").agg(F.max("size").alias("size"), *words)
+    return elements.groupBy("id").agg(F.max("size").alias("size"), *[F.bit_xor(_word(n)).alias(f"x{n}") for n in range(WORDS)])
+
+
+def marks(elements: DataFrame, words: int = WORDS) -> DataFrame:
+    """(id, size, x0, x1, ...) of ``elements`` (id, h), in which an element may repeat: the number of rows, and the places marked.
+
+    Repeats change no place, so nothing has to be made distinct; the number of rows is at least the size of the set.
+    """
+    return elements.groupBy("id").agg(F.count(F.lit(1)).alias("size"), *[F.bit_or(_word(n, words)).alias(f"x{n}") for n in range(words)])
 
 
-def near(similarity: float) -> Callable[[str, str], Column]:
+def near(similarity: float, words: int = WORDS) -> Callable[[str, str], Column]:
     """A test over size_a, x0_a, ..., size_b, ... that holds for every pair of sets of that Jaccard similarity.
 
-    Sizes are close, and a place of different parity stands for an element that only one set holds, of which there can be at most
-    (1 - s) / (1 + s) of both sizes.
+    A place that differs stands for an element that only one set holds, of which there can be at most (1 - s) / (1 + s) of both
+    sizes. A size may be given too large; a set has at least as many elements as places.
     """
 
     def test(a: str, b: str) -> Column:
         size_a, size_b = F.col(f"size_{a}"), F.col(f"size_{b}")
-        differ = sum(F.bit_count(F.col(f"x{n}_{a}").bitwiseXOR(F.col(f"x{n}_{b}"))) for n in range(WORDS))
+        places = [(F.col(f"x{n}_{a}"), F.col(f"x{n}_{b}")) for n in range(words)]
+        differ = sum(F.bit_count(x.bitwiseXOR(y)) for x, y in places)
+        held_a, held_b = (sum(F.bit_count(pair[side]) for pair in places) for side in (0, 1))
         # The margin is for rounding.
-        sizes = F.least(size_a, size_b) >= F.greatest(size_a, size_b) * similarity - 1e-6
-        return sizes & (differ <= (size_a + size_b) * ((1 - similarity) / (1 + similarity)) + 1e-6)
+        sizes = (size_a >= held_b * similarity - 1e-6) & (size_b >= held_a * similarity - 1e-6)
+        return (differ <= (size_a + size_b) * ((1 - similarity) / (1 + similarity)) + 1e-6) & sizes
 
     return test

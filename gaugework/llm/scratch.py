@@ -39,6 +39,6 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
-def small(ids: DataFrame) -> DataFrame:
+def small(ids: DataFrame, count: int | None = None) -> DataFrame:
     """The frame of a few fixed-width columns, marked for a broadcast if its count proves it small. Joins give the same rows either way."""
-    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+    return F.broadcast(ids) if (ids.count() if count is None else count) <= BROADCAST_ROWS else ids

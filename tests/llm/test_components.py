@@ -22,6 +22,16 @@ def test_random_graph_a_path_and_a_hub(spark, classes):
     assert found == {n: expected.find(n) for n in touched}
 
 
+def test_links_that_are_stars_are_final(spark):
+    """Two hubs with leaves need no step; a leaf of both does."""
+    stars = [(1, n) for n in range(10, 15)] + [(2, n) for n in range(20, 25)]
+    for edges, hubs, most in ((stars, {1: 1, 2: 2}, 1), (stars + [(2, 14)], {1: 1, 2: 1}, 4)):
+        scratch = Scratch(spark, "test")
+        found = _found(connected_components(spark.createDataFrame(edges, "a long, b long"), scratch))
+        assert found == {n: hubs[hub] for hub, leaf in edges if leaf != 14 or hub == 1 for n in (hub, leaf)}
+        assert scratch._count <= most
+
+
 def test_no_links_and_null_ends(spark):
     frame = spark.createDataFrame([(None, 1), (2, 2)], "a long, b long")
     assert _found(connected_components(frame, Scratch(spark, "test"))) == {}
