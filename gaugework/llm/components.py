@@ -73,13 +73,15 @@ def link_buckets(
     scratch: Scratch,
     facts: DataFrame | Callable[[DataFrame], DataFrame] | None = None,
     near: Callable[[str, str], Column] | None = None,
+    finer: tuple[Callable[[DataFrame], DataFrame], Callable[[str, str], Column]] | None = None,
 ) -> DataFrame:
     """Components over all verified links between ids that share a key.
 
     ``entries`` (key, id bigint) may repeat; ``verify`` keeps those of the rows (a, b, ...) that hold. Returns (id, component) of
     linked ids. ``near("a", "b")`` is a cheap test that every pair that holds passes, over the columns of ``facts`` (id, ...) with
     the suffixes _a and _b, or over a and b themselves; it is part of the join, so that pairs that fail it are never written. Facts
-    that are dear are given as a function of the ids (id) they are wanted for, and not used in the first round.
+    that are dear are given as a function of the ids (id) they are wanted for, and not used in the first round. ``finer``, such a
+    function and its test, takes the place of both from the second round on, in which many members are compared with many.
 
     A bucket is not expanded into its pairs. In a round, one member each of its smallest classes is compared with all members
     of other classes and then leaves the bucket; members of one class need no comparison among themselves. The number of such
@@ -128,6 +130,8 @@ def link_buckets(
         others = todo.select("key", F.col("id").alias("b"), F.col("component").alias("cb"))
         met = F.expr("ca < cb" if last else "ca <> cb")
         left, right, known = reps, others, None
+        if compared_at_once > 1 and finer is not None:
+            facts, near = finer
         # One member a bucket makes no more pairs than entries, for which dear facts do not pay.
         if near is not None and (compared_at_once > 1 or not callable(facts)):
             if callable(facts):
@@ -162,5 +166,6 @@ def link_buckets(
 
 def with_facts(side: DataFrame, facts: DataFrame, name: str) -> DataFrame:
     """``side`` with the columns of ``facts`` (id, ...) for its column ``name``, which is their suffix."""
-    renamed = facts.select(*[F.col(c).alias(name if c == "id" else f"{c}_{name}") for c in facts.columns])
+    # Facts are numbers and never null; that they are not said to be keeps the code of a test over many of them short enough to be compiled.
+    renamed = facts.select(*[F.col(c).alias(name) if c == "id" else F.coalesce(c, F.lit(0)).alias(f"{c}_{name}") for c in facts.columns])
     return side.join(renamed, name)

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gaugework.llm.components import link_buckets
+from gaugework.llm.parity import unequal_bytes
 from gaugework.llm.scratch import Scratch, small
 
 #: Words of a shingle, and bits by which linked fingerprints may differ.
@@ -206,13 +207,7 @@ def _part_postings(prints: DataFrame) -> DataFrame:
 def _parts_near(a: str, b: str) -> Column:
     """Tallies the equal positional bytes; the sizes of sets that are too far apart cannot be similar enough."""
     size_a, size_b = F.col(f"size_{a}"), F.col(f"size_{b}")
-    differ = F.lit(0)
-    for n in range(WORDS):
-        bits = F.col(f"x{n}_{a}").bitwiseXOR(F.col(f"x{n}_{b}"))
-        # The lowest bit of each byte becomes 1 if any bit of that byte is.
-        for by in (4, 2, 1):
-            bits = bits.bitwiseOR(F.shiftrightunsigned(bits, by))
-        differ += F.bit_count(bits.bitwiseAND(F.lit(0x0101010101010101)))
+    differ = unequal_bytes([(F.col(f"x{n}_{a}"), F.col(f"x{n}_{b}")) for n in range(WORDS)])
     return (F.least(size_a, size_b) >= F.greatest(size_a, size_b) * TEXT_SIMILARITY - 1e-6) & (PARTS - differ >= MIN_EQUAL)
 
 
