@@ -18,7 +18,8 @@ SHINGLE_CHARS, SIMILARITY = 7, 0.8
 #: Bands and rows of a band: a pair at the similarity meets in some band with probability 1 - (1 - 0.8**4)**11 = 0.997. Lines of one
 #: language have some hundredths of their shingles in common, and meet by chance with the fourth power of that.
 BANDS, BAND_ROWS = 11, 4
-#: Equal minima below which a pair is not compared: at the similarity 35 of 44 are equal, and fewer than 22 twice in a million pairs.
+#: Equal minima below which a pair is not compared: at the similarity 35 of 44 are equal, and fewer than 22 twice in a million pairs
+#: if they are independent; of very short lines, for which they are less so, once in some thousand.
 MIN_EQUAL = 22
 SEED = 5
 #: Neighbouring shingles whose least is taken before the grouped minimum, which costs more than a comparison.
